@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioground.functions import text as X
 from folioground.operators import index as I
 from folioground.operators.matching import substring_pairs
+from folioground.staging import stage_table
 
 SALTS = 8
+HOT_WORD_ROWS = 100_000
+MAX_HOT_WORDS = 10_000
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -63,31 +66,54 @@ def _query_terms(q: DataFrame) -> DataFrame:
              n("verbatim").alias("n_verb"), n("phrase").alias("n_phrase")))
 
 
+def _term_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, word) for every word of the vocabulary that holds the term, written once."""
+    pairs = substring_pairs(
+        terms.select(F.col("term").alias("needle")).distinct(),
+        vocabulary.select(F.col("word").alias("haystack"))).toDF("term", "word")
+    return stage_table(pairs, "term_words")
+
+
+def _by_word(postings: DataFrame, pairs: DataFrame, vocabulary: DataFrame, hot_rows: int) -> DataFrame:
+    """Postings joined to the terms inside their word.
+
+    Words standing in ``hot_rows`` chunks or more, at most ``MAX_HOT_WORDS`` of them, are joined by
+    broadcast so their long postings never meet in one task; all others are shuffled by word.
+    """
+    hot = (vocabulary.filter(F.col("df") >= hot_rows).orderBy(F.desc("df"), "word")
+           .limit(MAX_HOT_WORDS).select("word"))
+    hot_pairs = pairs.join(F.broadcast(hot), "word", "left_semi")
+    cold_pairs = pairs.join(F.broadcast(hot), "word", "left_anti")
+    return postings.join(F.broadcast(hot_pairs), "word").unionByName(postings.join(cold_pairs, "word"))
+
+
 def _hits(q: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: DataFrame,
-          salts: int) -> DataFrame:
-    """(query, chunk, term) rows with the places the term was found in."""
-    terms = _query_terms(q)
-    asked = terms.select("collection_id").distinct()
-    postings = postings.join(asked, "collection_id", "left_semi")
-    doc_postings = doc_postings.join(asked, "collection_id", "left_semi")
-    vocabulary = postings.select("word").union(doc_postings.select("word")).distinct()
-    words = substring_pairs(terms.select(F.col("term").alias("needle")).distinct(),
-                            vocabulary.withColumnRenamed("word", "haystack"))
-    wanted = terms.join(words.toDF("term", "word"), "term")
-    keep = ["query_id", "vector_id", "term", "n_raw", "n_norm", "n_verb", "n_phrase", "bits"]
-    # A frequent word may hold a third of all postings: spread it over salted keys.
-    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+          salts: int, hot_rows: int) -> DataFrame:
+    """(query, chunk, term) rows, each once, with the places the term was found in."""
+    terms = stage_table(_query_terms(q), "query_terms")
+    asked = terms.select("collection_id", "term").distinct()
+    collections = terms.select("collection_id").distinct()
+    postings = postings.join(collections, "collection_id", "left_semi")
+    doc_postings = doc_postings.join(collections, "collection_id", "left_semi")
+    vocabulary = stage_table(postings.groupBy("word").agg(F.count("*").alias("df")), "vocabulary")
+    doc_words = doc_postings.select("word").distinct()
     in_chunks = (
-        salted.join(postings.withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int")),
-                    ["collection_id", "word", "salt"])
-        .filter(F.col("historical") | F.col("active")).select(*keep))
+        _by_word(postings, _term_words(terms, vocabulary), vocabulary, hot_rows)
+        .join(asked, ["collection_id", "term"], "left_semi")
+        .select("collection_id", "vector_id", "active", "term", "bits"))
     in_documents = (
-        wanted.join(doc_postings, ["collection_id", "word"])
-        .groupBy("query_id", "document_id", "term", "historical", "n_raw", "n_norm", "n_verb", "n_phrase")
-        .agg(F.bit_or("bits").alias("bits"))
+        doc_postings.join(_term_words(terms, doc_words), "word")
+        .join(asked, ["collection_id", "term"], "left_semi")
+        .groupBy("collection_id", "document_id", "term").agg(F.bit_or("bits").alias("bits"))
         .join(I.searchable(payload).select("document_id", "vector_id", "active"), "document_id")
-        .filter(F.col("historical") | F.col("active")).select(*keep))
-    return in_chunks.unionByName(in_documents)
+        .select("collection_id", "vector_id", "active", "term", "bits"))
+    found = (
+        in_chunks.unionByName(in_documents).repartition("vector_id")
+        .groupBy("collection_id", "vector_id", "active", "term").agg(F.bit_or("bits").alias("bits"))
+        .withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int")))
+    # A frequent term of a large collection may hold a third of all rows: spread it over salted keys.
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return found.join(salted, ["collection_id", "term", "salt"]).filter(F.col("historical") | F.col("active"))
 
 
 def _has(bits: int) -> Column:
@@ -95,20 +121,18 @@ def _has(bits: int) -> Column:
 
 
 def keyword_scores(queries: DataFrame, payload: DataFrame, postings: DataFrame,
-                   doc_postings: DataFrame, salts: int = SALTS) -> DataFrame:
+                   doc_postings: DataFrame, salts: int = SALTS,
+                   hot_rows: int = HOT_WORD_ROWS) -> DataFrame:
     """(query_id, vector_id, match_score) of every candidate.
 
-    Terms meet words, words meet postings, all by equality. One shuffle on (query, chunk) serves
-    both sums above it. Texts are read again only for chunks that could hold the whole query or
-    a quoted phrase, known from their term hits.
+    Terms meet words, words meet postings, all by equality, and a term counts once per chunk
+    before queries come in. Texts are read again only for chunks that could hold the whole query
+    or a quoted phrase, known from their term hits.
     """
-    q = _with_mode(parse_queries(queries))
+    q = stage_table(_with_mode(parse_queries(queries)), "parsed_queries")
     one = lambda cond, weight: F.sum(F.when(cond, weight).otherwise(F.lit(0)))
     per_chunk = (
-        _hits(q, payload, postings, doc_postings, salts)
-        .repartition("query_id", "vector_id")
-        .groupBy("query_id", "vector_id", "term")
-        .agg(F.bit_or("bits").alias("bits"), *[F.first(c).alias(c) for c in ("n_raw", "n_norm", "n_verb", "n_phrase")])
+        _hits(q, payload, postings, doc_postings, salts, hot_rows)
         .groupBy("query_id", "vector_id")
         .agg((one(_has(I.IN_TEXT | I.IN_NORMALIZED), F.col("n_norm")) * F.lit(1.0)
               + one(_has(I.IN_SCHEME), F.col("n_norm")) * F.lit(1.5)
@@ -145,15 +169,18 @@ def keyword_scores(queries: DataFrame, payload: DataFrame, postings: DataFrame,
               | F.contains(F.col("normalized_text"), F.col("q_norm")) | F.contains(scheme, F.col("q_low")))
         .otherwise(True))
     passes = lambda column, wanted: F.col(wanted).isNull() | F.contains(F.lower(column), F.col(wanted))
-    read = (
-        cand.filter(must_read)
-        .join(payload.select("vector_id", "chunk_text", "normalized_text", "scheme_name", "department",
-                             "state_or_district", "language"), "vector_id")
-        .filter(holds & passes("scheme_name", "f_scheme") & passes("department", "f_department")
-                & passes("state_or_district", "f_location") & passes("language", "f_language"))
-        .select("query_id", "vector_id", F.round(F.col("base") + whole + quoted, 2).alias("match_score")))
-    plain = cand.filter(~must_read).select("query_id", "vector_id", F.round("base", 2).alias("match_score"))
-    return read.unionByName(plain)
+    # Rows that need no text get a key that matches nothing, so they stay spread and join in one pass.
+    attributes = payload.select(
+        F.col("vector_id").alias("read_id"), "chunk_text", "normalized_text", "scheme_name",
+        "department", "state_or_district", "language")
+    read = cand.withColumn("must_read", must_read).withColumn(
+        "read_id", F.when(F.col("must_read"), F.col("vector_id")).otherwise(F.concat(F.lit("-"), "vector_id")))
+    good = (holds & passes("scheme_name", "f_scheme") & passes("department", "f_department")
+            & passes("state_or_district", "f_location") & passes("language", "f_language"))
+    return (
+        read.join(attributes, "read_id", "left").filter(~F.col("must_read") | good)
+        .select("query_id", "vector_id", F.round(
+            F.col("base") + F.when(F.col("must_read"), whole + quoted).otherwise(0.0), 2).alias("match_score")))
 
 
 def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:

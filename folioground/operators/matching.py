@@ -2,44 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioground.functions import text as X
 
 SHINGLE_WORDS = 3
+SHORT = 48
 
 
-def _grams(text: Column, size: int) -> Column:
-    chars = F.split(text, "")
-    at = F.sequence(F.lit(0), F.length(text) - size)
-    gram = F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
-    return F.when(F.length(text) >= size, gram).otherwise(F.array().cast("array<string>"))
+def _gram_rows(texts: DataFrame, name: str, size: int) -> DataFrame:
+    """Every substring of one size, a row each."""
+    at = F.explode(F.sequence(F.lit(1), F.length(name) - size + 1)).alias("at")
+    return (texts.filter(F.length(name) >= size).select(name, at)
+            .select(name, F.substring(name, F.col("at"), F.lit(size)).alias("gram")))
 
 
 def substring_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """All (needle, haystack) with the needle inside the haystack.
 
-    Both inputs hold one column of distinct strings, named ``needle`` and ``haystack``. Each needle
-    is looked up by its rarest trigram (or by itself up to three characters), so the join is an
-    equality on a selective key and only its matches are verified.
+    Both inputs hold one column of distinct strings, named ``needle`` and ``haystack``. A haystack
+    of up to ``SHORT`` characters is spelled out into its substrings, which meet needles by plain
+    equality. For a longer one each needle is looked up by its rarest trigram (by itself up to
+    three characters), so the join key stays selective and only its matches are verified.
     """
     needle, haystack = F.col("needle"), F.col("haystack")
-    needle_grams = (
-        needles.filter(F.length(needle) > 0)
-        .select("needle", F.explode(F.when(F.length(needle) <= 3, F.array(needle))
-                                    .otherwise(F.array_distinct(_grams(needle, 3)))).alias("gram")))
-    hay_grams = (
-        haystacks.select("haystack", F.explode(F.array_distinct(F.concat(
-            *[_grams(haystack, n) for n in (1, 2, 3)]))).alias("gram"))
-        .join(needle_grams.select("gram").distinct(), "gram", "left_semi"))
+    start = F.explode(F.sequence(F.lit(1), F.length("haystack"))).alias("start")
+    size = F.explode(F.sequence(F.lit(1), F.length("haystack") - F.col("start") + 1)).alias("size")
+    spelled = (
+        haystacks.filter(F.length("haystack").between(1, SHORT)).select("haystack", start)
+        .select("haystack", "start", size)
+        .select("haystack", F.substring("haystack", F.col("start"), F.col("size")).alias("needle")))
+    in_short = spelled.join(needles, "needle").select("needle", "haystack").distinct()
+
+    long_ones = haystacks.filter(F.length("haystack") > SHORT)
+    tiny = needles.filter(F.length(needle).between(1, 3)).select("needle", needle.alias("gram"))
+    needle_grams = _gram_rows(needles.filter(F.length(needle) > 3), "needle", 3).unionByName(tiny)
+    all_grams = reduce(DataFrame.unionByName, [_gram_rows(long_ones, "haystack", n) for n in (1, 2, 3)])
+    hay_grams = all_grams.join(needle_grams.select("gram").distinct(), "gram", "left_semi").distinct()
     frequency = hay_grams.groupBy("gram").count()
     anchors = (
         needle_grams.join(frequency, "gram", "left")
         .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("gram"))).alias("rarest"))
         .select("needle", F.col("rarest.gram").alias("gram")))
-    return (anchors.join(hay_grams, "gram").filter(F.contains(haystack, needle))
-            .select("needle", "haystack"))
+    in_long = (anchors.join(hay_grams, "gram").filter(F.contains(haystack, needle))
+               .select("needle", "haystack"))
+    return in_short.unionByName(in_long)
 
 
 def _shingles(words: Column) -> Column:

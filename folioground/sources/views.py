@@ -13,6 +13,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A table whose rows cost work. A parquet row group is one task however it is split, so a
+    small input is spread by key; one with several splits per core is left alone."""
+    df, cores = read(spark, sf_dir, table), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def _source_no(source: Column) -> Column:
     return F.substring(source, 4, 9).cast("int")
 
@@ -24,7 +31,7 @@ def _effective(doc_id: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents", "doc_id").select(
         d.alias("document_id"), F.col("source").alias("collection_id"),
         F.concat(F.lit("Scheme "), "source", F.lit("-"), (d % 7).cast("string")).alias("scheme_name"),
         F.concat(F.lit("Department "), (_source_no(F.col("source")) % 4).cast("string")).alias("department"),
@@ -39,7 +46,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last version of every document with its whole text."""
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents", "doc_id").select(
         d.alias("document_id"),
         F.concat_ws(":", d.cast("string"), (1 + d % 3).cast("string")).alias("version_id"), "text")
 
@@ -53,7 +60,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (F.when(~last, "ARCHIVED").when(d % 11 == 0, "DELETED").when(d % 11 == 1, "ARCHIVED")
               .when(d % 11 == 2, "FAILED").when(d % 11 == 3, "PROCESSING").otherwise("ACTIVE"))
     return (
-        read(spark, sf_dir, "documents")
+        read_texts(spark, sf_dir, "documents", "doc_id")
         .withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), 1 + d % 3)))
         .select(F.concat_ws(":", d.cast("string"), k.cast("string")).alias("version_id"),
                 d.alias("document_id"), k.cast("int").alias("version_number"),
@@ -146,7 +153,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(
+    return read_texts(spark, sf_dir, "embeddings", "vec_id").select(
         F.col("vec_id").cast("string").alias("vector_id"),
         F.concat(F.lit("ns:"), F.col("label").cast("string")).alias("namespace"),
         F.col("embedding").alias("values"), F.col("label").alias("label"))
