@@ -69,6 +69,27 @@ def truncate(text: Column, limit: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
+def exact_round(value: Column, digits: int) -> Column:
+    """Round by the exact binary value, true ties to the even digit.
+
+    Near a midpoint the error of ``value * 2 * 10^digits`` decides. It is found without loss by
+    splitting the value into a 24-bit head and its rest, whose products are exact.
+    """
+    steps = F.lit(float(2 * 10 ** digits))
+    head = value.cast("float").cast("double")
+    k = F.rint(value * steps)
+    off = (head * steps - k) + (value - head) * steps
+    down, up = (k - 1) / 2, (k + 1) / 2
+    tie = F.when(off > 0, up).when(off < 0, down).otherwise(F.when(down % 2 == 0, down).otherwise(up))
+    near = (F.abs(off) < 1e-6) & (k % 2 != 0)
+    return F.when(near, tie).otherwise(F.rint(value * F.lit(float(10 ** digits)))) / F.lit(float(10 ** digits))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded exactly."""
+    return F.format_string(f"%.{digits}f", exact_round(value, digits))
+
+
 def is_upper(text: Column) -> Column:
     return text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
 

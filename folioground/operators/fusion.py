@@ -58,14 +58,14 @@ def fused_scores(candidates: DataFrame, threshold: float = C.SCORE_THRESHOLD) ->
         F.when(F.col("in_keyword") & F.col("in_vector"), F.lit(0.5) * kw + F.lit(0.5) * vec + F.lit(0.10))
         .when(F.col("in_keyword"), F.least(F.lit(0.92), F.lit(0.45) + F.lit(0.45) * kw)).otherwise(vec))
     boosted = F.when(~F.col("is_historical") & (blend >= 0.35), F.least(F.lit(1.0), blend + F.lit(0.05))).otherwise(blend)
-    similarity = F.format_string("%.2f", vec)
+    similarity = X.fixed(vec, 2)
     reason = (
         F.when(F.col("in_keyword") & F.col("in_vector"), F.concat(
             F.lit("Hybrid Match: Exact keyword match + Semantic similarity ("), similarity, F.lit(")")))
         .when(F.col("in_keyword"), "Keyword Match: Exact term/phrase match in document text")
         .otherwise(F.concat(F.lit("Semantic Match: High vector similarity ("), similarity, F.lit(")"))))
     return (
-        candidates.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), boosted)), 4))
+        candidates.withColumn("score", X.exact_round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), boosted)), 4))
         .withColumn("retrieval_reason", reason).filter(F.col("score") >= threshold))
 
 

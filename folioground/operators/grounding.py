@@ -37,11 +37,11 @@ def evidence_sufficiency(queries: DataFrame, passages: DataFrame) -> DataFrame:
     overlap = found / F.size("terms")
     reason = (
         F.when(F.col("top_score").isNull(), "NO_PASSAGES_RETRIEVED")
-        .when(F.col("top_score") < C.SUFFICIENCY_SCORE, F.format_string(
-            f"RELEVANCE_BELOW_THRESHOLD (%.2f < {C.SUFFICIENCY_SCORE})", F.col("top_score")))
+        .when(F.col("top_score") < C.SUFFICIENCY_SCORE, F.concat(
+            F.lit("RELEVANCE_BELOW_THRESHOLD ("), X.fixed(F.col("top_score"), 2), F.lit(f" < {C.SUFFICIENCY_SCORE})")))
         .when(F.size("terms") == 0, "SUFFICIENT")
-        .when(overlap < C.SUFFICIENCY_OVERLAP, F.format_string(
-            "KEYWORD_OVERLAP_TOO_LOW (%.2f < 0.20)", overlap))
+        .when(overlap < C.SUFFICIENCY_OVERLAP, F.concat(
+            F.lit("KEYWORD_OVERLAP_TOO_LOW ("), X.fixed(overlap, 2), F.lit(" < 0.20)")))
         .otherwise("SUFFICIENT"))
     return (
         queries.select("query_id", X.content_words(F.col("query")).alias("terms"))

@@ -29,6 +29,6 @@ def ocr_pages(words: DataFrame, threshold: float = C.OCR_REVIEW_BELOW) -> DataFr
         .withColumn("requires_review", F.col("exact_conf") < threshold)
         .withColumn("review_reason", F.when(
             F.col("requires_review"),
-            F.format_string(f"Low OCR confidence (%.1f%% < {threshold}%%)", F.col("exact_conf"))))
-        .withColumn("ocr_confidence", F.round("exact_conf", 2))
+            F.concat(F.lit("Low OCR confidence ("), X.fixed(F.col("exact_conf"), 1), F.lit(f"% < {threshold}%)"))))
+        .withColumn("ocr_confidence", X.exact_round(F.col("exact_conf"), 2))
         .drop("mean_conf", "exact_conf"))

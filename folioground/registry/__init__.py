@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["retrieval"]
+AREAS = ["retrieval", "text", "documents", "questions", "reporting"]
 
 
 def load():
