@@ -118,14 +118,14 @@ def is_meaningful(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct lower-case words of three characters or more, stop words removed."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(C.CONTENT_WORD), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit("(?U)" + C.CONTENT_WORD), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in C.STOPWORDS]))
 
 
 def all_words(text: Column) -> Column:
     """Distinct lower-case words of three characters or more."""
     return F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(C.CONTENT_WORD), F.lit(0)))
+        F.regexp_extract_all(F.lower(text), F.lit("(?U)" + C.CONTENT_WORD), F.lit(0)))
 
 
 def is_scanned(native_text: Column) -> Column:

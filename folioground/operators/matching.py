@@ -63,7 +63,7 @@ def passage_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
 
     Inputs: ``needle_id, needle`` and ``haystack_id, haystack``. The inner words of a passage stand
     as whole words in any text that holds it, so passages of five words or more are found by the
-    hash of their rarest inner three-word shingle; shorter ones go through ``substring_pairs``.
+    hash of their rarest inner three-word shingle, shorter ones by their longest word.
     Only hashes and ids are joined; texts come back for the surviving pairs.
     """
     wide = needles.withColumn("ws", X.words(F.col("needle")))
@@ -85,8 +85,20 @@ def passage_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         anchors.join(text_shingles, "shingle").select("needle_id", "haystack_id")
         .join(needles, "needle_id").join(haystacks, "haystack_id")
         .filter(F.contains("haystack", "needle")).select("needle_id", "haystack_id"))
-    short = wide.filter(~long_enough).drop("ws")
-    by_text = substring_pairs(short.select("needle").distinct(), haystacks.select("haystack").distinct())
-    short_found = (by_text.join(short, "needle").join(haystacks, "haystack")
-                   .select("needle_id", "haystack_id"))
-    return found.unionByName(short_found)
+    short = wide.filter(~long_enough & (F.size("ws") > 0)).select("needle_id", "needle", "ws")
+    if short.isEmpty():
+        return found
+    return found.unionByName(_short_passages(short, haystacks))
+
+
+def _short_passages(short: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """Passages of few words: their longest word lies inside some word of the text."""
+    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    anchored = short.select("needle_id", "needle", longest["w"].alias("anchor"))
+    postings = haystacks.select("haystack_id", F.explode(F.array_distinct(X.words(F.col("haystack")))).alias("word"))
+    pairs = substring_pairs(anchored.select(F.col("anchor").alias("needle")).distinct(),
+                            postings.select(F.col("word").alias("haystack")).distinct()).toDF("anchor", "word")
+    candidates = (postings.join(pairs, "word").join(anchored, "anchor")
+                  .select("needle_id", "needle", "haystack_id").distinct())
+    return (candidates.join(haystacks, "haystack_id").filter(F.contains("haystack", "needle"))
+            .select("needle_id", "haystack_id"))

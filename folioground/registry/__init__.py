@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["retrieval", "text", "documents", "questions", "reporting"]
+AREAS = ["retrieval", "text", "documents", "questions", "evidence", "reporting", "flows"]
 
 
 def load():

@@ -19,7 +19,8 @@ def asked(spark, sf_dir):
     return q.unionByName(c)
 
 
-_Q = {"q": """select qid, query, lower(regexp_replace(regexp_replace(query, '^\\s+', ''), '\\s+$', '')) as t from (
+# Word boundaries of the SQL side know ASCII only, so accented letters stand in as plain ones.
+_Q = {"q": """select qid, query, regexp_replace(lower(regexp_replace(regexp_replace(query, '^\\s+', ''), '\\s+$', '')), '[\\x{C0}-\\x{24F}]', 'q', 'g') as t from (
   select query_id as qid, query from v_questions union all select -1 - conv_id * 1000 - turn, text from conversations)"""}
 
 

@@ -107,23 +107,23 @@ def cosine_to_namespace_head(spark, sf_dir):
     return e.join(heads, "label").select("vec_id", F.round(VX.cosine(F.col("embedding"), F.col("head")), 6).alias("similarity"))
 
 
-def _embed_sql(source: str, key: str, text: str) -> dict[str, str]:
+def embed_sql(source: str, key: str, text: str, p: str = "e") -> dict[str, str]:
     """Feature-hash vectors in sparse form: unnested tokens and digest bytes, summed per slot."""
     return {
-        "e_tok": f"""select {key}, unnest(ts) as tok, unnest(generate_series(0, len(ts) - 1)) as t_idx
+        f"{p}_tok": f"""select {key}, unnest(ts) as tok, unnest(generate_series(0, len(ts) - 1)) as t_idx
           from (select {key}, {words(f'lower({text})')} as ts from {source}) where len(ts) > 0""",
-        "e_hash": f"""select {key}, t_idx, h, i from (select {key}, t_idx, sha256(tok) as h from e_tok), (select unnest(generate_series(0, 7)) as i)""",
-        "e_slot": f"""select {key}, (hi * 16 + lo) * 31 as b, t_idx, (hi - 7.5e0) / 10.0e0 as w from (
+        f"{p}_hash": f"""select {key}, t_idx, h, i from (select {key}, t_idx, sha256(tok) as h from {p}_tok), (select unnest(generate_series(0, 7)) as i)""",
+        f"{p}_slot": f"""select {key}, (hi * 16 + lo) * 31 as b, t_idx, (hi - 7.5e0) / 10.0e0 as w from (
           select {key}, t_idx, strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1 as hi,
-           strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1 as lo from e_hash)""",
-        "e_sum": f"select {key}, (b + t_idx * 7) % 1536 as pos, sum(w) as s from e_slot group by all",
-        "e_norm": f"select {key}, sqrt(sum(s * s)) as nrm from e_sum group by {key}",
-        "e_vec": f"""select {key}, pos, cast(round(s / nrm, 6) as float) as val from e_sum join e_norm using ({key})""",
+           strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1 as lo from {p}_hash)""",
+        f"{p}_sum": f"select {key}, (b + t_idx * 7) % 1536 as pos, sum(w) as s from {p}_slot group by all",
+        f"{p}_norm": f"select {key}, sqrt(sum(s * s)) as nrm from {p}_sum group by {key}",
+        f"{p}_vec": f"""select {key}, pos, cast(round(s / nrm, 6) as float) as val from {p}_sum join {p}_norm using ({key})""",
     }
 
 
 @query("feature_hash_sparse", with_views(body="select item_id, cast(pos as int) as pos, round(cast(val as double), 6) as val from e_vec where val <> 0",
-                                         extra=_embed_sql("benchmark", "item_id", "text")))
+                                         extra=embed_sql("benchmark", "item_id", "text")))
 def feature_hash_sparse(spark, sf_dir):
     b = V.read(spark, sf_dir, "benchmark")
     embed = VX.hashing_embedder()
@@ -134,7 +134,7 @@ def feature_hash_sparse(spark, sf_dir):
 @query("feature_hash_documents", with_views(
     body="""select doc_id, count(*) as non_zero, round(sum(abs(cast(val as double))), 4) as l1,
  round(sum(cast(val as double) * (pos + 1)), 2) as moment from e_vec where abs(val) > 0.0000005 group by doc_id""",
-    extra=_embed_sql("documents", "doc_id", "text")))
+    extra=embed_sql("documents", "doc_id", "text")))
 def feature_hash_documents(spark, sf_dir):
     embed = VX.hashing_embedder()
     v = V.read(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).cast("array<double>").alias("v"))
@@ -143,3 +143,140 @@ def feature_hash_documents(spark, sf_dir):
         "doc_id", F.size(F.filter("v", lambda x: x != 0)).cast("bigint").alias("non_zero"),
         F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("l1"),
         F.round(moment, 2).alias("moment")).filter("non_zero > 0")
+
+
+# ---- hybrid -----------------------------------------------------------------------
+
+VEC_SQL = {
+    **embed_sql("v_payload", "vector_id", "chunk_text", "c"), **embed_sql("v_bench", "query_id", "query", "q"),
+    "c_len": "select vector_id, sqrt(sum(cast(val as double) * val)) as n from c_vec group by 1",
+    "q_len": "select query_id, sqrt(sum(cast(val as double) * val)) as n from q_vec group by 1",
+    "dots": """select query_id, vector_id, sum(cast(a.val as double) * b.val) as d from q_vec a join c_vec b using (pos)
+      join v_bench q using (query_id) join v_payload c using (vector_id) where c.collection_id = q.collection_id and c.document_status <> 'DELETED'
+       and (q.scheme is null or lower(c.scheme_name) = lower(q.scheme)) and (q.language is null or lower(c.language) = lower(q.language))
+       and (q.include_historical or c.active) group by all""",
+    "vecs": """select *, row_number() over (partition by query_id order by vec_score desc, vector_id) as vec_rank from (
+      select query_id, vector_id, round(greatest(0e0, least(1e0, d / c.n / q.n)), 4) as vec_score from dots join c_len c using (vector_id) join q_len q using (query_id))""",
+}
+_MERGED = {
+    **VEC_SQL,
+    "merged": """select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.vector_id, v.vector_id) as vector_id, coalesce(k.kw_score, 0e0) as kw_score,
+      coalesce(v.vec_score, 0e0) as vec_score, k.query_id is not null as in_keyword, v.query_id is not null as in_vector, kw_rank, vec_rank
+      from (select query_id, vector_id, kw_score, kw_rank from v_top) k full join (select * from vecs where vec_rank <= 15) v on k.query_id = v.query_id and k.vector_id = v.vector_id""",
+    "kept": """select m.*, c.scheme_name, c.version_number, c.chunk_text, c.document_id, c.version_id, c.page_number, c.section_heading, c.active,
+       case when in_keyword then c.is_historical else not c.active end as is_historical
+      from merged m join v_payload c using (vector_id) join v_bench q using (query_id) where (q.scheme is null or contains(lower(c.scheme_name), lower(q.scheme)))
+       and (q.state_or_district is null or contains(lower(c.state_or_district), lower(q.state_or_district))) and (q.language is null or lower(c.language) = lower(q.language))""",
+    "blended": """select *, case when in_keyword and in_vector then 0.5e0 * kw_score + 0.5e0 * vec_score + 0.1e0 when in_keyword then least(0.92e0, 0.45e0 + 0.45e0 * kw_score) else vec_score end as b
+      from kept where q_active(is_historical, query_id)""".replace("q_active(is_historical, query_id)", "not (is_historical and query_id % 8 <> 1)"),
+    "fused": """select *, cast(printf('%.4f', greatest(0e0, least(1e0, case when not is_historical and b >= 0.35 then least(1e0, b + 0.05e0) else b end))) as double) as score from blended""",
+    "gated": """select *, row_number() over (partition by query_id order by score desc, is_historical, version_number desc, kw_rank nulls last, vec_rank nulls last, vector_id) as rank
+      from fused where score >= 0.5""",
+}
+
+
+def _passage_hybrid(spark, sf_dir):
+    from folioground.plans.answer import hybrid_search
+    c = passage_corpus(spark, sf_dir)
+    return staged(spark, sf_dir, "passage_hybrid", lambda: stage_table(hybrid_search(
+        V.bench_queries(spark, sf_dir), c.payload, c.postings, c.doc_postings, passage_vectors(spark, sf_dir), VX.hashing_embedder()), "hybrid"))
+
+
+@query("vector_search_passages", with_views("v_payload", "v_bench", extra=VEC_SQL, body="""
+select query_id, vector_id, vec_score, cast(vec_rank as int) as vec_rank from vecs where vec_rank <= 15"""))
+def vector_search_passages(spark, sf_dir):
+    embed = VX.hashing_embedder()
+    q = V.bench_queries(spark, sf_dir).select(
+        "query_id", X.namespace(F.col("collection_id")).alias("namespace"), embed(F.col("query")).alias("values"), "scheme", "language",
+        F.when(~F.col("include_historical"), "true").alias("f_active"))
+    return knn.nearest(q, passage_vectors(spark, sf_dir), 15, {"scheme": "scheme_name", "language": "language", "f_active": "active"})
+
+
+@query("vector_metadata_filter", """
+select q.vec_id as query_id, cast(v.vec_id as varchar) as vector_id from embeddings q join embeddings v using (label)
+where q.vec_id % 100 = 0 and (q.vec_id % 200 = 0 or v.vec_id % 7 = 0 or v.vec_id % 3 = (q.vec_id // 100) % 3)""")
+def vector_metadata_filter(spark, sf_dir):
+    """A filter value compared as text; absent on the query or on the vector, it passes."""
+    v = V.stored_vectors(spark, sf_dir)
+    i = F.col("vector_id").cast("bigint")
+    held = v.withColumn("tag", F.when(i % 7 != 0, F.concat(F.lit("T"), (i % 3).cast("string"))))
+    q = (v.filter(i % 100 == 0).withColumn("wanted", F.when(i % 200 != 0, F.concat(F.lit("t"), (F.floor(i / 100) % 3).cast("string"))))
+         .select(i.alias("query_id"), "namespace", "values", "wanted"))
+    return knn.nearest(q, held, 1_000_000, {"wanted": "tag"}).select("query_id", "vector_id")
+
+
+@query("hybrid_search", with_views("v_top", extra=_MERGED, body="""
+select query_id, cast(rank as int) as rank, document_id, scheme_name || ' (v' || version_number || ')' as document_title, page_number, score, is_historical,
+ case when in_keyword and in_vector then 'Hybrid Match: Exact keyword match + Semantic similarity (' || printf('%.2f', vec_score) || ')' when in_keyword
+  then 'Keyword Match: Exact term/phrase match in document text' else 'Semantic Match: High vector similarity (' || printf('%.2f', vec_score) || ')' end as retrieval_reason,
+ case when length(t) > 400 then substr(t, 1, 400) || '...' else t end as excerpt
+from (select *, case when in_keyword then chunk_text else case when length(chunk_text) > 950 then substr(chunk_text, 1, 950) || '...' else chunk_text end end as t from gated where rank <= 5)"""))
+def hybrid_search(spark, sf_dir):
+    return _passage_hybrid(spark, sf_dir).select(
+        "query_id", "rank", "document_id", "document_title", "page_number", "score", "is_historical", "retrieval_reason", "excerpt")
+
+
+@query("candidate_merge", with_views("v_top", extra=_MERGED, body="""
+select query_id, vector_id, round(kw_score, 9) as kw_score, vec_score, in_keyword, in_vector from merged"""))
+def candidate_merge(spark, sf_dir):
+    spot = passage_payload(spark, sf_dir).select("vector_id", "version_id", "page_number")
+    kw = KW.normalized_scores(keyword_hits(spark, sf_dir, 15)).join(spot, "vector_id")
+    near = vector_search_passages(spark, sf_dir).join(spot, "vector_id")
+    return fusion.merge_candidates(kw, near).select(
+        "query_id", "vector_id", F.round("kw_score", 9).alias("kw_score"), "vec_score", "in_keyword", "in_vector")
+
+
+# ---- rankings and evaluation ------------------------------------------------------
+
+_BM = {
+    "toks": f"select vector_id, unnest({words('normalized_text')}) as term, len({words('normalized_text')}) as dl from v_payload",
+    "tf": "select vector_id, dl, term, count(*) as tf from toks group by all", "df": "select term, count(*) as df from tf group by term",
+    "n": f"select count(*) as n, avg(len({words('normalized_text')})) as avgdl from v_payload",
+    "qt": f"select distinct query_id, unnest({words(fold('query'))}) as term from v_bench",
+    "bm": """select query_id, vector_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) as bm25
+      from qt join df using (term) join tf using (term), n group by all""",
+    "bmr": "select *, row_number() over (partition by query_id order by bm25 desc, vector_id) as rank from bm",
+}
+
+
+def _bm25(spark, sf_dir, k):
+    return ranking.bm25(V.bench_queries(spark, sf_dir), passage_payload(spark, sf_dir), k)
+
+
+@query("bm25_ranking", with_views("v_payload", "v_bench", extra=_BM, body="select query_id, vector_id, bm25, cast(rank as int) as rank from bmr where rank <= 30"))
+def bm25_ranking(spark, sf_dir):
+    return _bm25(spark, sf_dir, 30)
+
+
+@query("reciprocal_rank_fusion", with_views("v_payload", "v_bench", extra={
+    **_BM, **VEC_SQL, "both_sides": "select query_id, vector_id, rank from bmr where rank <= 30 union all select query_id, vector_id, vec_rank from vecs where vec_rank <= 15"}, body="""
+select query_id, vector_id, rrf, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by rrf desc, vector_id) as rank from (
+ select query_id, vector_id, round(sum(1e0 / (60 + rank)), 8) as rrf from both_sides group by all)) where rank <= 15"""))
+def reciprocal_rank_fusion(spark, sf_dir):
+    vec = vector_search_passages(spark, sf_dir).withColumnRenamed("vec_rank", "rank")
+    return ranking.reciprocal_rank_fusion(_bm25(spark, sf_dir, 30), vec, 15)
+
+
+@query("known_relevance", "select b.item_id as needle_id, d.doc_id as haystack_id from documents d join benchmark b on contains(d.text, b.text)")
+def known_relevance(spark, sf_dir):
+    """Benchmark passages standing verbatim in documents."""
+    needles = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    texts = V.read_texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("haystack_id"), F.col("text").alias("haystack"))
+    return matching.passage_pairs(needles, texts)
+
+
+@query("retrieval_quality", with_views("v_payload", "v_bench", extra={
+    **_BM, "truth": "select b.item_id as query_id, d.doc_id as document_id from documents d join benchmark b on contains(d.text, b.text)",
+    "res": "select r.query_id, p.document_id from bmr r join v_payload p using (vector_id) where rank <= 10",
+    "pq": "select t.query_id, count(r.document_id) as shown, count(k.document_id) as found from (select distinct query_id from truth) t left join res r using (query_id) left join truth k on k.query_id = r.query_id and k.document_id = r.document_id group by 1"}, body="""
+select count(*) as n_queries, round(avg(case when found > 0 then 1e0 else 0e0 end), 6) as hit_at_k, round(coalesce(sum(found)::double / sum(shown), 0e0), 6) as page_precision from pq"""))
+def retrieval_quality(spark, sf_dir):
+    truth = known_relevance(spark, sf_dir).toDF("query_id", "document_id")
+    res = _bm25(spark, sf_dir, 10).join(passage_payload(spark, sf_dir).select("vector_id", "document_id"), "vector_id")
+    return ranking.retrieval_quality(res, truth, 10)
+
+
+@query("retrieval_quality_hybrid")
+def retrieval_quality_hybrid(spark, sf_dir):
+    truth = known_relevance(spark, sf_dir).toDF("query_id", "document_id")
+    return ranking.retrieval_quality(_passage_hybrid(spark, sf_dir), truth, 5)

@@ -180,6 +180,6 @@ def with_views(*names: str, body: str, extra: dict[str, str] | None = None) -> s
 
     for n in names:
         add(n)
-    parts = [f"{n} as ({VIEWS[n][1].strip()})" for n in ordered]
-    parts += [f"{n} as ({sql.strip()})" for n, sql in (extra or {}).items()]
+    parts = [f"{n} as materialized ({VIEWS[n][1].strip()})" for n in ordered]
+    parts += [f"{n} as materialized ({sql.strip()})" for n, sql in (extra or {}).items()]
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
