@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioground import constants as C
 from folioground.functions import access as A, text as X
@@ -58,10 +58,9 @@ def list_documents(documents: DataFrame, versions: DataFrame, include_archived:
 
 
 def version_history(versions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Versions of the asked documents with their place, newest first."""
-    order = Window.partitionBy("document_id").orderBy(F.desc("version_number"))
+    """Versions of the asked documents, newest first: a range sort, so a long history is split."""
     return (versions.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-            .withColumn("place", F.row_number().over(order)))
+            .orderBy("document_id", F.desc("version_number")))
 
 
 def list_collections(collections: DataFrame, documents: DataFrame, departments: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def chunk_payload(chunks: DataFrame, documents: DataFrame, versions: DataFrame,
     active = (F.col("document_status") == C.ACTIVE) & (F.col("version_status") == C.ACTIVE)
     archived = (F.col("document_status") == C.ARCHIVED) | (F.col("version_status") == C.ARCHIVED)
     snippet = X.strip(F.coalesce("chunk_text", F.lit("")))
+    # Attributes meet first, among catalog rows; the chunk text then moves once.
     return (
-        chunks.drop("document_id").join(v, "version_id").join(d, "document_id")
+        chunks.drop("document_id").join(v.join(d, "document_id"), "version_id")
         .select(
             "vector_id", X.namespace(F.col("collection_id")).alias("namespace"), "collection_id",
             "document_id", "version_id", "version_number", "page_number",
@@ -49,16 +50,18 @@ def _bits(words: Column, bits: int) -> Column:
 
 def chunk_postings(payload: DataFrame) -> DataFrame:
     """(collection_id, word) to chunks, one row per distinct word of a chunk and where it stands."""
-    raw = F.array_distinct(X.words(F.lower("chunk_text")))
-    folded = F.array_distinct(X.words(F.col("normalized_text")))
-    heading = F.array_distinct(X.words(F.lower(F.coalesce("section_heading", F.lit("")))))
     entries = F.concat(
-        _bits(F.array_intersect(raw, folded), IN_TEXT | IN_NORMALIZED),
-        _bits(F.array_except(raw, folded), IN_TEXT),
-        _bits(F.array_except(folded, raw), IN_NORMALIZED),
-        _bits(heading, IN_HEADING))
-    return searchable(payload).select(
-        "collection_id", "vector_id", "active", F.inline(entries))
+        _bits(F.array_intersect("raw", "folded"), IN_TEXT | IN_NORMALIZED),
+        _bits(F.array_except("raw", "folded"), IN_TEXT),
+        _bits(F.array_except("folded", "raw"), IN_NORMALIZED),
+        _bits(F.col("heading"), IN_HEADING))
+    return (
+        searchable(payload)
+        .withColumns({
+            "raw": F.array_distinct(X.words(F.lower("chunk_text"))),
+            "folded": F.array_distinct(X.words(F.col("normalized_text"))),
+            "heading": F.array_distinct(X.words(F.lower(F.coalesce("section_heading", F.lit("")))))})
+        .select("collection_id", "vector_id", "active", F.inline(entries)))
 
 
 def document_postings(documents: DataFrame) -> DataFrame:

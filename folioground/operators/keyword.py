@@ -95,14 +95,16 @@ def _hits(q: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: D
     collections = terms.select("collection_id").distinct()
     postings = postings.join(collections, "collection_id", "left_semi")
     doc_postings = doc_postings.join(collections, "collection_id", "left_semi")
-    vocabulary = stage_table(postings.groupBy("word").agg(F.count("*").alias("df")), "vocabulary")
-    doc_words = doc_postings.select("word").distinct()
+    vocabulary = stage_table(
+        postings.select("word").unionAll(doc_postings.select("word")).groupBy("word")
+        .agg(F.count("*").alias("df")), "vocabulary")
+    pairs = _term_words(terms, vocabulary)
     in_chunks = (
-        _by_word(postings, _term_words(terms, vocabulary), vocabulary, hot_rows)
+        _by_word(postings, pairs, vocabulary, hot_rows)
         .join(asked, ["collection_id", "term"], "left_semi")
         .select("collection_id", "vector_id", "active", "term", "bits"))
     in_documents = (
-        doc_postings.join(_term_words(terms, doc_words), "word")
+        doc_postings.join(pairs, "word")
         .join(asked, ["collection_id", "term"], "left_semi")
         .groupBy("collection_id", "document_id", "term").agg(F.bit_or("bits").alias("bits"))
         .join(I.searchable(payload).select("document_id", "vector_id", "active"), "document_id")

@@ -2,60 +2,49 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioground.functions import text as X
 
 SHINGLE_WORDS = 3
-SHORT = 48
+KEY = 24
+WINDOW = 40
+
 
+def _spelled(texts: DataFrame, name: str) -> DataFrame:
+    """Every substring of up to ``KEY`` characters of each text, a row each: linear in its length.
 
-def _gram_rows(texts: DataFrame, name: str, size: int) -> DataFrame:
-    """Every substring of one size, a row each."""
-    at = F.explode(F.sequence(F.lit(1), F.length(name) - size + 1)).alias("at")
-    return (texts.filter(F.length(name) >= size).select(name, at)
-            .select(name, F.substring(name, F.col("at"), F.lit(size)).alias("gram")))
+    A text is first cut into overlapping windows, so no substring is taken far from its start.
+    """
+    window = F.explode(F.sequence(F.lit(0), F.floor((F.length(name) - 1) / WINDOW).cast("int"))).alias("w")
+    start = F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("part")))).alias("start")
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("part") - F.col("start") + 1))).alias("size")
+    parts = texts.filter(F.length(name) > 0).select(name, window).select(
+        name, F.substring(name, F.col("w") * WINDOW + 1, F.lit(WINDOW + KEY - 1)).alias("part"))
+    return (parts.select(name, "part", start).select(name, "part", "start", size)
+            .select(name, F.substring("part", F.col("start"), F.col("size")).alias("key")))
 
 
 def substring_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """All (needle, haystack) with the needle inside the haystack.
 
-    Both inputs hold one column of distinct strings, named ``needle`` and ``haystack``. A haystack
-    of up to ``SHORT`` characters is spelled out into its substrings, which meet needles by plain
-    equality. For a longer one each needle is looked up by its rarest trigram (by itself up to
-    three characters), so the join key stays selective and only its matches are verified.
+    Both inputs hold one column of distinct strings, named ``needle`` and ``haystack``. Haystacks are
+    spelled out into short substrings that meet the first ``KEY`` characters of a needle by plain
+    equality; only longer needles are then verified. Nothing is compared all with all.
     """
-    needle, haystack = F.col("needle"), F.col("haystack")
-    start = F.explode(F.sequence(F.lit(1), F.length("haystack"))).alias("start")
-    size = F.explode(F.sequence(F.lit(1), F.length("haystack") - F.col("start") + 1)).alias("size")
-    spelled = (
-        haystacks.filter(F.length("haystack").between(1, SHORT)).select("haystack", start)
-        .select("haystack", "start", size)
-        .select("haystack", F.substring("haystack", F.col("start"), F.col("size")).alias("needle")))
-    in_short = spelled.join(needles, "needle").select("needle", "haystack").distinct()
-
-    long_ones = haystacks.filter(F.length("haystack") > SHORT)
-    tiny = needles.filter(F.length(needle).between(1, 3)).select("needle", needle.alias("gram"))
-    needle_grams = _gram_rows(needles.filter(F.length(needle) > 3), "needle", 3).unionByName(tiny)
-    all_grams = reduce(DataFrame.unionByName, [_gram_rows(long_ones, "haystack", n) for n in (1, 2, 3)])
-    hay_grams = all_grams.join(needle_grams.select("gram").distinct(), "gram", "left_semi").distinct()
-    frequency = hay_grams.groupBy("gram").count()
-    anchors = (
-        needle_grams.join(frequency, "gram", "left")
-        .groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("gram"))).alias("rarest"))
-        .select("needle", F.col("rarest.gram").alias("gram")))
-    in_long = (anchors.join(hay_grams, "gram").filter(F.contains(haystack, needle))
-               .select("needle", "haystack"))
-    return in_short.unionByName(in_long)
+    keyed = needles.filter(F.length("needle") > 0).withColumn("key", F.substring("needle", 1, KEY))
+    # A few bytes of words spell out into many rows: keep every task of the session busy.
+    tasks = int(haystacks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (_spelled(haystacks.repartition(tasks, "haystack"), "haystack").join(keyed, "key")
+            .filter((F.length("needle") <= KEY) | F.contains("haystack", "needle"))
+            .select("needle", "haystack").distinct())
 
 
-def _shingles(words: Column) -> Column:
-    at = F.sequence(F.lit(1), F.size(words) - SHINGLE_WORDS + 1)
-    hashed = F.transform(at, lambda i: F.xxhash64(F.slice(words, i, SHINGLE_WORDS)))
-    return F.when(F.size(words) >= SHINGLE_WORDS, hashed).otherwise(F.array().cast("array<bigint>"))
+def _shingles(words: str) -> Column:
+    """Hashes of every run of three words, from a column of words, by zipping it with itself."""
+    n = F.greatest(F.size(words) - SHINGLE_WORDS + 1, F.lit(0))
+    first, second, third = (F.slice(words, F.lit(k), n) for k in (1, 2, 3))
+    return F.zip_with(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), third, lambda h, c: F.xxhash64(h, c))
 
 
 def passage_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
@@ -70,11 +59,11 @@ def passage_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     long_enough = F.size("ws") >= SHINGLE_WORDS + 2
     inner = (
         wide.filter(long_enough)
-        .select("needle_id", F.explode(F.array_distinct(_shingles(
-            F.slice("ws", 2, F.size("ws") - 2)))).alias("shingle")))
+        .withColumn("inside", F.slice("ws", F.lit(2), F.size("ws") - 2))
+        .select("needle_id", F.explode(F.array_distinct(_shingles("inside"))).alias("shingle")))
     text_shingles = (
-        haystacks.select("haystack_id", F.explode(F.array_distinct(_shingles(
-            X.words(F.col("haystack"))))).alias("shingle"))
+        haystacks.withColumn("ws", X.words(F.col("haystack")))
+        .select("haystack_id", F.explode(F.array_distinct(_shingles("ws"))).alias("shingle"))
         .join(inner.select("shingle").distinct(), "shingle", "left_semi"))
     frequency = text_shingles.groupBy("shingle").count()
     anchors = (

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioground import constants as C
 from folioground.functions import text as X
 
-_NONE = F.lit(None)
-
 
 def any_word(q: Column, keywords: list[str]) -> Column:
     """One of the keywords stands in the text as whole words."""

@@ -263,7 +263,7 @@ def latest_versions(spark, sf_dir):
 
 
 @query("version_history", with_views("v_versions", body="""
-select document_id, version_id, version_number, status, cast(row_number() over (partition by document_id order by version_number desc) as int) as place from v_versions"""))
+select document_id, version_id, version_number, status from v_versions"""))
 def version_history(spark, sf_dir):
     v = V.versions(spark, sf_dir).select("document_id", "version_id", "version_number", "status")
     return D.version_history(v, V.documents(spark, sf_dir))

@@ -229,7 +229,7 @@ def candidate_merge(spark, sf_dir):
 # ---- rankings and evaluation ------------------------------------------------------
 
 _BM = {
-    "toks": f"select vector_id, unnest({words('normalized_text')}) as term, len({words('normalized_text')}) as dl from v_payload",
+    "toks": f"select vector_id, unnest(ws) as term, len(ws) as dl from (select vector_id, {words('normalized_text')} as ws from v_payload)",
     "tf": "select vector_id, dl, term, count(*) as tf from toks group by all", "df": "select term, count(*) as df from tf group by term",
     "n": f"select count(*) as n, avg(len({words('normalized_text')})) as avgdl from v_payload",
     "qt": f"select distinct query_id, unnest({words(fold('query'))}) as term from v_bench",

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
-
-
-TABLES: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in {
+# Readers take these DDL strings as they are.
+TABLES: dict[str, str] = {
     "roles": "role_id string, name string, permissions array<string>",
     "departments": "department_id string, name string, code string",
     "users": "user_id string, email string, full_name string, role string, department_id string, is_active boolean",
@@ -39,4 +33,4 @@ TABLES: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in {
     "audit_events": "user_id string, action string, entity_type string, entity_id string, details string, "
                     "created_at timestamp_ntz",
     "feedback": "qa_id string, user_id string, rating int, feedback_text string, created_at timestamp_ntz",
-}.items()}
+}

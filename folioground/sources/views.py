@@ -72,12 +72,12 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_pages(texts: DataFrame) -> DataFrame:
     """Pages of eight lines. The split is done inside the row, so nothing is shuffled."""
-    lines = F.split("text", "\n")
     cut = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES_PER_PAGE).cast("int")),
-        lambda i: F.array_join(F.slice(lines, i * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"))
+        F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int")),
+        lambda i: F.array_join(F.slice("lines", i * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"))
     return (
-        texts.select("version_id", "document_id", F.posexplode(cut).alias("pos", "raw_text"))
+        texts.withColumn("lines", F.split("text", "\n"))
+        .select("version_id", "document_id", F.posexplode(cut).alias("pos", "raw_text"))
         .select("version_id", "document_id", (F.col("pos") + 1).alias("page_number"), "raw_text"))
 
 
