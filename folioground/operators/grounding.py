@@ -106,19 +106,21 @@ def check_claims(answers: DataFrame, passages: DataFrame, keys: list[str] = ["qu
         marked.withColumn("is_cited", F.col("cited_title").isNotNull()).withColumn("leads", lead)
         .withColumn("said", X.content_words(F.when(F.col("is_cited"), bare).otherwise(F.col("statement")))))
     title_page = F.struct(F.lower(X.strip(F.col("document_title"))).alias("t"), F.col("page_number").alias("p"))
-    shown = passages.select("query_id", "rank", "document_title", "page_number", "excerpt", "section_heading",
-                            title_page.alias("tp"))
+    # The words of a passage are read once, before it meets its claims.
+    everything = X.all_words(F.concat_ws(" ", "document_title", "excerpt", _blank_if_null("section_heading")))
+    shown = passages.select("query_id", "rank", "document_title", "page_number", "excerpt",
+                            title_page.alias("tp"), everything.alias("everything"))
     # A title and page shown twice keeps its first place but the words of its last passage.
     by_page = shown.groupBy("query_id", "tp").agg(
         F.min("rank").alias("rank"), F.max_by("excerpt", "rank").alias("excerpt"),
-        F.max_by("document_title", "rank").alias("document_title"))
+        F.max_by("document_title", "rank").alias("document_title")).select(
+        "query_id", "tp", "rank", X.all_words(F.concat_ws(" ", "document_title", "excerpt")).alias("words_there"))
     ids = [*keys, "claim_idx"]
 
     cited_low = F.lower("cited_title")
     same = (F.contains(F.col("tp.t"), cited_low) | F.contains(cited_low, F.col("tp.t"))) & (
         F.col("cited_page").isNull() | (F.col("cited_page") == F.col("tp.p")))
-    words_there = X.all_words(F.concat_ws(" ", "document_title", "excerpt"))
-    share = F.when(F.size("said") > 0, _ratio(F.array_intersect("said", words_there), F.col("said"))).otherwise(1.0)
+    share = F.when(F.size("said") > 0, _ratio(F.array_intersect("said", "words_there"), F.col("said"))).otherwise(1.0)
     cited = (
         claims.filter("is_cited").join(by_page, "query_id", "left")
         .groupBy(*ids).agg(F.min_by(F.when(same, share), F.when(same, F.col("rank"))).alias("overlap"))
@@ -126,8 +128,7 @@ def check_claims(answers: DataFrame, passages: DataFrame, keys: list[str] = ["qu
                 F.coalesce(F.col("overlap") >= C.CLAIM_OVERLAP_CITED, F.lit(False)).alias("verified"),
                 F.lit(None).cast("string").alias("found_title"), F.lit(None).cast("int").alias("found_page")))
 
-    everything = X.all_words(F.concat_ws(" ", "document_title", "excerpt", _blank_if_null("section_heading")))
-    shared = F.when(F.size("said") > 0, _ratio(F.array_intersect("said", everything), F.col("said"))).otherwise(1.0)
+    shared = F.when(F.size("said") > 0, _ratio(F.array_intersect("said", "everything"), F.col("said"))).otherwise(1.0)
     enough = F.col("leads") | ((F.size("said") > 0) & (F.col("shared") >= C.CLAIM_OVERLAP_UNCITED))
     where = F.when(enough & F.col("rank").isNotNull(), F.col("rank"))
     plain = (

@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioground.functions import text as X
 from folioground.operators.keyword import SALTS, top_k
+from folioground.staging import stage_table
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(vector_id, term, tf, dl): words of a chunk are counted inside its row's own group."""
-    tokens = X.words(F.col("normalized_text"))
+def term_frequencies(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(vector_id, term, tf, dl) of the wanted terms; all others are dropped before counting."""
+    tokens = chunks.select("vector_id", X.words(F.col("normalized_text")).alias("ws"))
     return (
-        chunks.select("vector_id", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-        .groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")))
+        tokens.select("vector_id", F.size("ws").alias("dl"), "ws")
+        .select("vector_id", "dl", F.explode("ws").alias("term"))
+        .join(wanted, "term", "left_semi").groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
          salts: int = SALTS) -> DataFrame:
     """Top ``k`` chunks per query by BM25 over normalised words."""
-    asked = (
-        queries.select("query_id", F.explode(F.array_distinct(X.words(
-            X.normalize_for_search(F.col("query"))))).alias("term")))
+    asked = stage_table(queries.select("query_id", F.explode(F.array_distinct(X.words(
+        X.normalize_for_search(F.col("query"))))).alias("term")), "bm25_terms")
     stats = chunks.agg(F.count("*").alias("n_docs"), F.avg(X.word_count(F.col("normalized_text"))).alias("avgdl"))
-    postings = term_frequencies(chunks).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = stage_table(term_frequencies(chunks, asked.select("term").distinct()), "bm25_postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, d = F.col("n_docs"), F.col("df")
     idf = F.log(F.lit(1.0) + (n - d + F.lit(0.5)) / (d + F.lit(0.5)))

@@ -55,9 +55,8 @@ def income(q: Column) -> Column:
     """struct(income_range, max_income): a named band, else an amount with its unit."""
     amount = F.regexp_replace(F.regexp_extract(q, "(?U)" + C.INCOME_AMOUNT, 1), ",", "").try_cast("double")
     unit = F.regexp_extract(q, "(?U)" + C.INCOME_AMOUNT, 2)
-    factor = F.lit(1.0)
-    for name, value in C.INCOME_UNITS.items():
-        factor = F.when(unit == name, F.lit(value)).otherwise(factor)
+    units = F.create_map(*[F.lit(x) for pair in C.INCOME_UNITS.items() for x in pair])
+    factor = F.coalesce(F.try_element_at(units, unit), F.lit(1.0))
     alone = F.regexp_extract(q, "(?U)" + C.INCOME_STANDALONE, 1).try_cast("double") * F.lit(100000.0)
     value = F.coalesce(amount * factor, alone)
     expr = None
