@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 VECTORS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 8192
 _STRIPE = 128
 
 

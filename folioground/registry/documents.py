@@ -189,7 +189,7 @@ def metadata_filters(spark, sf_dir):
 
 
 @query("payload_joins", with_views("v_passages", "v_documents", "v_versions", body="""
-select d.collection_id, v.version_number, count(*) as n_chunks, sum(length(p.chunk_text)) as n_chars from v_passages p
+select d.collection_id, v.version_number, count(*) as n_chunks, cast(sum(length(p.chunk_text)) as bigint) as n_chars from v_passages p
 join v_documents d on d.document_id = p.document_id join v_versions v on v.version_id = p.version_id group by all"""))
 def payload_joins(spark, sf_dir):
     return passage_payload(spark, sf_dir).groupBy("collection_id", "version_number").agg(
@@ -400,11 +400,6 @@ def page_previews(spark, sf_dir):
     return D.page_previews(asked, held).withColumn("word_count", F.col("word_count").cast(BIG))
 
 
-_PROCESSED = f"""select document_id, count(*) as n_pages, count(*) filter (where ocr) as n_ocr, count(*) filter (where not ocr) as n_native, count(*) filter (where s) as n_scanned
- from (select document_id, {n_words('native_text')} < 15 as s, {n_words('native_text')} < 15 and ocr_text is not null and trim(ocr_text) <> ''
-   and lower(native_text) <> lower(regexp_replace(ocr_text, '^\\s+|\\s+$', '', 'g')) and {n_words('ocr_text')} > {n_words('native_text')} as ocr from v_readings) group by document_id"""
-
-
 @query("processing_summary")
 def processing_summary(spark, sf_dir):
     pages = P.process_pages(V.page_readings(spark, sf_dir))
@@ -416,7 +411,7 @@ def processing_summary(spark, sf_dir):
     "j": "select * from v_jobs qualify row_number() over (partition by document_id order by created_seq desc) = 1"}, body="""
 select d.document_id, coalesce(j.job_id, 'job-direct') as job_id, coalesce(j.status, d.status) as status,
  coalesce(j.progress_percent, case when d.status = 'ACTIVE' then 100 else 0 end) as progress_percent, coalesce(j.s_total_pages, p.n) as total_pages, p.n as native_text_pages,
- coalesce(j.s_ocr_pages, 0) as ocr_pages, 0 as failed_pages, 0 as low_confidence_pages, p.scanned as scanned_pages
+ coalesce(j.s_ocr_pages, 0) as ocr_pages, 0::bigint as failed_pages, 0::bigint as low_confidence_pages, p.scanned as scanned_pages
 from v_documents d join p using (document_id) left join j on j.document_id = d.document_id"""))
 def processing_summary_direct(spark, sf_dir):
     """Pages without OCR, so every page is native."""

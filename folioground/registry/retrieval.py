@@ -83,7 +83,7 @@ def keyword_score_normalisation(spark, sf_dir):
 _KNN_SQL = """
 select q.vec_id as query_id, cast(v.vec_id as varchar) as vector_id,
  round(greatest(0.0e0, least(1.0e0, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])))), 4) as vec_score
-from embeddings q join embeddings v on q.label = v.label where q.vec_id % 50 = 0"""
+from embeddings q join embeddings v on q.label = v.label"""
 
 
 @query("vector_top_k", f"""
@@ -92,9 +92,7 @@ select query_id, vector_id, vec_score, cast(vec_rank as int) as vec_rank from (
 where vec_rank <= 10""")
 def vector_top_k(spark, sf_dir):
     v = V.stored_vectors(spark, sf_dir)
-    q = (v.withColumn("query_id", F.col("vector_id").cast("bigint")).filter("query_id % 50 = 0")
-         .select("query_id", "namespace", "values"))
-    return knn.nearest(q, v, 10)
+    return knn.nearest(v.select(F.col("vector_id").cast("bigint").alias("query_id"), "namespace", "values"), v, 10)
 
 
 @query("cosine_to_namespace_head", """
@@ -192,17 +190,17 @@ def vector_search_passages(spark, sf_dir):
     return knn.nearest(q, passage_vectors(spark, sf_dir), 15, {"scheme": "scheme_name", "language": "language", "f_active": "active"})
 
 
-@query("vector_metadata_filter", """
-select q.vec_id as query_id, cast(v.vec_id as varchar) as vector_id from embeddings q join embeddings v using (label)
-where q.vec_id % 100 = 0 and (q.vec_id % 200 = 0 or v.vec_id % 7 = 0 or v.vec_id % 3 = (q.vec_id // 100) % 3)""")
+@query("vector_metadata_filter", f"""
+select query_id, vector_id, vec_score, cast(vec_rank as int) as vec_rank from (
+ select *, row_number() over (partition by query_id order by vec_score desc, vector_id) as vec_rank from ({_KNN_SQL}
+  where q.vec_id % 2 = 0 or v.vec_id % 7 = 0 or v.vec_id % 3 = q.vec_id % 3)) where vec_rank <= 20""")
 def vector_metadata_filter(spark, sf_dir):
     """A filter value compared as text; absent on the query or on the vector, it passes."""
     v = V.stored_vectors(spark, sf_dir)
     i = F.col("vector_id").cast("bigint")
     held = v.withColumn("tag", F.when(i % 7 != 0, F.concat(F.lit("T"), (i % 3).cast("string"))))
-    q = (v.filter(i % 100 == 0).withColumn("wanted", F.when(i % 200 != 0, F.concat(F.lit("t"), (F.floor(i / 100) % 3).cast("string"))))
-         .select(i.alias("query_id"), "namespace", "values", "wanted"))
-    return knn.nearest(q, held, 1_000_000, {"wanted": "tag"}).select("query_id", "vector_id")
+    q = v.select(i.alias("query_id"), "namespace", "values", F.when(i % 2 != 0, F.concat(F.lit("t"), (i % 3).cast("string"))).alias("wanted"))
+    return knn.nearest(q, held, 20, {"wanted": "tag"})
 
 
 @query("hybrid_search", with_views("v_top", extra=_MERGED, body="""

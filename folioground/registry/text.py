@@ -243,7 +243,7 @@ pack(version_id, page_number, n, held, parts, out_text, phase) as (
     else 'flush' end as act
   from pack k join ends e using (version_id, page_number) left join pieces p on p.version_id = k.version_id and p.page_number = k.page_number and p.n = k.n + 1
   where k.phase <> 'done' and not (k.phase = 'take' and k.n = e.last_n and len(k.held) = 0)))
-select version_id, page_number, count(*) as n_chunks, sum(length(out_text)) as n_chars, min(sha256(out_text)) as min_hash, max(sha256(out_text)) as max_hash
+select version_id, page_number, count(*) as n_chunks, cast(sum(length(out_text)) as bigint) as n_chars, min(sha256(out_text)) as min_hash, max(sha256(out_text)) as max_hash
 from pack where out_text is not null group by version_id, page_number""").replace("with v_pages", "with recursive v_pages", 1).replace(")\n,\npack", "),\npack", 1))
 def chunk_packing_rules(spark, sf_dir):
     h = F.sha2("chunk_text", 256)
