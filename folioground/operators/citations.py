@@ -14,17 +14,13 @@ def _resolve_documents(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """The cited document by id, else the smallest id whose scheme name holds the cited title."""
     known = documents.select("document_id", F.lit(True).alias("known"))
     by_id = citations.join(known, "document_id", "left")
-    lost = by_id.filter(F.col("known").isNull())
+    found = by_id.filter("known").drop("known").withColumn("resolved", F.col("document_id"))
+    lost = by_id.filter(F.col("known").isNull()).drop("known").withColumn("title_low", F.lower("document_title"))
     names = documents.groupBy(F.lower("scheme_name").alias("haystack")).agg(F.min("document_id").alias("doc"))
-    titles = lost.select(F.lower("document_title").alias("needle")).distinct()
     by_title = (
-        substring_pairs(titles, names.select("haystack")).join(names, "haystack")
-        .groupBy(F.col("needle").alias("title_low")).agg(F.min("doc").alias("title_document")))
-    return (
-        by_id.withColumn("title_low", F.when(F.col("known").isNull(), F.lower("document_title")))
-        .join(by_title, "title_low", "left")
-        .withColumn("resolved", F.when(F.col("known"), F.col("document_id")).otherwise(F.col("title_document")))
-        .drop("title_low", "known", "title_document"))
+        substring_pairs(lost.select(F.col("title_low").alias("needle")).distinct(), names.select("haystack"))
+        .join(names, "haystack").groupBy(F.col("needle").alias("title_low")).agg(F.min("doc").alias("resolved")))
+    return found.unionByName(lost.join(by_title, "title_low", "left").select(*found.columns))
 
 
 def _same_evidence(cited: Column, shown: Column, cited_text: Column, shown_text: Column) -> Column:

@@ -18,7 +18,9 @@ def judge_requests(requests: DataFrame, collections: DataFrame, users: DataFrame
     ``requests``: query_id, query, collection_id, user_id, include_historical and filters.
     """
     rooms = collections.select("collection_id", "is_private", "is_active", "owner_user_id")
-    who = users.select("user_id", A.role_permissions(F.col("role")).alias("permissions"))
+    # Anonymous requests get a key of their own each, so they do not all meet in one task.
+    who = users.select(F.col("user_id").cast("string").alias("who"), A.role_permissions(F.col("role")).alias("permissions"))
+    key = F.coalesce(F.col("user_id").cast("string"), F.concat(F.lit("anonymous-"), F.col("query_id").cast("string")))
     asked = F.length(F.coalesce("query", F.lit("")))
     reason = (
         F.when(asked < 3, "QUERY_TOO_SHORT").when(asked > 500, "QUERY_TOO_LONG")
@@ -28,7 +30,7 @@ def judge_requests(requests: DataFrame, collections: DataFrame, users: DataFrame
               "FORBIDDEN_COLLECTION")
         .otherwise(A.history_denied(F.col("include_historical"), F.col("permissions"))))
     return (
-        requests.join(who, "user_id", "left").withColumn("permissions", F.coalesce("permissions", A.text_array([])))
+        requests.withColumn("who", key).join(who, "who", "left").drop("who").withColumn("permissions", F.coalesce("permissions", A.text_array([])))
         .join(rooms, "collection_id", "left").withColumn("reject_reason", reason)
         .drop("is_private", "is_active", "owner_user_id"))
 

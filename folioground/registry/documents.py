@@ -196,6 +196,14 @@ def payload_joins(spark, sf_dir):
         F.count("*").alias("n_chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
 
 
+@query("pages_of_versions", with_views("v_pages", "v_versions", body="""
+select v.status, v.version_number, count(*) as n_pages, max(p.page_number) as last_page from v_pages p join v_versions v using (version_id) group by all"""))
+def pages_of_versions(spark, sf_dir):
+    v = V.versions(spark, sf_dir).select("version_id", "status", "version_number")
+    return (V.pages(spark, sf_dir).select("version_id", "page_number").join(v, "version_id").groupBy("status", "version_number")
+            .agg(F.count("*").alias("n_pages"), F.max("page_number").alias("last_page")))
+
+
 # ---- access -------------------------------------------------------------------------
 
 _REQ = """select q.query_id, case when q.query_id % 31 = 0 then 'hi' when q.query_id % 37 = 0 then repeat('long ', 120) else q.query end as query,

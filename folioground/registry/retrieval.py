@@ -224,6 +224,31 @@ def candidate_merge(spark, sf_dir):
         "query_id", "vector_id", F.round("kw_score", 9).alias("kw_score"), "vec_score", "in_keyword", "in_vector")
 
 
+def _fused(spark, sf_dir, threshold):
+    spot = passage_payload(spark, sf_dir)
+    asked = V.bench_queries(spark, sf_dir).select(
+        "query_id", F.col("collection_id").alias("r_collection_id"), F.col("scheme").alias("r_scheme"), F.col("department").alias("r_department"),
+        F.col("state_or_district").alias("r_location"), F.col("language").alias("r_language"), F.col("include_historical").alias("r_historical"),
+        F.lit(True).alias("r_active_only"))
+    state = F.when(F.col("in_keyword"), F.col("is_historical")).otherwise(~F.col("active"))
+    places = spot.select("vector_id", "version_id", "page_number")
+    merged = fusion.merge_candidates(KW.normalized_scores(keyword_hits(spark, sf_dir, 15)).join(places, "vector_id"),
+                                     vector_search_passages(spark, sf_dir).join(places, "vector_id"))
+    shown = merged.join(spot.drop("version_id", "page_number"), "vector_id").join(asked, "query_id").withColumn("is_historical", state)
+    return fusion.fused_scores(fusion.post_filters(shown), threshold)
+
+
+@query("fused_scores", with_views("v_top", extra=_MERGED, body="select query_id, vector_id, score, in_keyword, in_vector from fused"))
+def fused_scores(spark, sf_dir):
+    """Filtered candidates with their fused score, before the gate."""
+    return _fused(spark, sf_dir, -1.0).select("query_id", "vector_id", "score", "in_keyword", "in_vector")
+
+
+@query("gated_final_rank", with_views("v_top", extra=_MERGED, body="select query_id, vector_id, score, cast(rank as int) as rank from gated where rank <= 5"))
+def gated_final_rank(spark, sf_dir):
+    return fusion.final_rank(_fused(spark, sf_dir, 0.5)).select("query_id", "vector_id", "score", "rank")
+
+
 # ---- rankings and evaluation ------------------------------------------------------
 
 _BM = {
