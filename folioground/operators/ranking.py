@@ -26,12 +26,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: floa
     stats = chunks.agg(F.count("*").alias("n_docs"), F.avg(X.word_count(F.col("normalized_text"))).alias("avgdl"))
     postings = stage_table(term_frequencies(chunks, asked.select("term").distinct()), "bm25_postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, d = F.col("n_docs"), F.col("df")
-    idf = F.log(F.lit(1.0) + (n - d + F.lit(0.5)) / (d + F.lit(0.5)))
-    # One row of corpus totals: a scalar, attached by a constant key.
+    # Corpus totals are one row: a scalar subquery, no join.
+    n, d = stats.select("n_docs").scalar(), F.col("df")
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - d + F.lit(0.5)) / (d + F.lit(0.5)))
     weighted = (
-        asked.join(df, "term").withColumn("one", F.lit(1))
-        .join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
+        asked.join(df, "term").withColumn("n_docs", n).withColumn("avgdl", stats.select("avgdl").scalar())
         .select("query_id", "term", idf.alias("idf"), "avgdl")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int"))

@@ -239,7 +239,8 @@ select needle as title, min(document_id) as document_id from (select distinct 's
 join v_documents d on contains(lower(d.scheme_name), lower(needle)) group by 1"""))
 def citation_title_fallback(spark, sf_dir):
     docs = V.documents(spark, sf_dir)
-    titles = docs.select(F.concat(F.lit("sCHEME "), "collection_id", F.lit("-")).alias("document_title")).distinct().withColumn("document_id", F.lit(-1).cast("bigint"))
+    titles = docs.select(F.concat(F.lit("sCHEME "), "collection_id", F.lit("-")).alias("document_title")).distinct().withColumn(
+        "document_id", -F.length("document_title").cast("bigint"))
     return CI._resolve_documents(titles, docs).select(F.col("document_title").alias("title"), F.col("resolved").alias("document_id"))
 
 
