@@ -235,9 +235,10 @@ select query_id, not c.is_private or coalesce(c.owner_user_id = r.user_id, false
  not c.is_private or coalesce(c.owner_user_id = r.user_id, false) or list_has_any(coalesce(u.perms, []::varchar[]), ['admin:all', 'collections:manage']) as may_list
 from r left join v_user_perms u using (user_id) join v_collections c on c.collection_id = r.collection_id"""))
 def collection_access(spark, sf_dir):
-    who = V.users(spark, sf_dir).select("user_id", A.role_permissions(F.col("role")).alias("perms"))
+    who = V.users(spark, sf_dir).select(F.col("user_id").cast("string").alias("who"), A.role_permissions(F.col("role")).alias("perms"))
+    own_key = F.coalesce(F.col("user_id").cast("string"), F.concat(F.lit("anonymous-"), F.col("query_id").cast("string")))
     args = (F.col("is_private"), F.col("owner_user_id"), F.col("user_id"), F.coalesce("perms", A.text_array([])))
-    return (access_requests(spark, sf_dir).join(who, "user_id", "left").join(V.collections(spark, sf_dir), "collection_id")
+    return (access_requests(spark, sf_dir).withColumn("who", own_key).join(who, "who", "left").join(V.collections(spark, sf_dir), "collection_id")
             .select("query_id", A.may_read(*args).alias("may_read"), A.may_list(*args).alias("may_list")))
 
 
