@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioground.llm import binary, jaccard, packing, quality, sharding, sql, tokens
+from folioground.llm import binary, jaccard, language, licenses, packing, quality, sharding, sql, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,13 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_output(table(spark, sf_dir, "documents"), tokens.vocabulary_path(), end=2)
+
+
+@query
+def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
