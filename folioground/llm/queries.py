@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioground.llm import binary, jaccard, language, licenses, packing, quality, sharding, sql, tokens
+from folioground.llm import binary, caps, jaccard, language, licenses, packing, quality, sharding, sql, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
