@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioground.llm import binary, caps, jaccard, language, licenses, packing, quality, sharding, sql, tokens
+from folioground.llm import binary, caps, jaccard, language, licenses, packing, pieces, quality, revisits, sharding, sql, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.crawl_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
+    return found.withColumn("headers", F.when(F.col("headers").isNotNull(), lines))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokens.vocabulary_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    encoded = pieces.encode(docs, model, ["doc_id", "text_crc32"]).withColumn("ids_crc32", F.crc32("ids"))
+    decoded = pieces.decode(encoded, model, ["doc_id", "text_crc32", "n_pieces", "ids_crc32"])
+    decoded_crc = F.crc32(F.col("text").cast("binary"))
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", decoded_crc.alias("decoded_crc32"), (decoded_crc == F.col("text_crc32")).alias("round_trip"))
