@@ -278,6 +278,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str
 
 
 def one_of_each(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component."""
-    kept = near_duplicates(docs, k, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` whose key is the smallest of their component, all columns; repeated rows once."""
+    judged = staged(near_duplicates(docs, k, key, text), "judged").where(F.col(key).eqNullSafe(F.col("component_id")))
+    kept = judged.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
+    # The keys alone decide unless one stands in several rows; then equal texts under it are one document.
+    out = docs.join(kept.select("_kept"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates([key, text])

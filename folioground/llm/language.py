@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from folioground.llm.base import chunks, texts_of
 from folioground.llm.tokens import _LETTER, _classes
@@ -185,7 +185,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    added = T.StructType().add("lang_pred", "string").add("score", "double")
+    kept = docs.select(*keep).schema.fields
+    texts = [] if text in keep else [F.col(text).alias("_text")]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         m = shared.value
@@ -194,7 +197,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             dense[m.features] = m.weights
         for batch in batches:
             names, scores = [], []
-            for (ids, counts), letters in zip(_features(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist()):
+            for (ids, counts), letters in zip(_features(batch.column(at)), batch.columns[-1].to_pylist()):
                 if not letters or not m.languages:
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -205,8 +208,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, F.col(text).alias("_text"), lettered.alias("_lettered")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    return docs.select(*keep, *texts, lettered).mapInArrow(run, T.StructType([*kept, *added.fields]))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, with all their columns."""
+    numbered = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # no name can clash
+    answered = predict(numbered, model, numbered.columns, f"_{docs.columns.index(text)}")
+    return answered.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:

@@ -203,3 +203,18 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rules = learn(training_rows(stats, labels, key), **limits)
     judged = stats.select(key, *COUNTS, base_failed().alias("base_failed"), rejecting_rule(rules).alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, **limits) -> list[Rule]:
+    """Rules from at most ``max_rows`` labelled documents, chosen by a hash of their id; only their texts are read closely."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias(label))
+    sample = known.orderBy(F.xxhash64(F.lit("quality"), key), key).limit(max_rows)
+    some = docs.select(key, text).join(F.broadcast(sample.select(key)), key, "left_semi")  # max_rows rows
+    stats = stage_table(text_statistics(some, [key], text), "sampled_statistics")
+    return learn(training_rows(stats, sample, key, label), **limits)
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the fixed and the learned rules, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_body"))
+    return text_statistics(rows, ["_row"], "_body").where(~base_failed() & rejecting_rule(rules).isNull()).select("_row.*")
