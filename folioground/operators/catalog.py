@@ -98,28 +98,18 @@ def conflict_members(documents: DataFrame, collection_id: str | None = None, sal
             .join(groups, [*key, "salt"]).select(*key, "active_documents", "document_id", "version_number"))
 
 
-def conflict_warnings(documents: DataFrame, collection_id: str | None = None, listed: int = 1000) -> DataFrame:
-    """One warning per conflicting group. Groups of up to ``listed`` documents name them in the
-    row; the members of larger ones are the rows of ``conflict_members``."""
-    members = conflict_members(documents, collection_id)
-    names = documents.filter(F.col("status") == C.ACTIVE).groupBy(
-        "collection_id", X.strip(F.lower("scheme_name")).alias("scheme_key")).agg(F.min(
-            F.struct("document_id", "scheme_name")).alias("first"))
-    lists = (
-        members.filter(F.col("active_documents") <= listed).groupBy("collection_id", "scheme_key")
-        .agg(F.array_sort(F.collect_list(F.struct("document_id", "version_number"))).alias("m"))
-        .select("collection_id", "scheme_key", F.array_join(F.col("m.document_id").cast("array<string>"), ", ").alias("document_ids"),
-                F.array_join(F.col("m.version_number").cast("array<string>"), ", ").alias("version_numbers")))
-    groups = members.groupBy("collection_id", "scheme_key").agg(F.max("active_documents").alias("active_documents"))
-    where = F.when(F.col("version_numbers").isNotNull(), F.concat(F.lit(" (Versions: ["), "version_numbers", F.lit("])"))).otherwise("")
+def conflict_warnings(documents: DataFrame, collection_id: str | None = None) -> DataFrame:
+    """One warning per conflicting group, with its count. The documents and versions it is about are the rows
+    of ``conflict_members``, however many they are."""
+    active = documents.filter(F.col("status") == C.ACTIVE)
+    if collection_id:
+        active = active.filter(F.col("collection_id") == collection_id)
+    groups = active.groupBy("collection_id", X.strip(F.lower("scheme_name")).alias("scheme_key")).agg(
+        F.count("*").alias("active_documents"), F.min(F.struct("document_id", "scheme_name")).alias("first")).filter("active_documents > 1")
     message = F.concat(
         F.lit("Warning: "), F.col("active_documents").cast("string"), F.lit(" active documents appear to cover scheme '"),
-        "first.scheme_name", F.lit("' in the same collection"), where,
-        F.lit(". Consider archiving the superseded version to prevent ambiguous citations."))
-    key = ["collection_id", "scheme_key"]
-    return (groups.join(names, key).join(lists, key, "left")
-            .select("collection_id", F.col("first.scheme_name").alias("scheme_name"), "active_documents",
-                    "document_ids", "version_numbers", message.alias("message")))
+        "first.scheme_name", F.lit("' in the same collection. Consider archiving the superseded version to prevent ambiguous citations."))
+    return groups.select("collection_id", F.col("first.scheme_name").alias("scheme_name"), "active_documents", message.alias("message"))
 
 
 def add_versions(documents: DataFrame, versions: DataFrame, incoming: DataFrame) -> dict[str, DataFrame]:

@@ -316,11 +316,9 @@ def version_conflicts(spark, sf_dir):
 
 
 @query("version_conflict_warnings", with_views("v_documents", body="""
-select collection_id, s as scheme_name, n as active_documents, ids as document_ids, vs as version_numbers, 'Warning: ' || n || ' active documents appear to cover scheme ''' || s ||
- ''' in the same collection (Versions: [' || vs || ']). Consider archiving the superseded version to prevent ambiguous citations.' as message
-from (select collection_id, arg_min(scheme_name, document_id) as s, count(*) as n, string_agg(cast(document_id as varchar), ', ' order by document_id) as ids,
-  string_agg(cast(version_number as varchar), ', ' order by document_id) as vs
- from v_documents where status = 'ACTIVE' group by collection_id, lower(trim(scheme_name)) having count(*) > 1)"""))
+select collection_id, arg_min(scheme_name, document_id) as scheme_name, count(*) as active_documents, 'Warning: ' || count(*) || ' active documents appear to cover scheme ''' ||
+  arg_min(scheme_name, document_id) || ''' in the same collection. Consider archiving the superseded version to prevent ambiguous citations.' as message
+from v_documents where status = 'ACTIVE' group by collection_id, lower(trim(scheme_name)) having count(*) > 1"""))
 def version_conflict_warnings(spark, sf_dir):
     return D.conflict_warnings(V.documents(spark, sf_dir))
 

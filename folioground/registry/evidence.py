@@ -119,17 +119,18 @@ def _talk(spark, sf_dir):
     """Assistant turns as answers, with and without a source marker, about the passages of a question."""
     c = V.read_texts(spark, sf_dir, "conversations", "conv_id").filter("role = 'assistant'")
     key = F.col("conv_id") * 1000 + F.col("turn")
-    q = F.col("conv_id") % 40
+    n_questions = V.read(spark, sf_dir, "benchmark").agg(F.count("*").alias("n_questions"))
     shown = shown_passages(spark, sf_dir).filter("rank = 1").select("query_id", "document_title", "page_number", "excerpt")
     mark = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" [Source: "), "document_title", F.lit(", Page "), F.col("page_number").cast("string"), F.lit("].")))
     quote = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" Based on official text: "), F.substring("excerpt", 1, 80), F.lit(".")))
-    return (c.select(key.alias("akey"), q.alias("query_id"), "text", "conv_id", "turn").join(shown, "query_id")
+    asked = c.crossJoin(F.broadcast(n_questions)).withColumn("query_id", F.col("conv_id") % F.col("n_questions"))  # one row
+    return (asked.select(key.alias("akey"), "query_id", "text", "conv_id", "turn").join(shown, "query_id", "left")
             .select("akey", "query_id", F.concat("text", F.coalesce(mark, F.lit("")), F.coalesce(quote, F.lit("")), F.lit(" Note: ask again.")).alias("answer")))
 
 
-_TALK = {**SHOWN, "talk": """select conv_id * 1000 + turn as akey, conv_id % 40 as query_id, text || case when turn % 3 = 1 then ' [Source: ' || document_title || ', Page ' || page_number || '].' else '' end
-   || case when conv_id % 2 = 0 then ' Based on official text: ' || substr(excerpt, 1, 80) || '.' else '' end || ' Note: ask again.' as answer
-  from conversations c join shown on shown.query_id = conv_id % 40 and rank = 1 where role = 'assistant'""", **claims_sql("talk", "shown")}
+_TALK = {**SHOWN, "talk": """select conv_id * 1000 + turn as akey, conv_id % n_questions as query_id, text || coalesce(case when turn % 3 = 1 then ' [Source: ' || document_title || ', Page ' || page_number || '].' end, '')
+   || coalesce(case when conv_id % 2 = 0 then ' Based on official text: ' || substr(excerpt, 1, 80) || '.' end, '') || ' Note: ask again.' as answer
+  from conversations c cross join (select count(*) as n_questions from benchmark) left join shown on shown.query_id = conv_id % n_questions and rank = 1 where role = 'assistant'""", **claims_sql("talk", "shown")}
 
 
 @query("answer_sentences", with_views("v_top", extra=_TALK, body="select akey, query_id, cast(claim_idx as int) as claim_idx, s as statement from st"))

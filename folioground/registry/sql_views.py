@@ -94,7 +94,7 @@ select item_id as query_id, case when item_id % 4 = 3 then '"' || q || '"' else
  'src' || (item_id % 20) as collection_id, item_id % 8 = 1 as include_historical,
  case when item_id % 5 = 2 then 'scheme src' end as scheme, case when item_id % 10 = 4 then 'pune' end as state_or_district,
  case when item_id % 5 = 1 then 'EN' end as language
-from (select item_id, array_to_string({words('text')}[1:8], ' ') as q from benchmark)"""),
+from (select item_id, array_to_string({words('text')}, ' ') as q from benchmark)"""),
     "v_parsed": (["v_bench"], f"""
 select *, lower(query) as q_low, {fold('query')} as q_norm,
  regexp_extract_all(query, '"([^"]*)"', 1) as phrases,

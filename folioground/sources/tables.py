@@ -21,23 +21,31 @@ def replace_rows(existing: DataFrame, incoming: DataFrame, key: list[str]) -> Da
 def overwrite_buckets(incoming: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Rewrite only the key buckets the batch touches; running it twice changes nothing.
 
-    The kept rows of those buckets are read through the partition filter, so other buckets stay
-    unread and unwritten. They are staged before the overwrite, which may then be retried.
+    The buckets it touches, at most ``buckets`` numbers, become a partition filter, so the others stay unread
+    and unwritten. The kept rows are staged before the overwrite, which may then be retried.
     """
     from folioground.staging import stage_table
     spark = incoming.sparkSession
-    bucketed = incoming.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    touched = bucketed.select("bucket").distinct()
-    if _has_files(spark, path):
-        held = spark.read.parquet(path).join(touched, "bucket", "left_semi")
+    bucketed = stage_table(incoming.withColumn("bucket", bucket_of(key, buckets)), "incoming")
+    merged = bucketed
+    if has_files(spark, path):
+        held = stored_under(bucketed, path)
         merged = stage_table(replace_rows(held, bucketed.select(*held.columns), [key]), "replaced")
-    else:
-        merged = bucketed
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
+def bucket_of(key: str, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def stored_under(bucketed: DataFrame, path: str) -> DataFrame:
+    """Rows of a bucketed table in the buckets that ``bucketed`` has rows in; no others are read."""
+    touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]  # at most as many as there are buckets
+    return bucketed.sparkSession.read.parquet(path).filter(F.col("bucket").isin(touched))
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from folioground.operators import chunking as K, index as I
-from folioground.sources.tables import overwrite_buckets
+from folioground.operators import chunking as K
+from folioground.sources.tables import bucket_of, has_files, overwrite_buckets, replace_rows, stored_under
+from folioground.staging import stage_table
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -19,18 +20,26 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: st
 
 
 def ingest_stream(pages: DataFrame, chunk_path: str, vector_path: str, checkpoint: str,
-                  embedder: Callable[[Column], Column]) -> StreamingQuery:
+                  embedder: Callable[[Column], Column], page_path: str | None = None) -> StreamingQuery:
     """Pages arriving in files become chunks and vectors.
 
-    Each batch replaces the rows of the versions it carries, so a batch replayed after a lost
-    driver leaves the tables as they were. A version arrives whole in one batch.
+    A batch stores its pages, each in the place of an earlier reading of it, and makes the chunks of the versions
+    it touches from all their stored pages. So a version may arrive in any number of files and batches, and a
+    batch replayed after a lost driver leaves the tables as they were.
     """
+    page_path = page_path or f"{chunk_path.rstrip('/')}_pages"
+
     def batch(rows: DataFrame, _: int) -> None:
-        chunks = K.chunk_documents(rows)
+        arrived = stage_table(rows.withColumn("bucket", bucket_of("version_id")), "arrived")
+        versions = arrived.select("version_id").distinct()
+        if has_files(rows.sparkSession, page_path):
+            held = stored_under(arrived, page_path).join(versions, "version_id", "left_semi").select(*arrived.columns)
+            arrived = replace_rows(held, arrived, ["version_id", "page_number"])
+        whole = stage_table(arrived.select(*rows.columns), "whole_versions")
+        overwrite_buckets(whole, page_path, "version_id")
+        chunks = stage_table(K.chunk_documents(whole), "made_chunks")
         overwrite_buckets(chunks, chunk_path, "version_id")
-        written = chunks.sparkSession.read.parquet(chunk_path).join(
-            rows.select("version_id").distinct(), "version_id", "left_semi")
-        overwrite_buckets(written.select("vector_id", "version_id", embedder(F.col("chunk_text")).alias("values")),
+        overwrite_buckets(chunks.select("vector_id", "version_id", embedder(F.col("chunk_text")).alias("values")),
                           vector_path, "version_id")
 
     return (pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
