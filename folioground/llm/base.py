@@ -120,30 +120,23 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 # -- components -------------------------------------------------------------------------------------------------
 
-def _digest(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of every node of the links (u, v): the smallest node that links reach.
 
-    Large and small star steps in turn, each a minimum by node and a join, until the links no longer change.
-    Nodes with many links are pre-aggregated by the minimum and split by skew handling in the join.
+    Large and small star steps in turn, each a minimum by node and a join, until every node has one link, to a node
+    that has none itself. Nodes with many links are pre-aggregated by the minimum and split by skew handling in the join.
     """
-    now = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for _ in range(rounds):
+        now = staged(now, "links")
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "large_star")
+        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, "small_star")
-        if (digest := _digest(now)) == before:
-            break
-        before = digest
+        now = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
     else:
         raise RuntimeError("the links did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,12 +5,14 @@ reaches 3/4 differ in at most (|r| + |s|) / 7 elements. The universe of hashes i
 band, so that the differences fall into pigeonholes: whenever tolerances v_i of -1 (segment not used), 0 (subsets
 equal) or 1 (subsets differ in one element) are given to the segments with sum(v_i + 1) above that bound, one
 segment at least keeps within its tolerance. Every set indexes its subset of each segment and, in the segments
-where a tolerance of 1 may be given, the subsets with one element left out. A probing set gives tolerances where
-they are cheap: a subset of few elements (an empty one, or one filled by a passage that many documents share) is
-shared by chance and is passed over, a large one takes tolerance 1 instead.
+where a tolerance of 1 may be given, the subsets with one element left out. Sets count how many others share each
+subset they could probe with, and give the tolerances where that is cheapest: subsets that many sets share (empty
+ones, those that a common passage fills) are passed over as long as others, with a tolerance of 1, make up for them.
 
 Before that, one part of the universe as a whole serves as the first segment: a set with more than a quarter of
-its size in elements there that no other set has can have no partner, and does not go on. This is exact.
+its size in elements there that no other set has can have no partner, and does not go on. Of the sets that do, the
+elements of one set alone are differences for certain: they are counted, taken off the bound, and left out. All
+this is exact.
 
 Equal sets become one class first. In a group of sets with an equal subset, each round tries only the pairs with
 one leader and joins what it confirms; pairs that are already linked through others need no test, so thousands of
@@ -38,8 +40,8 @@ from folioground.llm.base import NOT_BLANK, Words, chunks, components, mixed, st
 #: Share of the universe that makes the first segment; small sets take half of it, as theirs varies more.
 SHARE, SHARE_SMALL, SMALL = 0.30, 0.50, 192
 INDEX, INDEX_LESS, PROBE, PROBE_ONE, PROBE_LESS = 1, 2, 4, 8, 16
-#: Rounds of leaders before all pairs that are left are tested.
-ROUNDS = 6
+#: While more pairs than this for each set are left to test, leaders join components first, for some rounds.
+PAIRS_A_SET, ROUNDS = 50, 6
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
@@ -112,6 +114,35 @@ def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: st
     return texts.mapInArrow(run, "set_id bigint, elements binary").groupBy("set_id").agg(F.first("elements").alias("elements"))
 
 
+def _shared_elements(sets: DataFrame) -> DataFrame:
+    """(set_id, n, elements): the elements that some other set has too, of the sets that may still have a partner.
+
+    An element of one set alone is a difference from every other set, so it only has to be counted (n - elements).
+    """
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                part = batch.slice(low, 500)
+                own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                sizes = [len(x) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(np.array(part.column(0)), sizes)), pa.array(np.repeat(np.array(sizes, np.int32), sizes))], ["h", "set_id", "n"])
+
+    each = sets.select("set_id", "elements").mapInArrow(run, "h bigint, set_id bigint, n int")
+    shared = each.groupBy("h").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("h")
+    kept = each.join(shared, "h").groupBy("set_id", "n").agg(F.collect_list("h").alias("elements"))  # at most the set
+    return kept.where(4 * (F.col("n") - F.size("elements")) <= F.col("n"))
+
+
+def _stored(sets: DataFrame) -> DataFrame:
+    """Elements sorted, as little-endian 64-bit words."""
+    def run(batches):
+        for batch in batches:
+            out = [np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["set_id", "n", "elements"])
+
+    return sets.select("set_id", "n", "elements").mapInArrow(run, "set_id bigint, n int, elements binary")
+
+
 # -- segments ---------------------------------------------------------------------------------------------------
 
 def _bands(top: int) -> list[int]:
@@ -123,106 +154,152 @@ def _bands(top: int) -> list[int]:
 
 
 _BOUNDS = _bands(1 << 40)
-#: Expected number of chance partners of a subset by its size, for comparing costs only.
-_COST = 1 + 1e6 * 16.0 ** -np.arange(64)
-
-
 def _scheme(band: int) -> tuple[int, int]:
     """Number of segments of a band, and of those that may have tolerance 1."""
     m = max(1, -(-(_BOUNDS[band + 1] - 1) // 4))
     return m, m if m <= 16 else -(-m // 2)
 
 
-def _tolerances(sizes: np.ndarray, loose: int, need: int) -> np.ndarray:
-    """Cheapest v_i of -1, 0 or 1 (1 in the first ``loose`` segments) with sum(v_i + 1) = need.
+def _tolerances(first: np.ndarray, second: np.ndarray, need: int) -> np.ndarray:
+    """Cheapest v_i of -1, 0 or 1 (1 in the first ``len(second)`` segments) with sum(v_i + 1) = need.
 
-    Each segment offers a first unit (equal subsets) and a second (one left out) at growing cost, so the cheapest units are optimal.
+    ``first``: how many sets share the subset of each segment; ``second``: how many more one left out brings in. A
+    segment's second unit never comes before its first, so the cheapest units make the allocation.
     """
-    c = np.minimum(sizes, 63)
-    units = np.concatenate([_COST[c], np.maximum(c[:loose], 1) * _COST[np.maximum(c[:loose] - 1, 0)] + _COST[c[:loose]]])
+    units = np.concatenate([first, np.maximum(second, first[: len(second)])])
     if need > len(units):
         raise ValueError("too few segments for the size band")
     taken = np.zeros(len(units), bool)
     taken[np.argsort(units, kind="stable")[:need]] = True
-    v = taken[: len(sizes)].astype(np.int8) - 1
-    v[:loose] += taken[len(sizes):]
+    v = taken[: len(first)].astype(np.int8) - 1
+    v[: len(second)] += taken[len(first):]
     return v
 
 
-def _signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, flags) of one set: all subsets it indexes in its band and all it probes with there and one band below."""
-    n = len(s)
+def _subsets(s: np.ndarray, n: int):
+    """For the band of a set of ``n`` elements (``s`` of them shared), where it indexes and probes, and for the band below,
+    where it probes: (own, bound on differences, keys of whole subsets, keys of subsets with one left out, their segment,
+    number of segments that may have tolerance 1)."""
     band = bisect_right(_BOUNDS, n) - 1
-    keys, flags = [], []
     for at in (band, band - 1):
         if at < 0 or at < band and 4 * (_BOUNDS[band] - 1) < 3 * n:
             continue
+        most = (n + min(n, _BOUNDS[at + 1] - 1)) // 7 - (n - len(s))
+        if most < 0 and at < band:
+            continue
         m, loose = _scheme(at)
         seg = ((s & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
-        e, seg = s[order], seg[order]
+        e, seg = mixed(s[order]), seg[order]
         sizes = np.bincount(seg, minlength=m)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(e), out=sums[1:])
+        sums = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(e, out=sums[1:])
         ends = np.cumsum(sizes)
         subset = sums[ends] - sums[ends - sizes]
         salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(at << 40))
-        most = (n + min(n, _BOUNDS[at + 1] - 1)) // 7
-        v = _tolerances(sizes, loose, most + 1)
-        whole = np.where(v >= 0, PROBE, 0) + np.where(v == 1, PROBE_ONE, 0)
-        less = seg < loose if at == band else v[seg] == 1
-        left_out = np.where(v[seg] == 1, PROBE_LESS, 0)[less]
-        if at == band:
-            whole, left_out = whole + INDEX, left_out + INDEX_LESS
-        used = whole > 0
-        keys += [mixed(subset + salt)[used], mixed(subset[seg] - mixed(e) + salt[seg])[less]]
-        flags += [whole[used], left_out]
-    return np.concatenate(keys), np.concatenate(flags).astype(np.int8)
+        free = seg < loose
+        yield at == band, most, mixed(subset + salt), mixed(subset[seg] - e + salt[seg])[free], seg[free], loose
+
+
+def _possible(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, flags) of all subsets that a set indexes or may probe with."""
+    keys, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+    for own, most, whole, less, _, _ in _subsets(s, n):
+        probe, probe_less = (PROBE, PROBE_LESS) if most >= 0 else (0, 0)
+        keys += [whole, less]
+        flags += [np.full(len(whole), probe + (INDEX if own else 0), np.int8), np.full(len(less), probe_less + (INDEX_LESS if own else 0), np.int8)]
+    return np.concatenate(keys), np.concatenate(flags)
+
+
+def _allocated(s: np.ndarray, n: int, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, flags) of a set after allocation; ``known``: sorted keys that other sets have too, ``counts``: by how many."""
+    def cost(keys):
+        if not len(known):
+            return np.zeros(len(keys))
+        at = np.searchsorted(known, keys)
+        at[at == len(known)] = 0
+        return np.where(known[at] == keys, counts[at], 0)
+
+    keys, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+    for own, most, whole, less, seg, loose in _subsets(s, n):
+        v = np.full(len(whole), -1, np.int8)
+        if most >= 0:
+            v = _tolerances(cost(whole), np.bincount(seg, weights=cost(less), minlength=loose)[:loose], most + 1)
+        flag = np.where(v >= 0, PROBE, 0) + np.where(v == 1, PROBE_ONE, 0) + (INDEX if own else 0)
+        flag_less = np.where(v[seg] == 1, PROBE_LESS, 0) + (INDEX_LESS if own else 0)
+        keys += [whole, less]
+        flags += [flag.astype(np.int8), flag_less.astype(np.int8)]
+    keys, flags = np.concatenate(keys), np.concatenate(flags)
+    useful = (flags > 0) & (cost(keys) > 0)
+    return keys[useful], flags[useful]
 
 
 def signatures(sets: DataFrame) -> DataFrame:
-    """(sig, set_id, flags, n) of all sets."""
-    def run(batches):
+    """(sig, set_id, flags, n, alone) of all sets, after each has put its tolerances where they are cheap.
+
+    First all subsets are counted that sets index or may probe with; each set then learns how many others share its own.
+    """
+    def possible(batches):
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                made = [_signatures(np.frombuffer(x, np.uint64)) for x in part.column(1).to_pylist()]
-                if not made:
-                    continue
-                counts = [len(k) for k, _ in made]
-                ids, n = np.array(part.column(0)), np.array([len(x) // 8 for x in part.column(1).to_pylist()], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in made]).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([f for _, f in made])), pa.array(np.repeat(n, counts))], ["sig", "set_id", "flags", "n"])
+                made = [_possible(np.frombuffer(x, np.uint64), n) for x, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in made]).view(np.int64)), pa.array(np.repeat(np.array(part.column(0)), [len(k) for k, _ in made])), pa.array(np.concatenate([f for _, f in made]))], ["sig", "set_id", "flags"])
 
-    return sets.select("set_id", "elements").mapInArrow(run, "sig bigint, set_id bigint, flags tinyint, n int")
+    def allocated(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                made, alone = [], []
+                for s, n, sigs, counts in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
+                    s, sigs = np.frombuffer(s, np.uint64), np.array(sigs, np.int64).view(np.uint64)
+                    order = np.argsort(sigs)
+                    made.append(_allocated(s, n, sigs[order], np.array(counts)[order]))
+                    alone.append(n - len(s))
+                if made:
+                    sizes = [len(k) for k, _ in made]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in made]).view(np.int64)), pa.array(np.repeat(np.array(part.column(0)), sizes)), pa.array(np.concatenate([f for _, f in made])),
+                                                      pa.array(np.repeat(np.array(part.column(2)), sizes)), pa.array(np.repeat(np.array(alone, np.int32), sizes))], ["sig", "set_id", "flags", "n", "alone"])
+
+    every = sets.select("set_id", "elements", "n").mapInArrow(possible, "sig bigint, set_id bigint, flags tinyint")
+    both = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
+    groups = every.groupBy("sig").agg(F.count("*").alias("c"), F.min("set_id").alias("low"), F.max("set_id").alias("high"), both(INDEX | INDEX_LESS).alias("i"), both(PROBE | PROBE_LESS).alias("p"))
+    groups = staged(groups.where("low < high and i and p").select("sig", "c"), "shared_signatures")
+    of_set = every.select("sig", "set_id").join(groups, "sig").groupBy("set_id").agg(F.collect_list("sig").alias("sigs"), F.collect_list("c").alias("counts"))  # at most two for each element
+    joined = sets.join(of_set, "set_id").select("set_id", "elements", "n", "sigs", "counts")
+    return joined.mapInArrow(allocated, "sig bigint, set_id bigint, flags tinyint, n int, alone int")
 
 
 # -- tests ------------------------------------------------------------------------------------------------------
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (u, v), those with 100 * intersection >= 75 * union, by the whole sets."""
+    """Of distinct pairs (u, v), those with 100 * intersection >= 75 * union, by the whole sets: elements that one
+    set has alone count by their number."""
     def run(batches):
         for batch in batches:
             keep = np.zeros(len(batch), bool)
-            left, right = batch.column(2), batch.column(3)
+            left, right, sizes = batch.column(2), batch.column(3), batch.column(4).to_pylist()
             for i in range(len(batch)):
                 held, other = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 at = np.searchsorted(held, other)
                 at[at == len(held)] = 0
-                both = int((held[at] == other).sum())
-                keep[i] = 100 * both >= 75 * (len(held) + len(other) - both)
+                both = int((held[at] == other).sum()) if len(held) else 0
+                keep[i] = 100 * both >= 75 * (sizes[i] - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
-    with_u = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("elements").alias("a")), "u")
-    with_v = with_u.join(sets.select(F.col("set_id").alias("v"), F.col("elements").alias("b")), "v")
-    return with_v.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    with_u = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("elements").alias("a"), F.col("n").alias("na")), "u")
+    with_v = with_u.join(sets.select(F.col("set_id").alias("v"), F.col("elements").alias("b"), F.col("n").alias("nb")), "v")
+    return with_v.select("u", "v", "a", "b", F.col("na") + F.col("nb")).mapInArrow(run, "u bigint, v bigint")
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _fits(n: str, m: str):
-    return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n))
+def _fits(n: str, m: str, alone: str, other: str):
+    """Whether the sizes, and the elements that each has alone, leave room for a similarity of 3/4."""
+    return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n)) & (7 * (F.col(alone) + F.col(other)) <= F.col(n) + F.col(m))
 
 
 def _has(flags: str, bits: int):
@@ -231,44 +308,58 @@ def _has(flags: str, bits: int):
 
 def links(sets: DataFrame) -> DataFrame:
     """(u, v): links between sets whose components are those of all links."""
-    every = signatures(sets)
-    both = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
-    groups = every.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), both(INDEX | INDEX_LESS).alias("i"), both(PROBE | PROBE_LESS).alias("p"))
-    groups = staged(groups.where("low < high and i and p").select("sig"), "shared_signatures")
-    open_ = staged(every.join(groups, "sig").select("sig", "set_id", "flags", "n"), "candidates")
-    found = None
-    for turn in range(ROUNDS):
-        # Another leader of every group each time: the first by a hash that changes.
-        leader = F.min_by(F.struct("set_id", "n", *(["component"] if turn else [])), F.xxhash64(F.lit(turn), "set_id"))
-        leaders = open_.groupBy("sig").agg(leader.alias("l"))
-        tried = open_.join(leaders, "sig").where("set_id != l.set_id" + (" and component != l.component" if turn else ""))
-        tried = tried.select("set_id", "n", F.col("l.set_id").alias("leader"), F.col("l.n").alias("ln")).where(_fits("n", "ln"))
-        new = staged(_confirmed(tried.select(*_pair("set_id", "leader")).distinct(), sets), "confirmed")
+    open_ = staged(signatures(sets).withColumn("component", F.col("set_id")), "candidates")
+    # Only subsets that some set probes for and another has indexed bring sets together.
+    has = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
+    useful = open_.groupBy("sig").agg(has(INDEX | INDEX_LESS).alias("i"), has(PROBE | PROBE_LESS).alias("p"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high and i and p").select("sig")
+    open_ = staged(open_.join(useful, "sig"), "open")
+    n_sets, found, turn = sets.count(), None, 0
+    while True:
+        by = open_.groupBy("sig", "component").agg(F.count("*").alias("c"))
+        of_group = staged(by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all"), "groups")
+        left = of_group.agg(F.sum(((F.col("all") - F.col("most")) * F.col("all")).cast("double"))).first()[0]
+        if not left:
+            break
+        leading = turn < ROUNDS and left > PAIRS_A_SET * n_sets
+        pairs = _led(open_, of_group, turn) if leading else _all_left(open_, of_group)
+        new = staged(_confirmed(pairs.distinct(), sets), "confirmed")
         found = new if found is None else found.union(new)
-        if turn and new.isEmpty():
+        if not leading:
+            break
+        if new.isEmpty():
+            # No leader links to anything across components: what is left is for the exact tests.
+            found = found.union(staged(_confirmed(_all_left(open_, of_group).distinct(), sets), "confirmed_rest"))
             break
-        # Groups with sets of more than one component stay open.
-        of = components(found)
-        labelled = open_.drop("component").join(of.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed_groups = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-        open_ = staged(labelled.join(mixed_groups, "sig"), "open")
-        if open_.isEmpty():
-            return found
-    # All that is left across components: sets outside the largest component of a group, against the whole group.
-    by = open_.groupBy("sig", "component").agg(F.count("*").alias("c"))
-    largest = by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    outside = open_.join(largest, "sig").where("component != largest").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("flags").alias("fa"), F.col("component").alias("ca"))
-    whole = open_.select("sig", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("flags").alias("fb"), F.col("component").alias("cb"))
+        turn += 1
+        of = components(found).withColumnRenamed("node", "set_id")
+        named = open_.join(of_group.select("sig"), "sig").drop("component").join(of, "set_id", "left")
+        open_ = staged(named.withColumn("component", F.coalesce("component", "set_id")), "open")
+    return sets.select(F.col("set_id").alias("u"), F.col("set_id").alias("v")).where("false") if found is None else found
+
+
+def _led(open_: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each group's leader, another one of its largest component each turn, with the members of other components."""
+    inside = open_.join(groups.select("sig", "largest"), "sig")
+    leaders = inside.where("component = largest").groupBy("sig").agg(F.min_by(F.struct("set_id", "n", "alone"), F.xxhash64(F.lit(turn), "set_id")).alias("l"))
+    tried = inside.where("component != largest").join(leaders, "sig").select("set_id", "n", "alone", F.col("l.set_id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.alone").alias("la"))
+    return tried.where(_fits("n", "ln", "alone", "la")).select(*_pair("set_id", "leader"))
+
+
+def _all_left(open_: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs across components that some group allows: sets outside its largest component, against the whole group."""
+    inside = open_.join(groups.select("sig", "largest"), "sig")
+    outside = inside.where("component != largest").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("flags").alias("fa"), F.col("component").alias("ca"))
+    whole = inside.select("sig", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("flags").alias("fb"), F.col("component").alias("cb"))
     meets = lambda p, i: (_has(p, PROBE | PROBE_LESS) & _has(i, INDEX)) | (_has(p, PROBE_ONE) & _has(i, INDEX_LESS))
-    rest = outside.join(whole, "sig").where((F.col("ca") != F.col("cb")) & _fits("na", "nb") & (meets("fa", "fb") | meets("fb", "fa")))
-    return found.union(staged(_confirmed(rest.select(*_pair("a", "b")).distinct(), sets), "confirmed_rest"))
+    return outside.join(whole, "sig").where((F.col("ca") != F.col("cb")) & _fits("na", "nb", "ua", "ub") & (meets("fa", "fb") | meets("fb", "fa"))).select(*_pair("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of documents linked at a Jaccard similarity of 0.75 or more."""
     rows = staged(document_classes(docs, k, key, text), "classes")
     sets = staged(_surviving_sets(docs, rows, k, key, text), "sets")
-    of = staged(components(links(sets)), "components")
+    shared = staged(_stored(_shared_elements(sets)), "shared_elements")
+    of = staged(components(links(shared)), "components")
     joined = rows.join(of.withColumnRenamed("node", "set_id"), "set_id", "left")
     # The smallest key of a component, pre-aggregated by class; empty sets stay alone.
     least = joined.where("n_shingles > 0").groupBy(F.coalesce("component", "set_id").alias("_group")).agg(F.min("key").alias("_least"))

@@ -143,7 +143,9 @@ def test_every_pair_shares_a_signature():
             x = r.integers(0, 1 << 63, both + own + other, dtype=np.uint64)
             a, b = np.sort(x[: both + own]), np.sort(np.concatenate([x[:both], x[both + own:]]))
             a, b = sorted((a, b), key=len)
-            (ka, fa), (kb, fb) = jaccard._signatures(a), jaccard._signatures(b)
+            everything = np.unique(np.concatenate([jaccard._possible(a, len(a))[0], jaccard._possible(b, len(b))[0]]))
+            costs = r.integers(1, 1000, len(everything))  # whatever the costs, the allocation must hold
+            (ka, fa), (kb, fb) = (jaccard._allocated(x, len(x), everything, costs) for x in (a, b))
             index = defaultdict(int)
             for k, f in zip(ka, fa):
                 index[k] |= int(f)
