@@ -147,6 +147,8 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, cuts
     is one aggregation over binned rows; the driver sees counts by bin only.
     """
     thresholds = _grid(labelled, cuts)
+    if not any(thresholds.values()):
+        return []
     binned = stage_table(labelled.select("bad", "fold", *FEATURES, *(
         sum((F.when(F.col(f) >= F.lit(t), 1).otherwise(0) for t in thresholds[f]), F.lit(0)).alias(f"bin_{f}") for f in FEATURES)), "binned")
     grow, rules, left = F.col("fold") < 2, [], F.lit(True)
