@@ -8,6 +8,7 @@ from folioground import constants as C
 from folioground.functions import access as A, text as X
 from folioground.operators import grounding as G
 from folioground.operators.matching import substring_pairs
+from folioground.staging import stage_table
 
 
 def _resolve_documents(citations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -35,17 +36,20 @@ def validate_citations(citations: DataFrame, requests: DataFrame, documents: Dat
 
     ``citations``: query_id, citation_index, document_id, document_title, version_id, page_number, excerpt.
     ``requests``: query_id, collection_id, user_id, permissions, include_historical.
-    Lookups are equality joins; only keys of pages and the newest version of cited documents move.
+    The resolved citations are written once. Lookups are equality joins, and documents, versions and page keys are
+    cut to what is cited before anything of them moves.
     """
-    cited = _resolve_documents(citations, documents).join(
+    cited = stage_table(_resolve_documents(citations, documents).join(
         requests.select("query_id", F.col("collection_id").alias("asked_collection"), "user_id", "permissions",
-                        "include_historical"), "query_id")
-    facts = documents.select(F.col("document_id").alias("resolved"), F.col("collection_id").alias("held_in"),
+                        "include_historical"), "query_id"), "cited")
+    wanted = cited.select(F.col("resolved").alias("document_id")).distinct()
+    facts = documents.join(wanted, "document_id", "left_semi").select(F.col("document_id").alias("resolved"), F.col("collection_id").alias("held_in"),
                              F.col("status").alias("document_status"))
     rooms = collections.select(F.col("collection_id").alias("asked_collection"), "is_private", "owner_user_id")
-    cited_versions = versions.select("version_id", F.col("status").alias("version_status"))
-    wanted = cited.select(F.col("resolved").alias("document_id")).distinct()
-    page_keys = (pages.select(F.col("document_id").alias("resolved"), "page_number").distinct()
+    cited_versions = versions.join(cited.select("version_id").distinct(), "version_id", "left_semi").select(
+        "version_id", F.col("status").alias("version_status"))
+    page_keys = (pages.select(F.col("document_id").alias("resolved"), "page_number")
+                 .join(cited.select("resolved", "page_number").distinct(), ["resolved", "page_number"], "left_semi").distinct()
                  .withColumn("page_known", F.lit(True)))
     newest = (versions.join(wanted, "document_id", "left_semi").groupBy(F.col("document_id").alias("resolved"))
               .agg(F.max_by("total_pages", "version_number").alias("max_pages")))

@@ -57,6 +57,16 @@ def file_header_check(spark, sf_dir):
     return b.select(F.length("body").cast(BIG).alias("n_bytes"), content_hash(F.col("body")).alias("file_hash"), header_reason(F.col("body")).alias("reason"))
 
 
+@query("header_reasons", """
+select doc_id, case when b = '' then 'File is empty (0 bytes).' when not starts_with(b, '%PDF-') then 'Invalid PDF file: Missing ''%PDF-'' header signature.' end as reason
+from (select doc_id, case when doc_id % 7 = 0 then '' when doc_id % 3 = 0 then '%PDF-1.7 ' || text else text end as b from documents)""")
+def header_reasons(spark, sf_dir):
+    """Texts as stored bytes: some empty, some with the header of the format."""
+    d = F.col("doc_id")
+    body = F.when(d % 7 == 0, "").otherwise(F.concat(F.when(d % 3 == 0, "%PDF-1.7 ").otherwise(""), "text"))
+    return V.read(spark, sf_dir, "documents").select("doc_id", header_reason(body.cast("binary")).alias("reason"))
+
+
 def _store_blobs(spark, sf_dir) -> str:
     from folioground.staging import stage_path
     path = stage_path(spark, "blobs")
