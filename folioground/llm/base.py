@@ -10,26 +10,41 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioground.staging import stage_table
+from folioground.staging import stage_path
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the job has ended, and Python gets few rows at a time.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
-    """Within, the shuffle files of a job go when it has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Within, the shuffle files of a job go when it has ended, and batches to Python are small."""
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; its shuffle files are dropped at once."""
     with shuffles_dropped(df.sparkSession):
-        return stage_table(df, name)
+        path = stage_path(df.sparkSession, name)
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # -- words ------------------------------------------------------------------------------------------------------
@@ -127,8 +142,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     that has none itself. Nodes with many links are pre-aggregated by the minimum and split by skew handling in the join.
     """
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    done: list[DataFrame] = []
     for _ in range(rounds):
         now = staged(now, "links")
+        drop_staged(*done)
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
@@ -136,6 +153,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
+        done = [now, large]
         now = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
     else:
         raise RuntimeError("the links did not settle")

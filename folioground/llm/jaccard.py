@@ -35,13 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioground.llm.base import NOT_BLANK, Words, chunks, components, mixed, staged, texts_of, window_hashes
+from folioground.llm.base import NOT_BLANK, Words, chunks, components, drop_staged, mixed, staged, texts_of, window_hashes
 
 #: Share of the universe that makes the first segment; small sets take half of it, as theirs varies more.
 SHARE, SHARE_SMALL, SMALL = 0.30, 0.50, 192
 INDEX, INDEX_LESS, PROBE, PROBE_ONE, PROBE_LESS = 1, 2, 4, 8, 16
 #: While more pairs than this for each set are left to test, leaders join components first, for some rounds.
-PAIRS_A_SET, ROUNDS = 50, 6
+PAIRS_A_SET, ROUNDS = 50, 3
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
@@ -298,8 +298,10 @@ def _pair(a: str, b: str) -> list:
 
 
 def _fits(n: str, m: str, alone: str, other: str):
-    """Whether the sizes, and the elements that each has alone, leave room for a similarity of 3/4."""
-    return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n)) & (7 * (F.col(alone) + F.col(other)) <= F.col(n) + F.col(m))
+    """Whether the sizes, the elements that each has alone, and the numbers of those that others share leave room for a
+    similarity of 3/4."""
+    differ = F.col(alone) + F.col(other) + F.abs((F.col(n) - F.col(alone)) - (F.col(m) - F.col(other)))
+    return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n)) & (7 * differ <= F.col(n) + F.col(m))
 
 
 def _has(flags: str, bits: int):
@@ -312,7 +314,8 @@ def links(sets: DataFrame) -> DataFrame:
     # Only subsets that some set probes for and another has indexed bring sets together.
     has = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
     useful = open_.groupBy("sig").agg(has(INDEX | INDEX_LESS).alias("i"), has(PROBE | PROBE_LESS).alias("p"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high and i and p").select("sig")
-    open_ = staged(open_.join(useful, "sig"), "open")
+    candidates, open_ = open_, staged(open_.join(useful, "sig"), "open")
+    drop_staged(candidates)
     n_sets, found, turn = sets.count(), None, 0
     while True:
         by = open_.groupBy("sig", "component").agg(F.count("*").alias("c"))
@@ -333,7 +336,8 @@ def links(sets: DataFrame) -> DataFrame:
         turn += 1
         of = components(found).withColumnRenamed("node", "set_id")
         named = open_.join(of_group.select("sig"), "sig").drop("component").join(of, "set_id", "left")
-        open_ = staged(named.withColumn("component", F.coalesce("component", "set_id")), "open")
+        before, open_ = open_, staged(named.withColumn("component", F.coalesce("component", "set_id")), "open")
+        drop_staged(before, of_group)
     return sets.select(F.col("set_id").alias("u"), F.col("set_id").alias("v")).where("false") if found is None else found
 
 
@@ -359,6 +363,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str
     rows = staged(document_classes(docs, k, key, text), "classes")
     sets = staged(_surviving_sets(docs, rows, k, key, text), "sets")
     shared = staged(_stored(_shared_elements(sets)), "shared_elements")
+    drop_staged(sets)
     of = staged(components(links(shared)), "components")
     joined = rows.join(of.withColumnRenamed("node", "set_id"), "set_id", "left")
     # The smallest key of a component, pre-aggregated by class; empty sets stay alone.
