@@ -9,12 +9,17 @@ from folioground.operators.chunking import register_chunk_text
 
 
 def register_all(spark: SparkSession) -> None:
-    """``normalize_nfkc(text)``, ``cosine(a, b)`` and the table function ``chunk_text``."""
+    """``normalize_nfkc(text)``, ``normalize_text(text)``, ``vector_norm(a)``, ``cosine(a, b)`` and the table function ``chunk_text``."""
     spark.udf.register("normalize_nfkc", X._nfkc)
+    spark.sql(f"""
+create or replace temporary function normalize_text(t string) returns string return
+ coalesce(regexp_replace(regexp_replace(regexp_replace(lower(normalize_nfkc(t)), r'{X.NOT_SEARCHED}', ' '), r'{X.WS}+', ' '), r'^{X.WS}+|{X.WS}+$', ''), '')""")
+    spark.sql("""
+create or replace temporary function vector_norm(a array<double>) returns double return sqrt(aggregate(a, 0d, (s, x) -> s + x * x))""")
+    # Each norm is taken once: the lambda's argument holds both.
     spark.sql("""
 create or replace temporary function cosine(a array<double>, b array<double>) returns double return
- case when size(a) > 0 and size(a) = size(b)
-  and aggregate(a, 0d, (s, x) -> s + x * x) > 0 and aggregate(b, 0d, (s, x) -> s + x * x) > 0
- then least(1d, greatest(0d, aggregate(zip_with(a, b, (x, y) -> x * y), 0d, (s, x) -> s + x)
-  / sqrt(aggregate(a, 0d, (s, x) -> s + x * x)) / sqrt(aggregate(b, 0d, (s, x) -> s + x * x)))) else 0d end""")
+ case when size(a) > 0 and size(a) = size(b) then
+  transform(array(struct(vector_norm(a) as x, vector_norm(b) as y, aggregate(zip_with(a, b, (x, y) -> x * y), 0d, (s, x) -> s + x) as p)),
+   n -> case when n.x > 0 and n.y > 0 then least(1d, greatest(0d, n.p / n.x / n.y)) else 0d end)[0] else 0d end""")
     register_chunk_text(spark)

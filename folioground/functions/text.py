@@ -44,9 +44,13 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
+#: Characters that search text does not keep.
+NOT_SEARCHED = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.,\-%/:;]"
+
+
 def fold_for_search(text: Column) -> Column:
     """Lower case, keep word characters and ``. , - % / : ;``, one blank between words."""
-    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.,\-%/:;]", " ")
+    kept = F.regexp_replace(F.lower(text), NOT_SEARCHED, " ")
     return F.coalesce(strip(F.regexp_replace(kept, WS + "+", " ")), F.lit(""))
 
 

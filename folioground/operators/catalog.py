@@ -152,6 +152,11 @@ def audit_rows(rows: DataFrame, action: Column | str, table: str, entity: str, *
                        F.col(entity).cast("string").alias("entity_id"), F.to_json(F.struct(*noted)).alias("details"))
 
 
+def audit_records(audit: DataFrame, user_id: Column, created_at: Column) -> DataFrame:
+    """Audit rows as the log declares them: who did it, and when."""
+    return audit.select(user_id.cast("string").alias("user_id"), "action", "entity_type", "entity_id", "details", created_at.cast("timestamp_ntz").alias("created_at"))
+
+
 def change_status(documents: DataFrame, versions: DataFrame, actions: DataFrame) -> dict[str, DataFrame]:
     """Archive, restore or delete documents; archive and restore reach all versions.
 

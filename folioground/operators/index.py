@@ -108,11 +108,14 @@ def upsert_vectors(existing: DataFrame, incoming: DataFrame, order: str = "seq")
 
 def delete_vectors(vectors: DataFrame, namespace: str | None = None, ids: DataFrame | None = None,
                    where: dict[str, object] | None = None, delete_all: bool = False) -> DataFrame:
-    """What is left after a delete in one namespace: everything, else ids, else equal metadata."""
+    """What is left after a delete in one namespace: everything, else ids, else equal metadata.
+
+    An empty table of ids is as good as none.
+    """
     target = F.col("namespace") == (namespace or C.NAMESPACE_PREFIX)
     if delete_all:
         return vectors.filter(~target)
-    if ids is not None:
+    if ids is not None and not ids.isEmpty():
         doomed = ids.select("vector_id", F.lit(namespace or C.NAMESPACE_PREFIX).alias("namespace")).distinct()
         return vectors.join(doomed, ["namespace", "vector_id"], "left_anti")
     if where:

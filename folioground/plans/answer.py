@@ -38,11 +38,15 @@ def judge_requests(requests: DataFrame, collections: DataFrame, users: DataFrame
 def hybrid_search(queries: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: DataFrame,
                   vectors: DataFrame, embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT,
                   page_merge: str = "last") -> DataFrame:
-    """Citations per query: keyword and vector retrieval, merge, fuse, gate, rank."""
+    """Citations per query: keyword and vector retrieval, merge, fuse, gate, rank.
+
+    ``queries`` may have ``active_only`` (null or absent: true); false lets inactive text in without history.
+    """
     pool = limit * 3
     kw = KW.normalized_scores(KW.keyword_search(queries, payload, postings, doc_postings, pool))
     # Archived text stays out of vector search too, unless history is asked for.
-    active = F.when(~F.coalesce("include_historical", F.lit(False)), F.lit("true"))
+    active_only = F.coalesce("active_only", F.lit(True)) if "active_only" in queries.columns else F.lit(True)
+    active = F.when(active_only & ~F.coalesce("include_historical", F.lit(False)), F.lit("true"))
     asked = queries.filter(X.strip(F.col("query")) != "").select(
         "query_id", X.namespace(F.col("collection_id")).alias("namespace"), embedder(X.strip(F.col("query"))).alias("values"),
         F.nullif("scheme", F.lit("")).alias("f_scheme"), F.nullif("department", F.lit("")).alias("f_department"),
@@ -58,7 +62,7 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, postings: DataFrame, d
     facts = queries.select(
         "query_id", F.col("collection_id").alias("r_collection_id"), F.col("scheme").alias("r_scheme"),
         F.col("department").alias("r_department"), F.col("state_or_district").alias("r_location"),
-        F.col("language").alias("r_language"), F.lit(True).alias("r_active_only"),
+        F.col("language").alias("r_language"), active_only.alias("r_active_only"),
         F.col("include_historical").alias("r_historical"))
     shown = merged.join(place.drop("version_id", "page_number"), "vector_id").join(facts, "query_id")
     # A page found by its vector alone shows the stored snippet, as its record holds no more.

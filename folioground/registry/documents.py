@@ -385,6 +385,16 @@ def lifecycle_audit(spark, sf_dir):
     return D.change_status(V.documents(spark, sf_dir), V.versions(spark, sf_dir), _actions(spark, sf_dir))["audit"]
 
 
+@query("audit_records", with_views("v_documents", body="""
+select '7' as user_id, case document_id % 6 when 0 then 'DOC_ARCHIVE' when 1 then 'DOC_RESTORE' else 'DOC_DELETE' end as action, 'documents' as entity_type, cast(document_id as varchar) as entity_id,
+ '{"scheme_name":"' || scheme_name || '","previous_status":"' || status || '","status":"' || case document_id % 6 when 0 then 'ARCHIVED' when 1 then 'ACTIVE' else 'DELETED' end || '"}' as details,
+ timestamp '2024-01-01 00:00:00' as created_at
+from v_documents where document_id % 6 < 3"""))
+def audit_records(spark, sf_dir):
+    audit = D.change_status(V.documents(spark, sf_dir), V.versions(spark, sf_dir), _actions(spark, sf_dir))["audit"]
+    return D.audit_records(audit, F.lit(7), F.lit("2024-01-01 00:00:00"))
+
+
 @query("lifecycle_documents", with_views("v_documents", body="""
 select document_id, case document_id % 6 when 0 then 'ARCHIVED' when 1 then 'ACTIVE' when 2 then 'DELETED' else status end as status from v_documents"""))
 def lifecycle_documents(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioground.functions import text as X
 from folioground.operators import catalog as D, eligibility as EL, reports as R
 from folioground.registry.base import query
-from folioground.registry.sql_views import with_views
+from folioground.registry.sql_views import fold, with_views
 from folioground.sources import views as V
 
 
@@ -95,6 +95,14 @@ def sql_functions(spark, sf_dir):
     return e.select("vec_id", F.round(F.call_function("cosine", F.col("e"), F.transform("e", lambda x, i: x * (i + 1))), 6).alias("similarity"))
 
 
+@query("sql_normalize_text", f"select doc_id, sha256({fold('text')}) as folded_hash from documents")
+def sql_normalize_text(spark, sf_dir):
+    """The search form of a text by its SQL name."""
+    from folioground.functions.register import register_all
+    register_all(spark)
+    return V.read_texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.sha2(F.call_function("normalize_text", F.col("text")), 256).alias("folded_hash"))
+
+
 @query("sql_chunk_function")
 def sql_chunk_function(spark, sf_dir):
     from folioground.functions.register import register_all
