@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from folioground.llm.base import components, staged
 
 #: Independent codes, each after a rotation of its own; filters of each that a vector is expected to pass; vectors that a
 #: filter is expected to hold; and rows of a block.
-CODES, LISTED, HELD, BLOCK = 3, 16, 64, 1024
+CODES, LISTED, HELD, BLOCK = 5, 16, 64, 1024
 SEED = 7
 
 
@@ -76,11 +75,31 @@ def _codewords(dimensions: int, count: int, code: int) -> tuple[np.ndarray, np.n
     return rotation, halves[0], halves[1]
 
 
+@lru_cache(maxsize=16)
+def _threshold(dimensions: int, count: int, listed: float) -> float:
+    """Sum of both halves' inner products that a random direction exceeds with ``listed`` filters of a code on average.
+
+    By bisection over a fixed sample of directions, as the tails of a sphere are lighter than normal ones.
+    """
+    rng = np.random.Generator(np.random.PCG64([SEED, dimensions]))
+    x = rng.standard_normal((100, dimensions))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    _, first, second = _codewords(dimensions, count, 0)
+    half = dimensions - dimensions // 2
+    a, b = x[:, :half] @ first.T, np.sort(x[:, half:] @ second.T, axis=1)
+    low, high = 0.0, 2.0
+    for _ in range(30):
+        middle = (low + high) / 2
+        passed = sum(int((count - np.searchsorted(b[i], middle - a[i])).sum()) for i in range(len(x)))
+        low, high = (middle, high) if passed > listed * len(x) else (low, middle)
+    return low
+
+
 def list_decode(units: np.ndarray, count: int, listed: float) -> list[np.ndarray]:
     """Sorted numbers of all filters (``count`` * ``count`` in each code) that each unit vector exceeds."""
     d = units.shape[1]
     half = d - d // 2
-    threshold = NormalDist().inv_cdf(1 - min(0.5, listed / count ** 2)) * math.sqrt(2 / d)
+    threshold = _threshold(d, count, listed)
     out: list[list[np.ndarray]] = [[] for _ in units]
     for code in range(CODES):
         rotation, first, second = _codewords(d, count, code)
