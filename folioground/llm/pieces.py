@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioground.llm.base import chunks, mixed, texts_of
-from folioground.llm.tokens import REMEMBERED
 
 MARK = "▁"
 #: Kinds of pieces in a model file, and what an unknown character costs below the lowest score. Fixed values.
 NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4
 UNKNOWN_PENALTY = 10.0
-#: Words of one length that advance together.
-TOGETHER = 4096
+#: Words of one length that advance together, and words that a Python worker remembers; forgetting only costs time.
+TOGETHER, REMEMBERED = 2048, 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
