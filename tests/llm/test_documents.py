@@ -183,6 +183,29 @@ def test_diagonals_merge_over_an_inserted_word(spark):
     assert [(r["label"], r["low"], r["high"]) for r in got] == [("bsd", 7, 7 + len(licenses.words_of(template)) + 1)]
 
 
+def test_near_misses_get_no_wrong_license(spark):
+    gpl = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+           "either version {} of the License, or (at your option) any later version.")
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    want = {"Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Licensed under CC BY-ND 4.0.": "cc-by-nd", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa",
+            "Licensed under CC BY-SA 9.0.": "", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+            "This work is licensed under the GNU General Public License, version 2.": "gpl-2", "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+            "This work is licensed under the GNU General Public License, version 3.0.": "gpl-3", "This work is licensed under the GNU General Public License, version 3.1.": "",
+            "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3", "This work is licensed under the GNU Free Documentation License, version 3.": "",
+            "This work is licensed under the GNU Library General Public License, version 2.": "",
+            gpl.format(2): "gpl-2", gpl.format(3): "gpl-3", lgpl.format("2.1"): "lgpl-2.1", lgpl.format("2.0"): "", gpl.replace("General", "Affero General").format(3): "agpl-3",
+            "Licensed under the Apache License, Version 1.1.": "", "Licensed under the Eclipse Public License, Version 2.0.": "epl-2", "Licensed under the Mozilla Public License, Version 2.0.": "mpl-2",
+            "Licensed under the Educational Community License, Version 2.0.": "", "Released under the BSD License.": "bsd", "Released under the ISC License.": "isc", "Released under the NCSA License.": "",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy": "mpl-2",
+            licenses.TEMPLATES["isc"][1]: "isc", licenses.TEMPLATES["bsl-1"][1]: "bsl-1", licenses.TEMPLATES["mit"][3]: "mit"}
+    docs = spark.createDataFrame([(i, f"some text before\n{t}\nand more behind it") for i, t in enumerate(want)], "doc_id bigint, text string")
+    _, spans = licenses.scan(docs)
+    found = defaultdict(set)
+    for r in spans.collect():
+        found[r["doc_id"]].add(r["label"])
+    assert {t: ",".join(sorted(found[i])) for i, t in enumerate(want)} == want
+
+
 # -- languages ----------------------------------------------------------------------------------------------------
 
 def test_languages_of_odd_documents(spark, docs, rows, no_docs):
