@@ -1,11 +1,14 @@
-"""SentencePiece encoding and decoding by batched Viterbi, in numpy.
+"""SentencePiece encoding and decoding, in numpy, with the ids of the model's own kind.
 
-Of all ways to cut a text into pieces of the model file, the one with the highest sum of scores is taken (the unigram
-reading of the file's scores); characters that are in no piece become byte pieces. No piece reaches from a character
+Unigram models: of all ways to cut a text into pieces of the model file, the one with the highest sum of scores is taken, by
+batched Viterbi. BPE models: the pair of neighbours whose merged piece has the highest score is merged, the leftmost of equals,
+until no pair makes a piece. Characters that are in no piece become byte pieces. No piece reaches from a character
 into a following word mark, so a text falls into words that are best cut each for itself. Distinct words are cut once:
-words of equal length advance together, one place at a time; hashes of all their substrings of a length are probed
-in the sorted hashes of the pieces of that length, hits are compared character by character, and vectorised maxima
-store back-pointers. Sums are exact: the longest last piece wins a tie.
+words of equal length advance together. For Viterbi they advance one place at a time; hashes of all their substrings of a
+length are probed in the sorted hashes of the pieces of that length, hits are compared character by character, and vectorised
+maxima store back-pointers. Sums are in double precision: the longest last piece wins a tie (the library adds in single
+precision). For BPE they advance one merge at a time; all pairs are probed in the sorted pairs that make a piece. Words above
+``LONG`` characters, as texts without spaces have them, are merged from a heap.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a text that holds the word mark U+2581
 itself decodes with spaces there, as the format has it; repeated rows are encoded alike; an empty table gives no
@@ -14,6 +17,7 @@ rows; columns other than the named ones are ignored, whatever they are called.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -27,10 +31,13 @@ from folioground.llm.base import chunks, mixed, texts_of
 
 MARK = "▁"
 #: Kinds of pieces in a model file, and what an unknown character costs below the lowest score. Fixed values.
-NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4
+NORMAL, UNKNOWN, BYTE, USER_DEFINED, UNUSED = 1, 2, 6, 4, 5
 UNKNOWN_PENALTY = 10.0
 #: Words of one length that advance together, and words that a Python worker remembers; forgetting only costs time.
 TOGETHER, REMEMBERED = 2048, 300_000
+#: Kinds of models, and the length in characters above which a word is merged by itself.
+UNIGRAM, BPE = 1, 2
+LONG = 64
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -56,18 +63,20 @@ def fields(b: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Pieces:
-    """The pieces of a model file: ids, scores, and their characters by length."""
+    """The pieces of a model file: ids, scores, and their characters by length. Cuts words by the highest sum of scores."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             model = f.read()
-        self.text, score, kind, self.dummy = [], [], [], True
+        self.text, score, kind, self.dummy, self.model_type = [], [], [], True, UNIGRAM
         for number, value in fields(model):
             if number == 1:
                 own = dict(fields(value))
                 self.text.append(own[1].decode())
                 score.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
                 kind.append(own.get(3, NORMAL))
+            elif number == 2:
+                self.model_type = dict(fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 spec = dict(fields(value))
                 if spec.get(2) or spec.get(4, 1):
@@ -76,11 +85,17 @@ class Pieces:
         used = [i for i, k in enumerate(kind) if k in (NORMAL, USER_DEFINED)]
         if any(re.search(f"[^{MARK}]{MARK}", self.text[i]) for i in used):
             raise ValueError("a piece reaches over a word mark")
+        if BYTE not in kind:
+            raise ValueError("only models with byte pieces are supported")
+        self.kind = kind
         self.byte = np.zeros(256, np.int64)
         for i, k in enumerate(kind):
             if k == BYTE:
                 self.byte[int(self.text[i][3:5], 16)] = i
-        self.unknown_score = min(score) - UNKNOWN_PENALTY
+        ordinary = [x for x, k in zip(score, kind) if k == NORMAL]
+        self.unknown_score = min(ordinary) - UNKNOWN_PENALTY
+        # Such pieces are taken before all others, as the library does.
+        score = [len(t.encode()) * max(ordinary) - 0.1 if k == USER_DEFINED else x for t, x, k in zip(self.text, score, kind)]
         characters = sorted({c for i in used for c in self.text[i]})
         self.code = np.zeros(0x110000, np.int32)  # of characters; 0: in no piece
         self.code[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
@@ -216,6 +231,124 @@ class Pieces:
         return text[1:] if self.dummy and text[:1] == b" " else text
 
 
+class Merges(Pieces):
+    """The pieces of a BPE model file. Cuts words by merging pairs of neighbours in the order of scores."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        if UNUSED in self.kind:
+            raise ValueError("BPE models with unused pieces are not supported")
+        # User-defined pieces stand wherever their text does, the longest first, and merge with nothing.
+        own = sorted((t for t, k in zip(self.text, self.kind) if k == USER_DEFINED), key=len, reverse=True)
+        self.fixed = {t.encode(): np.uint32(i).tobytes() for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == USER_DEFINED}
+        self.split = re.compile(b"(%s)" % b"|".join(re.escape(t.encode()) for t in own)) if own else None
+        # Symbols: pieces by id, then the characters that are no piece by themselves, by code.
+        symbol, pieces, score = {}, len(self.text), np.zeros(len(self.text))
+        for _, _, ids, scores in self.by_length.values():
+            score[ids] = scores
+            symbol |= {self.text[i]: int(i) for i in ids if self.kind[i] == NORMAL}
+        self.symbol = np.zeros(len(self.characters), np.int64)
+        for code in range(1, len(self.characters)):
+            self.symbol[code] = symbol.setdefault(chr(self.characters[code]), pieces + code)
+        self.symbols = pieces + len(self.characters)
+        pairs = []
+        for _, _, ids, _ in self.by_length.values():
+            for i in ids:
+                t = self.text[i] if self.kind[i] == NORMAL else ""
+                pairs += [(x, y, int(i)) for at in range(1, len(t)) if (x := symbol.get(t[:at])) is not None and (y := symbol.get(t[at:])) is not None]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        order = np.argsort(left * self.symbols + right)
+        # After the last pair stands one that no pair equals.
+        self.pairs = np.append((left * self.symbols + right)[order], np.iinfo(np.int64).max)
+        self.made = np.append(made[order], 0)
+        rank = np.unique(-score, return_inverse=True)[1]
+        self.rank = np.append(rank[made[order]], 0)
+        self.never = len(self.text)
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = {w: [x for x in self.split.split(w) if x] for w in words if self.split.search(w)} if self.split else {}
+        super()._learn(list({x: None for w in words for x in cut.get(w, [w]) if x not in self.fixed and x not in self.known}))
+        for w, parts in cut.items():
+            self.known[w] = b"".join(self.fixed.get(x) or self.known[x] for x in parts)
+
+    def _probed(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs; ``never`` where they make no piece."""
+        wanted = left * self.symbols + right
+        at = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[at] == wanted, self.rank[at], self.never), self.made[at]
+
+    def best(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, length = codes.shape
+        symbols = self.symbol[codes]
+        used = np.full(rows, length)
+        if length > LONG:
+            for r in range(rows):
+                own = self._merged(symbols[r])
+                used[r] = len(own)
+                symbols[r, length - len(own):] = own
+        elif length > 1:
+            rank, made = self._probed(symbols[:, :-1], symbols[:, 1:])
+            live, now = np.arange(rows), symbols.copy()
+            while True:
+                each = np.arange(len(live))
+                at = rank.argmin(axis=1)
+                more = rank[each, at] < self.never
+                done = live[~more]
+                width = now.shape[1]
+                symbols[done, length - width:] = now[~more]
+                used[done] = width
+                live, now, rank, made, at = live[more], now[more], rank[more], made[more], at[more]
+                if not len(live):
+                    break
+                each = np.arange(len(live))
+                now[each, at] = made[each, at]
+                # The right one of the pair goes; all rows have the same width, as each has one merge a turn.
+                stay = np.arange(width - 1) + (np.arange(width - 1) > at[:, None])
+                now = np.take_along_axis(now, stay, axis=1)
+                width -= 1
+                stay = np.arange(width - 1) + (np.arange(width - 1) >= at[:, None])
+                rank, made = np.take_along_axis(rank, stay, axis=1), np.take_along_axis(made, stay, axis=1)
+                if width == 1:
+                    symbols[live, -1], used[live] = now[:, 0], 1
+                    break
+                for shift in (-1, 0):
+                    r = np.flatnonzero((at + shift >= 0) & (at + shift < width - 1))
+                    c = at[r] + shift
+                    rank[r, c], made[r, c] = self._probed(now[r, c], now[r, c + 1])
+        return np.where(symbols >= len(self.text), len(self.text) - 1 - symbols, symbols), used
+
+    def _merged(self, word: np.ndarray) -> np.ndarray:
+        """Symbols of one long word after all merges."""
+        symbols, n = word.tolist(), len(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank, made = self._probed(word[:-1], word[1:])
+        heap = [(int(rank[i]), int(i), symbols[i], symbols[i + 1], int(made[i])) for i in np.flatnonzero(rank < self.never)]
+        heapq.heapify(heap)
+        known = {(x, y): (k, m) for k, _, x, y, m in heap}
+
+        def push(i: int, j: int) -> None:
+            pair = symbols[i], symbols[j]
+            if pair not in known:
+                k, m = self._probed(np.array(pair[:1]), np.array(pair[1:]))
+                known[pair] = int(k[0]), int(m[0])
+            k, m = known[pair]
+            if k < self.never:
+                heapq.heappush(heap, (k, i, *pair, m))
+
+        while heap:
+            _, i, left, right, piece = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue  # one of the two has been merged since then
+            symbols[i], symbols[j], after[i] = piece, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
+
 def gathered(table: np.ndarray, base: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries ``which`` of a table of entries of different size, end to end, and their sizes."""
     each = size[which]
@@ -226,7 +359,11 @@ def gathered(table: np.ndarray, base: np.ndarray, size: np.ndarray, which: np.nd
 
 @lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    """The model of a file, by its kind."""
+    tool = Pieces(path)
+    if tool.model_type not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and BPE models are supported")
+    return Merges(path) if tool.model_type == BPE else tool
 
 
 def encode(docs: DataFrame, model: str, keep: list[str], text: str = "text") -> DataFrame:

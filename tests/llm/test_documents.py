@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from folioground.llm import binary, jaccard, language, licenses, packing, pieces, quality, sharding, tokens
@@ -327,6 +328,30 @@ def test_cuts_are_the_best(rows):
         assert sum(score[tool.text[i]] for i in ids[a:b]) == best, w
 
 
+ODD = ["  x   y ", "naïve", "日本語" * 200, "    four", "x" * 5000, "a▁b ▁c", "", "a" + " " * 40 + "b", "\x00a\n\tb", "\U0001F600 hi\U0001F600", "the government", "internationalization" * 20, None]
+
+
+def test_bpe_ids_are_the_librarys(spark, rows, sf_dir):
+    model = tokens.vocabulary_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [t for _, t, *_ in rows] + ODD + [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(200).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in pieces.encode(docs, model, ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == [library.encode(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_ids_of_trained_models_are_the_librarys(rows, tmp_path, kind):
+    texts = [t for _, t, *_ in rows if t and len(t) < 4000]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=f"{tmp_path}/m", model_type=kind, vocab_size=500, byte_fallback=True, normalization_rule_name="identity",
+                                             remove_extra_whitespaces=False, user_defined_symbols=["<sep>", "<se", "der"], hard_vocab_limit=False, minloglevel=2)
+    library = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/m.model")
+    tool = pieces.pieces(f"{tmp_path}/m.model")
+    texts += ODD + ["a<sep>b <sep> under<se>", "<sep><sep>the", "wonder der"]
+    ids, at = tool.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "") for t in texts]
+
+
 def test_pieces_of_odd_documents_come_back(docs, rows, no_docs):
     model = tokens.vocabulary_path("piece_bpe_32k.model")
     encoded = pieces.encode(docs, model, ["doc_id"])
