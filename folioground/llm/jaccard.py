@@ -70,14 +70,14 @@ def _in_first(s: np.ndarray, share: float) -> np.ndarray:
 
 
 def document_classes(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, set_id) of every row; ``set_id`` is equal for equal sets."""
+    """(key, n_shingles, set_id, text_hash) of every row; ``set_id`` is equal for equal sets."""
     def run(batches):
         for batch in batches:
             sets = list(_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())], ["key", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), batch.column(2)], ["key", "n_shingles", "set_id", "text_hash"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, n_shingles bigint, set_id bigint")
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, f"key {kind}, n_shingles bigint, set_id bigint, text_hash bigint")
 
 
 def _lonely(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -98,9 +98,15 @@ def _lonely(docs: DataFrame, k: int, text: str) -> DataFrame:
     return owners.where("set_id = _other").groupBy("set_id").agg(F.count("*").alias("alone_small"), F.sum(F.when(small, 1).otherwise(0)).alias("alone"))
 
 
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, set_id) of the rows that stand for a wanted set; by text too, as a key may stand on many texts."""
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    return texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep.key")) & (F.col("_hash") == F.col("_rep.text_hash"))).select("_text", "_wanted")
+
+
 def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(set_id, elements as little-endian 64-bit words) of the sets that may have a partner, once each."""
-    sizes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("key").alias("_rep"))
+    sizes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min(F.struct("key", "text_hash")).alias("_rep"))
     counted = sizes.join(_lonely(docs, k, text), "set_id", "left")
     alone = F.coalesce(F.when(F.col("n") < SMALL, F.col("alone_small")).otherwise(F.col("alone")), F.lit(0))
     wanted = staged(counted.where(4 * alone <= F.col("n")).select("_rep", F.col("set_id").alias("_wanted")), "wanted")
@@ -110,8 +116,7 @@ def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: st
             found = [(c, s.tobytes()) for w, s in zip(batch.column(1).to_pylist(), _sets(batch.column(0), k)) if (c := _class_of(s)) == w]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["set_id", "elements"])
 
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(wanted, F.col("_key").eqNullSafe(F.col("_rep"))).select("_text", "_wanted")
-    return texts.mapInArrow(run, "set_id bigint, elements binary").groupBy("set_id").agg(F.first("elements").alias("elements"))
+    return _wanted_texts(docs, wanted, key, text).mapInArrow(run, "set_id bigint, elements binary").groupBy("set_id").agg(F.first("elements").alias("elements"))
 
 
 def _shared_elements(sets: DataFrame) -> DataFrame:

@@ -128,6 +128,15 @@ def test_near_duplicates_of_odd_documents(docs, rows, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
+def test_a_hot_id_meets_each_text_once(spark, monkeypatch):
+    met, texts = [], jaccard._wanted_texts
+    monkeypatch.setattr(jaccard, "_wanted_texts", lambda *a: met.append(texts(*a).count()) or texts(*a))
+    both = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(None, f"{both} own{i}") for i in range(30)] + [(7, f"{both} other{i}") for i in range(30)], "doc_id bigint, text string")
+    assert {r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == {7}
+    assert met == [60]
+
+
 def test_every_pair_shares_a_signature():
     """Sets at the limit of similarity meet where one probes and the other has indexed."""
     r = np.random.Generator(np.random.PCG64(5))
