@@ -34,6 +34,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioground.llm.base import NOT_BLANK, Words, chunks, components, drop_staged, mixed, staged, texts_of, window_hashes
 
@@ -363,8 +364,8 @@ def _all_left(open_: DataFrame, groups: DataFrame) -> DataFrame:
     return outside.join(whole, "sig").where((F.col("ca") != F.col("cb")) & _fits("na", "nb", "ua", "ub") & (meets("fa", "fb") | meets("fb", "fa"))).select(*_pair("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row: components of documents linked at a Jaccard similarity of 0.75 or more."""
+def _judged(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(key, n_shingles, set_id, _group, _least) of every row: its component, null for empty sets, and the smallest key there."""
     rows = staged(document_classes(docs, k, key, text), "classes")
     sets = staged(_surviving_sets(docs, rows, k, key, text), "sets")
     shared = staged(_stored(_shared_elements(sets)), "shared_elements")
@@ -374,14 +375,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str
     # The smallest key of a component, pre-aggregated by class; empty sets stay alone.
     least = joined.where("n_shingles > 0").groupBy(F.coalesce("component", "set_id").alias("_group")).agg(F.min("key").alias("_least"))
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
-    out = joined.withColumn("_group", group).join(least, "_group", "left")
-    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("key")).alias("component_id"))
+    return joined.withColumn("_group", group).join(least, "_group", "left").select("key", "n_shingles", "set_id", "_group", "_least")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row: components of documents linked at a Jaccard similarity of 0.75 or more."""
+    return _judged(docs, k, key, text).select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("key")).alias("component_id"))
+
+
+def _with_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
+    """All columns and ``_set``, null for the empty set."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            sets = pa.array([_class_of(s) if len(s) else None for s in _sets(batch.column(at), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sets], [*batch.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component, all columns; repeated rows once."""
-    judged = staged(near_duplicates(docs, k, key, text), "judged").where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = judged.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
-    # The keys alone decide unless one stands in several rows; then equal texts under it are one document.
-    out = docs.join(kept.select("_kept"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates([key, text])
+    """One row of ``docs`` of each component, of those with its smallest key, all columns; empty texts stay, repeated rows once."""
+    judged = staged(_judged(docs, k, key, text), "judged")
+    own = F.col("key").eqNullSafe(F.col("_least"))
+    full = judged.where((F.col("n_shingles") > 0) & own).groupBy("_group").agg(F.first("key").alias("_kept"), F.min("set_id").alias("_chosen")).drop("_group")
+    empty = judged.where("n_shingles = 0").select(F.col("key").alias("_kept"), F.lit(None).cast("bigint").alias("_chosen"))
+    kept = staged(full.union(empty.distinct()), "kept")
+    # The keys alone decide unless one stands in several rows; then the set chosen for the component decides too.
+    several = judged.groupBy("key").count().where("count > 1").select("key")
+    out = docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    if several.join(kept, F.col("key").eqNullSafe(F.col("_kept")), "left_semi").isEmpty():
+        return out
+    chosen = F.col(key).eqNullSafe(F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_chosen"))
+    rows = _with_sets(out, k, text).join(kept, chosen, "left_semi").withColumn("_empty", F.when(F.col("_set").isNull(), F.col(text)))
+    return rows.dropDuplicates([key, "_set", "_empty"]).select(*docs.columns)

@@ -137,6 +137,16 @@ def test_a_hot_id_meets_each_text_once(spark, monkeypatch):
     assert met == [60]
 
 
+def test_one_row_of_each_component(spark):
+    body = [" ".join(f"t{t}w{j}" for j in range(60)) for t in range(5)]
+    rows = [(None, body[0] + " a"), (None, body[0] + " b"), (None, body[1] + " a"), (4, body[1] + " b"), (None, body[2]), (None, body[2].upper()), (5, body[3] + " a"), (5, body[3] + " b"),
+            (6, body[4] + " a"), (5, body[4] + " b"), (6, "another text that stands alone"), (None, ""), (None, ""), (None, None), (5, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    by = lambda t: [i for i, x in kept if x and x.lower().startswith(body[t])]
+    assert [by(t) for t in range(5)] == [[None], [4], [None], [5], [5]]
+    assert counted(r for r in kept if len((r[1] or "").split()) < 60) == counted([(6, "another text that stands alone"), (None, ""), (None, None), (5, " ")])
+
+
 def test_every_pair_shares_a_signature():
     """Sets at the limit of similarity meet where one probes and the other has indexed."""
     r = np.random.Generator(np.random.PCG64(5))
