@@ -512,7 +512,7 @@ def index_statistics(spark, sf_dir):
 @query("ingest_counts", with_views("v_pages", "v_documents", body="""
 select collection_id, count(*) as n_pages from v_pages join v_documents using (document_id) group by collection_id"""))
 def ingest_counts(spark, sf_dir):
-    """A whole ingestion run: pages per collection; the vectors are embedded and counted too."""
+    """An ingestion run without an embedder: pages per collection. ``ingest_vectors`` embeds."""
     readings = V.pages(spark, sf_dir).withColumnRenamed("raw_text", "native_text").withColumn("ocr_text", F.lit(None).cast("string"))
     out = P.ingest(readings, V.documents(spark, sf_dir), V.versions(spark, sf_dir))
     return (out["summary"].join(out["versions"].select("version_id", "document_id"), "version_id")
@@ -530,6 +530,7 @@ def ingest_vectors(spark, sf_dir):
 @query("reprocess_selected", with_views("v_documents", "v_pages", body="""
 select 'ACTIVE' as status, count(distinct document_id) as n_documents, count(*) as n_pages from v_pages where document_id % 10 = 4"""))
 def reprocess_selected(spark, sf_dir):
+    """Selected documents processed again without an embedder: documents and pages by status."""
     docs = V.documents(spark, sf_dir)
     readings = V.pages(spark, sf_dir).withColumnRenamed("raw_text", "native_text").withColumn("ocr_text", F.lit(None).cast("string"))
     out = P.reprocess(docs.filter("document_id % 10 = 4"), readings, docs, V.versions(spark, sf_dir))
