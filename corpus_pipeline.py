@@ -41,7 +41,8 @@ STAGES = [
     ("packing", training_sequences),
 ]
 
-#: The learned stages and the tokenizer have no SQL form; tests compare the stages with brute force.
+#: The learned stages and the tokenizer have no SQL form. A test compares the near duplicates and the packing of ``run`` with
+#: brute force; the two learned stages are not compared so.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from folioground.llm import caps, quality, revisits
+from folioground.llm import caps, quality, revisits, tokens
 
 import corpus_pipeline
 
@@ -95,3 +95,28 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     pieces = corpus_pipeline.training_sequences(spark, known, sf_dir)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in known.select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "language identification", "near duplicates", "packing"]
+
+
+def test_run_against_brute_force_classes_and_pieces(spark, sf_dir, tmp_path):
+    """Near duplicates and packing of ``run`` over null and repeated rows; the kept rows of the first two stages are its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
+    odd = docs.limit(1).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("bigint"))).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    docs.union(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = corpus_pipeline.known_languages(spark, corpus_pipeline.good_documents(spark, docs, str(tmp_path)).persist(), str(tmp_path))
+    rows = [(r["doc_id"], r["text"]) for r in known.select("doc_id", "text").collect()]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)))) for w in ((t or "").lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    encoder = tokens.encoder(tokens.vocabulary_path()).tokenizer
+    texts = dict(rows)
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["start"]):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert set(got) == set(least.values()) and len(rows) > len(got) > 20
+    assert all(ids == [*encoder.encode(texts[i], add_special_tokens=False).ids, 1] for i, ids in got.items())
