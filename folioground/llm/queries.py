@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioground.llm import binary, caps, jaccard, language, licenses, packing, pieces, quality, revisits, sharding, sql, tokens
+from folioground.llm import balls, binary, caps, jaccard, language, licenses, packing, pieces, pivots, quality, revisits, sharding, sql, tokens, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = pieces.decode(encoded, model, ["doc_id", "text_crc32", "n_pieces", "ids_crc32"])
     decoded_crc = F.crc32(F.col("text").cast("binary"))
     return decoded.select("doc_id", "n_pieces", "ids_crc32", decoded_crc.alias("decoded_crc32"), (decoded_crc == F.col("text_crc32")).alias("round_trip"))
+
+
+@query
+def op11_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

@@ -62,3 +62,33 @@ SELECT id AS record_id, url AS canonical_url, outcome, CASE WHEN outcome = 'reso
        CASE WHEN outcome = 'resolved' THEN 'content-length: ' || rbytes || '; content-type: text/html; date: ' || id || '; etag: ' || coalesce(weak || tag, '') END AS headers
 FROM judged
 """
+
+#: All inner products of the integer vectors.
+OP11_PIVOT_TOP_K = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scores AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scores) WHERE rank <= 5
+"""
+
+#: Postings of all documents, joined with the items' terms.
+OP13_RANKED_SEARCH = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), tfs AS (SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY 1, 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY 1),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY 1),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), weights AS (SELECT item_id, t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM asked JOIN dfs USING (t), total),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM weights JOIN tfs USING (t) JOIN sizes USING (doc_id), total GROUP BY 1, 2
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
