@@ -70,7 +70,10 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
 
         def flush():
             terms, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64).tolist()], pa.int64()), pa.array([documents, *counts.tolist()], pa.int64()), pa.array([words, *[0] * len(terms)], pa.int64())], ["term", "held", "words"])
+            total = np.zeros(len(terms) + 1, bool)
+            total[0] = True
+            columns = [pa.array(np.append(0, terms.view(np.int64)), mask=total), pa.array(np.append(documents, counts)), pa.array(np.where(total, words, 0))]
+            return pa.RecordBatch.from_arrays(columns, ["term", "held", "words"])
 
         for batch in batches:
             for _, _, data, offsets in _parts_of_texts(batch.column(0), TREE):
@@ -386,11 +389,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
         if len(some):
             held = Items(some.column("row").to_numpy(), some.column("term").to_numpy().view(np.uint64), some.column("weight").to_numpy())
             floors = np.ones(len(held.rows), np.int64)
-            start = _written(spark, _searched(trees.where("first"), held, k, floors), "first_ranked", 8)
+            start = _written(spark, _searched(trees.where("first"), held, k, floors), "first_ranked", 2)
             kth = start.groupBy("row").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("kth"))
             for r in kth.where("kth IS NOT NULL").collect():  # one number for each item of the block
                 floors[np.searchsorted(held.rows, r["row"])] = r["kth"]
-            found += [start, _written(spark, _searched(trees.where("NOT first"), held, k, floors), "ranked_documents", 8)]
+            found += [start, _written(spark, _searched(trees.where("NOT first"), held, k, floors), "ranked_documents", 2)]
     drop_staged(trees)
     if not found:
         return spark.createDataFrame([], f"item_id {kinds[0]}, rank int, doc_id {kinds[1]}, score bigint")
