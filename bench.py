@@ -28,9 +28,9 @@ def main() -> None:
     queries, _ = registry.load()
     queries = dict(queries)
     # The index over all chunks is built once, timed on its own, and read by the searches after it.
-    queries["index_build"] = lambda s, d: flows.index_tables(s, d)[3].select("vector_id")
+    queries["index_build"] = lambda s, d: flows.index_tables(s, d)[2].select("vector_id")
     # Adapter tables, retrieved passages for the claim checks, and JVM warm-up: not timed.
-    retrieval.passage_payload(spark, sf_dir)
+    retrieval.passage_corpus(spark, sf_dir)
     if not only or {"claim_checks", "citation_checks"} & set(only):
         evidence.shown_passages(spark, sf_dir)
     times: dict[str, float] = {}

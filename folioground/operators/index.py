@@ -44,35 +44,6 @@ def searchable(payload: DataFrame) -> DataFrame:
     return payload.filter(F.col("document_status") != C.DELETED)
 
 
-def _bits(words: Column, bits: int) -> Column:
-    return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(bits).alias("bits")))
-
-
-def chunk_postings(payload: DataFrame) -> DataFrame:
-    """(collection_id, word) to chunks, one row per distinct word of a chunk and where it stands."""
-    entries = F.concat(
-        _bits(F.array_intersect("raw", "folded"), IN_TEXT | IN_NORMALIZED),
-        _bits(F.array_except("raw", "folded"), IN_TEXT),
-        _bits(F.array_except("folded", "raw"), IN_NORMALIZED),
-        _bits(F.col("heading"), IN_HEADING))
-    return (
-        searchable(payload)
-        .withColumns({
-            "raw": F.array_distinct(X.words(F.lower("chunk_text"))),
-            "folded": F.array_distinct(X.words(F.col("normalized_text"))),
-            "heading": F.array_distinct(X.words(F.lower(F.coalesce("section_heading", F.lit("")))))})
-        .select("collection_id", "vector_id", "active", F.inline(entries)))
-
-
-def document_postings(documents: DataFrame) -> DataFrame:
-    """(collection_id, word) to documents by scheme and department words."""
-    entries = F.concat(
-        _bits(F.array_distinct(X.words(F.lower(F.coalesce("scheme_name", F.lit(""))))), IN_SCHEME),
-        _bits(F.array_distinct(X.words(F.lower(F.coalesce("department", F.lit(""))))), IN_DEPARTMENT))
-    return documents.filter(F.col("status") != C.DELETED).select(
-        "collection_id", "document_id", F.inline(entries))
-
-
 def vector_records(payload: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
     """Embed the chunk texts; the vector table keeps only what vector search filters on."""
     return searchable(payload).select(

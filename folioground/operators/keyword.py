@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioground.functions import text as X
 from folioground.operators import index as I
-from folioground.operators.matching import substring_pairs
+from folioground.operators.search_index import ACTIVE, HISTORICAL, KEY, SearchIndex
 from folioground.staging import stage_table
 
-SALTS = 8
-HOT_WORD_ROWS = 100_000
-MAX_HOT_WORDS = 10_000
+#: Blocks of a query that are scored before any is ruled out.
+FIRST_BLOCKS = 4
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -66,97 +65,82 @@ def _query_terms(q: DataFrame) -> DataFrame:
              n("verbatim").alias("n_verb"), n("phrase").alias("n_phrase")))
 
 
-def _term_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, word) for every word of the vocabulary that holds the term, written once."""
-    pairs = substring_pairs(
-        terms.select(F.col("term").alias("needle")).distinct(),
-        vocabulary.select(F.col("word").alias("haystack"))).toDF("term", "word")
-    return stage_table(pairs, "term_words")
+def _has(bits: int) -> Column:
+    return F.col("bits").bitwiseAND(F.lit(bits)) != 0
 
 
-def _by_word(postings: DataFrame, pairs: DataFrame, vocabulary: DataFrame, hot_rows: int) -> DataFrame:
-    """Postings joined to the terms inside their word.
+def _tally(rows: DataFrame, *keys: str) -> DataFrame:
+    """What the terms of a query reach in a chunk, or at most in a block; a term counts once, wherever it was found."""
+    one = lambda cond, weight: F.sum(F.when(cond, weight).otherwise(F.lit(0)))
+    return rows.groupBy("query_id", *keys).agg(
+        (one(_has(I.IN_TEXT | I.IN_NORMALIZED), F.col("n_norm")) * F.lit(1.0)
+         + one(_has(I.IN_SCHEME), F.col("n_norm")) * F.lit(1.5)
+         + one(_has(I.IN_HEADING), F.col("n_raw")) * F.lit(1.5)).alias("base"),
+        F.bool_or((F.col("n_raw") > 0) | ((F.col("n_norm") > 0) & _has(I.IN_NORMALIZED))).alias("token_hit"),
+        one(_has(I.IN_TEXT), F.col("n_verb")).alias("text_verb"),
+        one(_has(I.IN_SCHEME), F.col("n_verb")).alias("scheme_verb"),
+        one(_has(I.IN_TEXT | I.IN_NORMALIZED | I.IN_SCHEME), F.col("n_phrase")).alias("phrase_hits"))
 
-    Words standing in ``hot_rows`` chunks or more, at most ``MAX_HOT_WORDS`` of them, are joined by
-    broadcast so their long postings never meet in one task; all others are shuffled by word.
-    """
-    hot = (vocabulary.filter(F.col("df") >= hot_rows).orderBy(F.desc("df"), "word")
-           .limit(MAX_HOT_WORDS).select("word"))
-    hot_pairs = pairs.join(F.broadcast(hot), "word", "left_semi")
-    cold_pairs = pairs.join(F.broadcast(hot), "word", "left_anti")
-    return postings.join(F.broadcast(hot_pairs), "word").unionByName(postings.join(cold_pairs, "word"))
 
+def _admitted() -> Column:
+    return (F.when(F.col("mode") == "token", F.col("token_hit"))
+            .when(F.col("mode") == "phrase", F.col("phrase_hits") == F.col("n_in_phrases")).otherwise(True))
 
-def _hits(q: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: DataFrame,
-          salts: int, hot_rows: int) -> DataFrame:
-    """(query, chunk, term) rows, each once, with the places the term was found in."""
-    terms = stage_table(_query_terms(q), "query_terms")
-    asked = terms.select("collection_id", "term").distinct()
-    collections = terms.select("collection_id").distinct()
-    postings = postings.join(collections, "collection_id", "left_semi")
-    doc_postings = doc_postings.join(collections, "collection_id", "left_semi")
-    vocabulary = stage_table(
-        postings.select("word").unionAll(doc_postings.select("word")).groupBy("word")
-        .agg(F.count("*").alias("df")), "vocabulary")
-    pairs = _term_words(terms, vocabulary)
-    in_chunks = (
-        _by_word(postings, pairs, vocabulary, hot_rows)
-        .join(asked, ["collection_id", "term"], "left_semi")
-        .select("collection_id", "vector_id", "active", "term", "bits"))
-    in_documents = (
-        doc_postings.join(pairs, "word")
-        .join(asked, ["collection_id", "term"], "left_semi")
-        .groupBy("collection_id", "document_id", "term").agg(F.bit_or("bits").alias("bits"))
-        .join(I.searchable(payload).select("document_id", "vector_id", "active"), "document_id")
-        .select("collection_id", "vector_id", "active", "term", "bits"))
-    found = (
-        in_chunks.unionByName(in_documents).repartition("vector_id")
-        .groupBy("collection_id", "vector_id", "active", "term").agg(F.bit_or("bits").alias("bits"))
-        .withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int")))
-    # A frequent term of a large collection may hold a third of all rows: spread it over salted keys.
-    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return found.join(salted, ["collection_id", "term", "salt"]).filter(F.col("historical") | F.col("active"))
 
+def _at_most() -> Column:
+    """What reading the text may add to ``base``: the whole query in scheme or text, and each quoted phrase."""
+    whole = lambda hits, gain: F.when(F.col(hits) == F.col("n_verbatim"), gain).otherwise(0.0)
+    return F.col("base") + whole("scheme_verb", 3.0) + whole("text_verb", 2.0) + F.size("phrases") * F.lit(2.5)
+
+
+def _facts(q: DataFrame) -> DataFrame:
+    given = lambda c: F.lower(F.nullif(c, F.lit("")))
+    return q.select("query_id", "q_low", "q_norm", "phrases", "live", "mode", "n_verbatim", "n_in_phrases",
+                    given("scheme").alias("f_scheme"), given("department").alias("f_department"),
+                    given("state_or_district").alias("f_location"), given("language").alias("f_language"))
 
-def _has(bits: int) -> Column:
-    return F.col("bits").bitwiseAND(F.lit(bits)) != 0
 
+def _block_bounds(index: SearchIndex, terms: DataFrame, asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, batch, collection_id, block, at_most): every block that may hold a result, from the places alone."""
+    rows = index.within("postings", terms).select(*KEY, "word", "active_places", "live_places").join(asked, ["collection_id", "word"])
+    met = rows.groupBy(*KEY, "term").agg(F.bit_or("active_places").alias("active_places"), F.bit_or("live_places").alias("live_places"))
+    places = F.when(F.col("historical"), F.col("live_places")).otherwise(F.col("active_places"))
+    per_term = met.join(terms, ["collection_id", "term"]).withColumn("bits", places).where("bits <> 0")
+    bounds = _tally(per_term, *KEY).join(facts, "query_id").where(_admitted())
+    return bounds.select("query_id", *KEY, _at_most().alias("at_most"))
 
-def keyword_scores(queries: DataFrame, payload: DataFrame, postings: DataFrame,
-                   doc_postings: DataFrame, salts: int = SALTS,
-                   hot_rows: int = HOT_WORD_ROWS) -> DataFrame:
-    """(query_id, vector_id, match_score) of every candidate.
 
-    Terms meet words, words meet postings, all by equality, and a term counts once per chunk
-    before queries come in. Texts are read again only for chunks that could hold the whole query
-    or a quoted phrase, known from their term hits.
+def _exact(index: SearchIndex, blocks: DataFrame, payload: DataFrame, terms: DataFrame, pairs: DataFrame,
+           facts: DataFrame) -> DataFrame:
+    """(query_id, vector_id, match_score) of all candidates in some blocks of each query.
+
+    ``blocks`` may have ``floor``, a score that only candidates that can reach it are read for. Texts are read for
+    the chunks that could hold the whole query or a quoted phrase, known from their term hits.
     """
-    q = stage_table(_with_mode(parse_queries(queries)), "parsed_queries")
-    one = lambda cond, weight: F.sum(F.when(cond, weight).otherwise(F.lit(0)))
+    wanted = blocks.join(terms, ["query_id", "collection_id"]).join(pairs, "term")
+    entries = (
+        index.within("postings", terms).select(*KEY, "word", "entries").join(wanted, [*KEY, "word"])
+        .select("query_id", *KEY, "floor", "historical", "term", "n_raw", "n_norm", "n_verb", "n_phrase", F.inline("entries"))
+        .where((F.col("state") == ACTIVE) | F.col("historical") & (F.col("state") == HISTORICAL)))
+    per_term = entries.groupBy("query_id", *KEY, "at", "term").agg(
+        F.bit_or("bits").alias("bits"), *(F.first(c).alias(c) for c in ("floor", "n_raw", "n_norm", "n_verb", "n_phrase")))
+    reach = F.col("floor").isNull() | (F.round("at_most", 2) >= F.col("floor"))
     per_chunk = (
-        _hits(q, payload, postings, doc_postings, salts, hot_rows)
-        .groupBy("query_id", "vector_id")
-        .agg((one(_has(I.IN_TEXT | I.IN_NORMALIZED), F.col("n_norm")) * F.lit(1.0)
-              + one(_has(I.IN_SCHEME), F.col("n_norm")) * F.lit(1.5)
-              + one(_has(I.IN_HEADING), F.col("n_raw")) * F.lit(1.5)).alias("base"),
-             F.bool_or((F.col("n_raw") > 0) | ((F.col("n_norm") > 0) & _has(I.IN_NORMALIZED))).alias("token_hit"),
-             one(_has(I.IN_TEXT), F.col("n_verb")).alias("text_verb"),
-             one(_has(I.IN_SCHEME), F.col("n_verb")).alias("scheme_verb"),
-             one(_has(I.IN_TEXT | I.IN_NORMALIZED | I.IN_SCHEME), F.col("n_phrase")).alias("phrase_hits")))
-    facts = q.select("query_id", "q_low", "q_norm", "phrases", "live", "mode", "n_verbatim", "n_in_phrases",
-                     F.lower(F.nullif("scheme", F.lit(""))).alias("f_scheme"),
-                     F.lower(F.nullif("department", F.lit(""))).alias("f_department"),
-                     F.lower(F.nullif("state_or_district", F.lit(""))).alias("f_location"),
-                     F.lower(F.nullif("language", F.lit(""))).alias("f_language"))
-    admitted = (
-        F.when(F.col("mode") == "token", F.col("token_hit"))
-        .when(F.col("mode") == "phrase", F.col("phrase_hits") == F.col("n_in_phrases")).otherwise(True))
-    cand = per_chunk.join(facts, "query_id").filter(admitted)
-    filtered = (F.col("f_scheme").isNotNull() | F.col("f_department").isNotNull()
-                | F.col("f_location").isNotNull() | F.col("f_language").isNotNull())
+        _tally(per_term, *KEY, "at", "floor").join(facts, "query_id").where(_admitted())
+        .withColumn("at_most", _at_most()).where(reach))
+    passes = lambda column, wanted: F.col(wanted).isNull() | F.contains(F.lower(column), F.col(wanted))
+    cand = per_chunk.join(
+        index.live_chunks().join(terms.select("collection_id").distinct(), "collection_id", "left_semi")
+        .select(*KEY, "at", "vector_id", "scheme_name", "department", "state_or_district", "language"), [*KEY, "at"]).where(
+        passes("scheme_name", "f_scheme") & passes("department", "f_department")
+        & passes("state_or_district", "f_location") & passes("language", "f_language"))
     must_read = (
-        (F.col("mode") != "token") | (F.size("phrases") > 0) | filtered
+        (F.col("mode") != "token") | (F.size("phrases") > 0)
         | (F.col("text_verb") == F.col("n_verbatim")) | (F.col("scheme_verb") == F.col("n_verbatim")))
+    cand = stage_table(cand.withColumn("must_read", must_read), "keyword_candidates")
+    to_read = cand.where("must_read").select("vector_id").distinct()
+    texts = payload.join(to_read, "vector_id", "left_semi").select("vector_id", "chunk_text", "normalized_text")
+    read = cand.where("must_read").join(texts, "vector_id")
     text, scheme = F.lower("chunk_text"), F.lower("scheme_name")
     whole = F.when(F.contains(scheme, F.col("q_low")), 3.0).otherwise(0.0) + F.when(
         F.contains(text, F.col("q_low")), 2.0).otherwise(0.0)
@@ -170,19 +154,24 @@ def keyword_scores(queries: DataFrame, payload: DataFrame, postings: DataFrame,
         .when(F.col("mode") == "whole", F.contains(text, F.col("q_low"))
               | F.contains(F.col("normalized_text"), F.col("q_norm")) | F.contains(scheme, F.col("q_low")))
         .otherwise(True))
-    passes = lambda column, wanted: F.col(wanted).isNull() | F.contains(F.lower(column), F.col(wanted))
-    # Rows that need no text get a key that matches nothing, so they stay spread and join in one pass.
-    attributes = payload.select(
-        F.col("vector_id").alias("read_id"), "chunk_text", "normalized_text", "scheme_name",
-        "department", "state_or_district", "language")
-    read = cand.withColumn("must_read", must_read).withColumn(
-        "read_id", F.when(F.col("must_read"), F.col("vector_id")).otherwise(F.concat(F.lit("-"), "vector_id")))
-    good = (holds & passes("scheme_name", "f_scheme") & passes("department", "f_department")
-            & passes("state_or_district", "f_location") & passes("language", "f_language"))
-    return (
-        read.join(attributes, "read_id", "left").filter(~F.col("must_read") | good)
-        .select("query_id", "vector_id", F.round(
-            F.col("base") + F.when(F.col("must_read"), whole + quoted).otherwise(0.0), 2).alias("match_score")))
+    scored = lambda df, extra: df.select("query_id", "vector_id", F.round(F.col("base") + extra, 2).alias("match_score"))
+    return scored(cand.where("NOT must_read"), F.lit(0.0)).unionByName(scored(read.where(holds), whole + quoted))
+
+
+def _asking(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Facts and terms of the queries, words of their terms, and (collection, word, term) to meet postings with."""
+    q = stage_table(_with_mode(parse_queries(queries)), "parsed_queries")
+    terms = stage_table(_query_terms(q), "query_terms")
+    pairs = stage_table(index.words_with(terms), "term_words")
+    asked = terms.select("collection_id", "term").distinct().join(pairs, "term")
+    return _facts(q), terms, pairs, asked
+
+
+def keyword_scores(queries: DataFrame, index: SearchIndex, payload: DataFrame) -> DataFrame:
+    """(query_id, vector_id, match_score) of every candidate."""
+    facts, terms, pairs, asked = _asking(queries, index)
+    bounds = _block_bounds(index, terms, asked, facts).withColumn("floor", F.lit(None).cast("double"))
+    return _exact(index, bounds.drop("at_most"), payload, terms, pairs, facts)
 
 
 def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
@@ -191,9 +180,29 @@ def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFram
     return scored.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def keyword_search(queries: DataFrame, payload: DataFrame, postings: DataFrame,
-                   doc_postings: DataFrame, k: int) -> DataFrame:
-    return top_k(keyword_scores(queries, payload, postings, doc_postings), "match_score", k, "kw_rank")
+def keyword_search(queries: DataFrame, index: SearchIndex, payload: DataFrame, k: int | Column) -> DataFrame:
+    """The ``k`` best candidates of each query (a number, or a column of ``queries``).
+
+    The blocks that may reach most are scored first; the k-th best score then found rules out every other block, and
+    every chunk of what is left, whose bound is lower.
+    """
+    facts, terms, pairs, asked = _asking(queries, index)
+    limits = queries.select("query_id", (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("limit"))
+    bounds = stage_table(_block_bounds(index, terms, asked, facts), "block_bounds")
+    order = Window.partitionBy("query_id").orderBy(F.desc("at_most"), *KEY)
+    leading = bounds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST_BLOCKS)
+    none = F.lit(None).cast("double").alias("floor")
+    first = stage_table(_exact(index, leading.select("query_id", *KEY, none), payload, terms, pairs, facts), "first_blocks")
+    best = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.asc("vector_id"))
+    kth = (first.withColumn("kw_rank", F.row_number().over(best)).join(limits, "query_id")
+           .where(F.col("kw_rank") == F.col("limit")).select("query_id", F.col("match_score").alias("floor")))
+    rest = (bounds.join(leading.select("query_id", *KEY), ["query_id", *KEY], "left_anti").join(kth, "query_id", "left")
+            .where(F.col("floor").isNull() | (F.round("at_most", 2) >= F.col("floor"))))
+    more = _exact(index, rest.select("query_id", *KEY, "floor"), payload, terms, pairs, facts)
+    ranked = first.unionByName(more).withColumn("kw_rank", F.row_number().over(best))
+    if not isinstance(k, Column):
+        return ranked.where(F.col("kw_rank") <= k)
+    return (ranked.join(limits, "query_id").where(F.col("kw_rank") <= F.col("limit")).drop("limit"))
 
 
 def normalized_scores(hits: DataFrame) -> DataFrame:

@@ -5,41 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioground.functions import text as X
-from folioground.operators.keyword import SALTS, top_k
+from folioground.operators.keyword import top_k
+from folioground.operators.search_index import ACTIVE, HISTORICAL, KEY, SearchIndex
 from folioground.staging import stage_table
 
 
-def term_frequencies(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vector_id, term, tf, dl) of the wanted terms; all others are dropped before counting."""
-    tokens = chunks.select("vector_id", X.words(F.col("normalized_text")).alias("ws"))
-    return (
-        tokens.select("vector_id", F.size("ws").alias("dl"), "ws")
-        .select("vector_id", "dl", F.explode("ws").alias("term"))
-        .join(wanted, "term", "left_semi").groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")))
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
-         salts: int = SALTS) -> DataFrame:
-    """Top ``k`` chunks per query by BM25 over normalised words."""
-    asked = stage_table(queries.select("query_id", F.explode(F.array_distinct(X.words(
-        X.normalize_for_search(F.col("query"))))).alias("term")), "bm25_terms")
-    stats = chunks.agg(F.count("*").alias("n_docs"), F.avg(X.word_count(F.col("normalized_text"))).alias("avgdl"))
-    postings = stage_table(term_frequencies(chunks, asked.select("term").distinct()), "bm25_postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # Corpus totals are one row: a scalar subquery, no join.
-    n, d = stats.select("n_docs").scalar(), F.col("df")
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - d + F.lit(0.5)) / (d + F.lit(0.5)))
+def bm25(queries: DataFrame, index: SearchIndex, k: int, k1: float = 1.2, b: float = 0.75, within: bool = False) -> DataFrame:
+    """Top ``k`` chunks per query by BM25 over normalised words, from the stored counts.
+
+    Over all chunks of the index; ``within``, over the collection of each query alone, without deleted chunks and, unless
+    history is asked for, without inactive ones, statistics included.
+    """
+    history = F.coalesce("include_historical", F.lit(False)) if within else F.lit(True)
+    asked = stage_table(queries.select("query_id", "collection_id", history.alias("history"), F.explode(F.array_distinct(X.words(
+        X.normalize_for_search(F.col("query"))))).alias("word")), "bm25_terms")
+    counts, totals = index.word_counts(asked, within), index.collection_totals(within)
+    sums = lambda p: F.col(f"{p}_active") + F.when(F.col("history"), F.col(f"{p}_historical")).otherwise(0) + (F.lit(0) if within else F.col(f"{p}_deleted"))
+    # Totals of everything are one row: scalar subqueries, no join.
+    known = asked.join(counts, ["collection_id", "word"] if within else "word")
+    known = known.join(totals, "collection_id") if within else known.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+    n, d = F.col("n_docs"), F.col("df")
     weighted = (
-        asked.join(df, "term").withColumn("n_docs", n).withColumn("avgdl", stats.select("avgdl").scalar())
-        .select("query_id", "term", idf.alias("idf"), "avgdl")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int"))
+        known.select("query_id", "collection_id", "history", "word", sums("df").alias("df"), sums("docs").alias("n_docs"), sums("words").alias("n_words"))
+        .where("df > 0").withColumn("idf", F.log(F.lit(1.0) + (n - d + F.lit(0.5)) / (d + F.lit(0.5)))).withColumn("avgdl", F.col("n_words") / n))
+    postings = (index.within("postings", asked) if within else index.table("postings")).select(*KEY, "word", "entries")
+    met = postings.join(weighted if within else weighted.drop("collection_id"), ["collection_id", "word"] if within else "word")
+    told = met.select("query_id", *KEY, "history", "idf", "avgdl", F.inline("entries")).where("tf > 0")
+    if within:
+        told = told.where((F.col("state") == ACTIVE) | F.col("history") & (F.col("state") == HISTORICAL))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
-    scored = (
-        weighted.join(salted, ["term", "salt"]).groupBy("query_id", "vector_id")
-        .agg(F.round(F.sum(part), 6).alias("bm25")))
-    return top_k(scored, "bm25", k)
+    scored = told.groupBy("query_id", *KEY, "at").agg(F.round(F.sum(part), 6).alias("bm25"))
+    return top_k(scored.join(index.live_chunks().select(*KEY, "at", "vector_id"), [*KEY, "at"]).select("query_id", "vector_id", "bm25"), "bm25", k)
 
 
 def reciprocal_rank_fusion(left: DataFrame, right: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioground import constants as C
 from folioground.functions import access as A, text as X
 from folioground.operators import citations as CI, fusion, grounding as G, keyword as KW, knn, understanding as U
+from folioground.operators.search_index import SearchIndex
 from folioground.staging import stage_table
 
 
@@ -35,7 +36,7 @@ def judge_requests(requests: DataFrame, collections: DataFrame, users: DataFrame
         .drop("is_private", "is_active", "owner_user_id"))
 
 
-def hybrid_search(queries: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: DataFrame,
+def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
                   vectors: DataFrame, embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT,
                   page_merge: str = "last") -> DataFrame:
     """Citations per query: keyword and vector retrieval, merge, fuse, gate, rank.
@@ -43,7 +44,7 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, postings: DataFrame, d
     ``queries`` may have ``active_only`` (null or absent: true); false lets inactive text in without history.
     """
     pool = limit * 3
-    kw = KW.normalized_scores(KW.keyword_search(queries, payload, postings, doc_postings, pool))
+    kw = KW.normalized_scores(KW.keyword_search(queries, index, payload, pool))
     # Archived text stays out of vector search too, unless history is asked for.
     active_only = F.coalesce("active_only", F.lit(True)) if "active_only" in queries.columns else F.lit(True)
     active = F.when(active_only & ~F.coalesce("include_historical", F.lit(False)), F.lit("true"))
@@ -73,14 +74,14 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, postings: DataFrame, d
 
 
 def answer(requests: DataFrame, collections: DataFrame, users: DataFrame, documents: DataFrame, versions: DataFrame,
-           pages: DataFrame, payload: DataFrame, postings: DataFrame, doc_postings: DataFrame, vectors: DataFrame,
+           pages: DataFrame, payload: DataFrame, index: SearchIndex, vectors: DataFrame,
            embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT) -> dict[str, DataFrame]:
     """Answers, citations and checks for a table of requests, in one job."""
     understood = U.understand(requests).withColumn(
         "state_or_district", U.fill_location(F.col("state_or_district"), F.col("understood_location")))
     judged = stage_table(judge_requests(understood, collections, users), "judged_requests")
     run = judged.filter(F.col("reject_reason").isNull())
-    cited = stage_table(hybrid_search(run, payload, postings, doc_postings, vectors, embedder, limit), "citations")
+    cited = stage_table(hybrid_search(run, payload, index, vectors, embedder, limit), "citations")
     given = stage_table(G.grounded_answers(run, cited), "answers")
     to_check = cited.join(given.filter("not is_refusal").select("query_id"), "query_id", "left_semi")
     checked = stage_table(CI.validate_citations(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioground.functions import text as X, vectors as VX
-from folioground.operators import index as I
+from folioground.operators import index as I, search_index as SI
 from folioground.plans import answer as PA
 from folioground.registry.base import query
 from folioground.registry.retrieval import staged
@@ -17,25 +17,25 @@ from folioground.streaming import jobs as J
 
 
 def index_tables(spark, sf_dir):
-    """The whole index over packed chunks: payload, postings, document postings, vectors."""
+    """The whole index over packed chunks: payload, search index, vectors."""
     def build():
         payload = stage_table(I.chunk_payload(chunks(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir)), "chunk_payload")
-        return (payload, stage_table(I.chunk_postings(payload), "chunk_postings"), I.document_postings(V.documents(spark, sf_dir)),
+        return (payload, SI.build(payload, stage_path(spark, "chunk_index")),
                 stage_table(I.vector_records(payload, VX.hashing_embedder()), "chunk_vectors"))
     return staged(spark, sf_dir, "index_tables", build)
 
 
 @query("hybrid_search_chunks")
 def hybrid_search_chunks(spark, sf_dir):
-    payload, postings, doc_postings, vectors = index_tables(spark, sf_dir)
-    return PA.hybrid_search(V.bench_queries(spark, sf_dir), payload, postings, doc_postings, vectors, VX.hashing_embedder())
+    payload, index, vectors = index_tables(spark, sf_dir)
+    return PA.hybrid_search(V.bench_queries(spark, sf_dir), payload, index, vectors, VX.hashing_embedder())
 
 
 def answer_tables(spark, sf_dir):
-    payload, postings, doc_postings, vectors = index_tables(spark, sf_dir)
+    payload, index, vectors = index_tables(spark, sf_dir)
     requests = V.bench_queries(spark, sf_dir).withColumn("user_id", F.col("query_id"))
     return PA.answer(requests, V.collections(spark, sf_dir), V.users(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir),
-                     V.pages(spark, sf_dir), payload, postings, doc_postings, vectors, VX.hashing_embedder())
+                     V.pages(spark, sf_dir), payload, index, vectors, VX.hashing_embedder())
 
 
 @query("answers_end_to_end")

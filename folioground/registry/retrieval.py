@@ -7,18 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioground.functions import text as X, vectors as VX
-from folioground.operators import fusion, index as I, keyword as KW, knn, matching, ranking
+from folioground.operators import fusion, index as I, keyword as KW, knn, matching, ranking, search_index as SI
 from folioground.registry.base import query
 from folioground.registry.sql_views import NOT_WS, fold, n_words, strip, with_views, words
 from folioground.sources import views as V
-from folioground.staging import stage_table
+from folioground.staging import stage_path, stage_table
 
 
 @dataclass
 class Corpus:
     payload: DataFrame
-    postings: DataFrame
-    doc_postings: DataFrame
+    index: SI.SearchIndex
 
 
 _STAGED: dict[tuple, object] = {}
@@ -39,9 +38,19 @@ def passage_payload(spark, sf_dir) -> DataFrame:
 
 def passage_corpus(spark, sf_dir) -> Corpus:
     payload = passage_payload(spark, sf_dir)
-    postings = staged(spark, sf_dir, "passage_postings",
-                      lambda: stage_table(I.chunk_postings(payload), "postings"))
-    return Corpus(payload, postings, I.document_postings(V.documents(spark, sf_dir)))
+    return Corpus(payload, staged(spark, sf_dir, "passage_index", lambda: SI.build(payload, stage_path(spark, "passage_index"))))
+
+
+def twice_indexed(spark, sf_dir) -> SI.SearchIndex:
+    """An index of a first batch with other texts for half of the versions, and a second that replaces those."""
+    def build():
+        payload = passage_payload(spark, sf_dir)
+        stale = F.pmod(F.xxhash64("version_id"), F.lit(2)) == 0
+        other = payload.withColumns({c: F.when(stale, F.concat(F.lit("stale words "), F.col(c))).otherwise(F.col(c)) for c in ("chunk_text", "normalized_text")})
+        index = SI.build(other, stage_path(spark, "passage_index_twice"))
+        index.add(payload.where(stale), 2)
+        return index
+    return staged(spark, sf_dir, "twice_indexed", build)
 
 
 def passage_vectors(spark, sf_dir) -> DataFrame:
@@ -51,7 +60,7 @@ def passage_vectors(spark, sf_dir) -> DataFrame:
 
 def keyword_hits(spark, sf_dir, k: int) -> DataFrame:
     c = passage_corpus(spark, sf_dir)
-    return KW.keyword_search(V.bench_queries(spark, sf_dir), c.payload, c.postings, c.doc_postings, k)
+    return KW.keyword_search(V.bench_queries(spark, sf_dir), c.index, c.payload, k)
 
 
 @query("keyword_query_parse", with_views("v_parsed", body="""
@@ -65,7 +74,7 @@ def keyword_query_parse(spark, sf_dir):
 @query("keyword_candidate_scores", with_views("v_scored", body="select query_id, vector_id, match_score from v_scored"))
 def keyword_candidate_scores(spark, sf_dir):
     c = passage_corpus(spark, sf_dir)
-    return KW.keyword_scores(V.bench_queries(spark, sf_dir), c.payload, c.postings, c.doc_postings)
+    return KW.keyword_scores(V.bench_queries(spark, sf_dir), c.index, c.payload)
 
 
 @query("keyword_top_k", with_views("v_kw_ranked", body="""
@@ -177,7 +186,7 @@ def _passage_hybrid(spark, sf_dir):
     from folioground.plans.answer import hybrid_search
     c = passage_corpus(spark, sf_dir)
     return staged(spark, sf_dir, "passage_hybrid", lambda: stage_table(hybrid_search(
-        V.bench_queries(spark, sf_dir), c.payload, c.postings, c.doc_postings, passage_vectors(spark, sf_dir), VX.hashing_embedder()), "hybrid"))
+        V.bench_queries(spark, sf_dir), c.payload, c.index, passage_vectors(spark, sf_dir), VX.hashing_embedder()), "hybrid"))
 
 
 @query("vector_search_passages", with_views("v_payload", "v_bench", extra=VEC_SQL, body="""
@@ -263,7 +272,7 @@ _BM = {
 
 
 def _bm25(spark, sf_dir, k):
-    return ranking.bm25(V.bench_queries(spark, sf_dir), passage_payload(spark, sf_dir), k)
+    return ranking.bm25(V.bench_queries(spark, sf_dir), passage_corpus(spark, sf_dir).index, k)
 
 
 @query("bm25_ranking", with_views("v_payload", "v_bench", extra=_BM, body="select query_id, vector_id, bm25, cast(rank as int) as rank from bmr where rank <= 30"))
@@ -271,6 +280,65 @@ def bm25_ranking(spark, sf_dir):
     return _bm25(spark, sf_dir, 30)
 
 
+_BMC = {
+    "seen": "select q.query_id, c.* from v_bench q join v_payload c on c.collection_id = q.collection_id and c.document_status <> 'DELETED' and (q.include_historical or c.active)",
+    "toks": f"select query_id, vector_id, unnest(ws) as term, len(ws) as dl from (select query_id, vector_id, {words('normalized_text')} as ws from seen)",
+    "tf": "select query_id, vector_id, dl, term, count(*) as tf from toks group by all", "df": "select query_id, term, count(*) as df from tf group by all",
+    "n": f"select query_id, count(*) as n, avg(len({words('normalized_text')})) as avgdl from seen group by 1",
+    "qt": f"select distinct query_id, unnest({words(fold('query'))}) as term from v_bench",
+    "bm": """select query_id, vector_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) as bm25
+      from qt join df using (query_id, term) join tf using (query_id, term) join n using (query_id) group by all""",
+    "bmr": "select *, row_number() over (partition by query_id order by bm25 desc, vector_id) as rank from bm",
+}
+
+
+@query("bm25_collection_ranking", with_views("v_payload", "v_bench", extra=_BMC, body="select query_id, vector_id, bm25, cast(rank as int) as rank from bmr where rank <= 30"))
+def bm25_collection_ranking(spark, sf_dir):
+    """BM25 inside the collection of each question, over the chunks it may see, statistics included."""
+    return ranking.bm25(V.bench_queries(spark, sf_dir), passage_corpus(spark, sf_dir).index, 30, within=True)
+
+
+_INDEX_WORDS = f"""
+select collection_id, word, cast(count(*) filter (active) as bigint) as df_active, cast(count(*) filter (not active and document_status <> 'DELETED') as bigint) as df_historical,
+ cast(count(*) filter (document_status = 'DELETED') as bigint) as df_deleted from (
+ select distinct collection_id, vector_id, active, document_status, unnest({words('normalized_text')}) as word from v_payload) group by all"""
+
+
+@query("index_word_counts", with_views("v_payload", body=_INDEX_WORDS))
+def index_word_counts(spark, sf_dir):
+    """Chunks of each word by collection and state, after half of the versions were indexed twice."""
+    index = twice_indexed(spark, sf_dir)
+    counts = index.table("words").groupBy("collection_id", "word").agg(*(F.sum(c).alias(c) for c in ("df_active", "df_historical", "df_deleted")))
+    return counts.where("df_active + df_historical + df_deleted > 0")
+
+
+@query("index_totals", with_views("v_payload", body=f"""
+select collection_id, cast(count(*) filter (document_status <> 'DELETED') as bigint) as live, cast(sum(len({words('normalized_text')})) as bigint) as n_words from v_payload group by 1"""))
+def index_totals(spark, sf_dir):
+    """Chunks and words of each collection, from the changes that two batches added up to."""
+    t = twice_indexed(spark, sf_dir).collection_totals()
+    return t.select("collection_id", (F.col("docs_active") + F.col("docs_historical")).alias("live"), F.expr("words_active + words_historical + words_deleted").alias("n_words"))
+
+
+@query("keyword_top_k_after_update", with_views("v_kw_ranked", body="""
+select query_id, vector_id, match_score, cast(kw_rank as int) as kw_rank from v_kw_ranked where kw_rank <= 10"""))
+def keyword_top_k_after_update(spark, sf_dir):
+    """Keyword search over an index of two batches, the second of which replaces versions of the first."""
+    return KW.keyword_search(V.bench_queries(spark, sf_dir), twice_indexed(spark, sf_dir), passage_payload(spark, sf_dir), 10)
+
+
+@query("dictionary_words", with_views("v_payload", "v_bench", extra={
+    "terms": f"select distinct unnest({words(fold('query'))}) as term from v_bench", "vocabulary": f"select distinct unnest({words('normalized_text')}) as word from v_payload"}, body="""
+select term, count(*) as n_words, min(word) as first_word, max(word) as last_word from terms join vocabulary on contains(word, term) group by 1"""))
+def dictionary_words(spark, sf_dir):
+    """Words of the texts that hold a word of a question, by their rarest grams."""
+    index = passage_corpus(spark, sf_dir).index
+    terms = V.bench_queries(spark, sf_dir).select(F.explode(X.words(X.normalize_for_search(F.col("query")))).alias("term"))
+    of_texts = index.table("words").where("df_active + df_historical + df_deleted > 0").select("word").distinct()
+    return index.words_with(terms).join(of_texts, "word", "left_semi").groupBy("term").agg(
+        F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
 @query("reciprocal_rank_fusion", with_views("v_payload", "v_bench", extra={
     **_BM, **VEC_SQL, "both_sides": "select query_id, vector_id, rank from bmr where rank <= 30 union all select query_id, vector_id, vec_rank from vecs where vec_rank <= 15"}, body="""
 select query_id, vector_id, rrf, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by rrf desc, vector_id) as rank from (
