@@ -9,8 +9,8 @@ from folioground.operators import index as I
 from folioground.operators.search_index import ACTIVE, HISTORICAL, KEY, SearchIndex
 from folioground.staging import stage_table
 
-#: Blocks of a query that are scored before any is ruled out.
-FIRST_BLOCKS = 4
+#: Blocks of a query that are scored before any is ruled out, about 2,000 chunks.
+FIRST_BLOCKS = 64
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -100,30 +100,39 @@ def _facts(q: DataFrame) -> DataFrame:
                     given("state_or_district").alias("f_location"), given("language").alias("f_language"))
 
 
-def _block_bounds(index: SearchIndex, terms: DataFrame, asked: DataFrame, facts: DataFrame) -> DataFrame:
+def _block_bounds(index: SearchIndex, spelled: DataFrame, terms: DataFrame, facts: DataFrame) -> DataFrame:
     """(query_id, batch, collection_id, block, at_most): every block that may hold a result, from the places alone."""
-    rows = index.within("postings", terms).select(*KEY, "word", "active_places", "live_places").join(asked, ["collection_id", "word"])
-    met = rows.groupBy(*KEY, "term").agg(F.bit_or("active_places").alias("active_places"), F.bit_or("live_places").alias("live_places"))
+    asked = terms.select("collection_id", "term").distinct()
+    met = (
+        index.within("postings", terms).select(*KEY, "word", "active_places", "live_places").where("live_places <> 0")
+        .join(spelled, "word").select(*KEY, "active_places", "live_places", F.explode("terms").alias("term"))
+        .join(asked, ["collection_id", "term"], "left_semi")
+        .groupBy(*KEY, "term").agg(F.bit_or("active_places").alias("active_places"), F.bit_or("live_places").alias("live_places")))
     places = F.when(F.col("historical"), F.col("live_places")).otherwise(F.col("active_places"))
     per_term = met.join(terms, ["collection_id", "term"]).withColumn("bits", places).where("bits <> 0")
     bounds = _tally(per_term, *KEY).join(facts, "query_id").where(_admitted())
     return bounds.select("query_id", *KEY, _at_most().alias("at_most"))
 
 
-def _exact(index: SearchIndex, blocks: DataFrame, payload: DataFrame, terms: DataFrame, pairs: DataFrame,
+def _exact(index: SearchIndex, blocks: DataFrame, payload: DataFrame, terms: DataFrame, spelled: DataFrame,
            facts: DataFrame) -> DataFrame:
     """(query_id, vector_id, match_score) of all candidates in some blocks of each query.
 
-    ``blocks`` may have ``floor``, a score that only candidates that can reach it are read for. Texts are read for
-    the chunks that could hold the whole query or a quoted phrase, known from their term hits.
+    ``blocks`` may have ``floor``, a score that only candidates that can reach it are read for. Terms meet the chunks
+    of a block once, then the queries that ask for them. Texts are read for the chunks that could hold the whole query
+    or a quoted phrase, known from their term hits.
     """
-    wanted = blocks.join(terms, ["query_id", "collection_id"]).join(pairs, "term")
-    entries = (
-        index.within("postings", terms).select(*KEY, "word", "entries").join(wanted, [*KEY, "word"])
-        .select("query_id", *KEY, "floor", "historical", "term", "n_raw", "n_norm", "n_verb", "n_phrase", F.inline("entries"))
-        .where((F.col("state") == ACTIVE) | F.col("historical") & (F.col("state") == HISTORICAL)))
-    per_term = entries.groupBy("query_id", *KEY, "at", "term").agg(
-        F.bit_or("bits").alias("bits"), *(F.first(c).alias(c) for c in ("floor", "n_raw", "n_norm", "n_verb", "n_phrase")))
+    told = blocks.join(terms, ["query_id", "collection_id"]).select(*KEY, "term").distinct()
+    of_chunk = (
+        index.within("postings", terms).select(*KEY, "word", "entries").where("live_places <> 0")
+        .join(blocks.select(*KEY).distinct(), KEY, "left_semi")
+        .join(spelled, "word").select(*KEY, "entries", F.explode("terms").alias("term"))
+        .join(told, [*KEY, "term"], "left_semi")
+        .select(*KEY, "term", F.inline("entries")).where(F.col("state").isin(ACTIVE, HISTORICAL))
+        .groupBy(*KEY, "at", "state", "term").agg(F.bit_or("bits").alias("bits")))
+    # A query's terms and blocks are few; hits of its collection meet both by equality.
+    per_term = of_chunk.join(blocks.join(terms, ["query_id", "collection_id"]), [*KEY, "term"]).where(
+        (F.col("state") == ACTIVE) | F.col("historical"))
     reach = F.col("floor").isNull() | (F.round("at_most", 2) >= F.col("floor"))
     per_chunk = (
         _tally(per_term, *KEY, "at", "floor").join(facts, "query_id").where(_admitted())
@@ -158,20 +167,19 @@ def _exact(index: SearchIndex, blocks: DataFrame, payload: DataFrame, terms: Dat
     return scored(cand.where("NOT must_read"), F.lit(0.0)).unionByName(scored(read.where(holds), whole + quoted))
 
 
-def _asking(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Facts and terms of the queries, words of their terms, and (collection, word, term) to meet postings with."""
+def _asking(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts and terms of the queries, and for each word of the index the asked terms inside it."""
     q = stage_table(_with_mode(parse_queries(queries)), "parsed_queries")
     terms = stage_table(_query_terms(q), "query_terms")
-    pairs = stage_table(index.words_with(terms), "term_words")
-    asked = terms.select("collection_id", "term").distinct().join(pairs, "term")
-    return _facts(q), terms, pairs, asked
+    inside = index.words_with(terms).groupBy("word").agg(F.collect_list("term").alias("terms"))  # a word has few substrings
+    return _facts(q), terms, stage_table(inside, "term_words")
 
 
 def keyword_scores(queries: DataFrame, index: SearchIndex, payload: DataFrame) -> DataFrame:
     """(query_id, vector_id, match_score) of every candidate."""
-    facts, terms, pairs, asked = _asking(queries, index)
-    bounds = _block_bounds(index, terms, asked, facts).withColumn("floor", F.lit(None).cast("double"))
-    return _exact(index, bounds.drop("at_most"), payload, terms, pairs, facts)
+    facts, terms, spelled = _asking(queries, index)
+    bounds = stage_table(_block_bounds(index, spelled, terms, facts), "block_bounds").withColumn("floor", F.lit(None).cast("double"))
+    return _exact(index, bounds.drop("at_most"), payload, terms, spelled, facts)
 
 
 def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
@@ -186,20 +194,21 @@ def keyword_search(queries: DataFrame, index: SearchIndex, payload: DataFrame, k
     The blocks that may reach most are scored first; the k-th best score then found rules out every other block, and
     every chunk of what is left, whose bound is lower.
     """
-    facts, terms, pairs, asked = _asking(queries, index)
+    facts, terms, spelled = _asking(queries, index)
     limits = queries.select("query_id", (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("limit"))
-    bounds = stage_table(_block_bounds(index, terms, asked, facts), "block_bounds")
+    bounds = stage_table(_block_bounds(index, spelled, terms, facts), "block_bounds")
     order = Window.partitionBy("query_id").orderBy(F.desc("at_most"), *KEY)
     leading = bounds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST_BLOCKS)
     none = F.lit(None).cast("double").alias("floor")
-    first = stage_table(_exact(index, leading.select("query_id", *KEY, none), payload, terms, pairs, facts), "first_blocks")
+    first = stage_table(_exact(index, leading.select("query_id", *KEY, none), payload, terms, spelled, facts), "first_blocks")
     best = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.asc("vector_id"))
     kth = (first.withColumn("kw_rank", F.row_number().over(best)).join(limits, "query_id")
            .where(F.col("kw_rank") == F.col("limit")).select("query_id", F.col("match_score").alias("floor")))
-    rest = (bounds.join(leading.select("query_id", *KEY), ["query_id", *KEY], "left_anti").join(kth, "query_id", "left")
-            .where(F.col("floor").isNull() | (F.round("at_most", 2) >= F.col("floor"))))
-    more = _exact(index, rest.select("query_id", *KEY, "floor"), payload, terms, pairs, facts)
-    ranked = first.unionByName(more).withColumn("kw_rank", F.row_number().over(best))
+    rest = stage_table(bounds.join(leading.select("query_id", *KEY), ["query_id", *KEY], "left_anti").join(kth, "query_id", "left")
+            .where(F.col("floor").isNull() | (F.round("at_most", 2) >= F.col("floor"))).select("query_id", *KEY, "floor"), "other_blocks")
+    if not rest.isEmpty():  # a written table, not a plan
+        first = first.unionByName(_exact(index, rest, payload, terms, spelled, facts))
+    ranked = first.withColumn("kw_rank", F.row_number().over(best))
     if not isinstance(k, Column):
         return ranked.where(F.col("kw_rank") <= k)
     return (ranked.join(limits, "query_id").where(F.col("kw_rank") <= F.col("limit")).drop("limit"))

@@ -165,15 +165,17 @@ class SearchIndex:
 
     def words_with(self, terms: DataFrame) -> DataFrame:
         """(term, word): every word of the vocabulary that holds a term, by its two rarest grams, then verified."""
-        counts = self.table("gram_counts").groupBy("gram").agg(F.sum("n").alias("n"))
-        size = F.least(F.length("term"), F.lit(GRAM))
         wanted = terms.select("term").distinct().where(F.length("term") > 0)
-        spelled = wanted.select("term", F.explode(F.when(size == 1, _grams("term", [1])).when(size == 2, _grams("term", [2])).otherwise(_grams("term", [GRAM]))).alias("gram"))
-        rarest = (spelled.join(counts, "gram").groupBy("term")
-                  .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram"))), 1, 2).alias("g")))  # a term has few grams
-        chosen = rarest.select("term", F.size("g").alias("need"), F.explode("g.gram").alias("gram"))
-        met = chosen.join(self.table("grams").select("gram", "word"), "gram").groupBy("term", "word").agg(F.count("*").alias("got"), F.first("need").alias("need"))
-        return met.where((F.col("got") == F.col("need")) & F.contains("word", "term")).select("term", "word")
+        grams = self.table("grams").select("gram", "word")
+        short = wanted.where(F.length("term") <= GRAM).join(grams.withColumnRenamed("gram", "term"), "term")
+        counts = self.table("gram_counts").groupBy("gram").agg(F.sum("n").alias("n"))
+        spelled = wanted.where(F.length("term") > GRAM).select("term", F.explode(_grams("term", [GRAM])).alias("gram"))
+        rarest = (spelled.join(counts, "gram", "left").groupBy("term")
+                  .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, 2).alias("g")))  # a term has few grams
+        chosen = rarest.where("g[0].n > 0").select("term", F.size("g").alias("need"), F.explode("g.gram").alias("gram"))
+        met = chosen.join(grams, "gram").groupBy("term", "word").agg(F.count("*").alias("got"), F.first("need").alias("need"))
+        return short.select("term", "word").unionByName(
+            met.where((F.col("got") == F.col("need")) & F.contains("word", "term")).select("term", "word"))
 
     def word_counts(self, words: DataFrame, collections: bool = True) -> DataFrame:
         """Documents of some words by state, in each collection or in all."""

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioground.functions import vectors as VX
-from folioground.operators import fusion, index as I, keyword as KW, knn, matching as M, ranking
+from folioground.functions import text as X, vectors as VX
+from folioground.operators import fusion, keyword as KW, knn, matching as M, ranking, search_index as SI
+from folioground.staging import stage_path
 
 
 def test_substring_pairs_brute_force(spark):
@@ -93,13 +94,12 @@ def corpus(spark):
         text = " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 12))) + (" exact phrase here" if i % 9 == 0 else "")
         d = DOCS[i % 3]
         status = "DELETED" if i % 13 == 0 else "ARCHIVED" if i % 5 == 0 else "ACTIVE"
-        rows.append((f"c{i:02d}", "col", d[0], i, "HEAD rural" if i % 4 == 0 else None, d[1], d[2], "Maharashtra - Pune" if i % 2 else None, "en", status == "ACTIVE", status, text))
-    p = spark.createDataFrame(rows, "vector_id string, collection_id string, document_id long, page_number int, section_heading string, scheme_name string, department string, "
+        rows.append((f"c{i:02d}", "col", d[0], f"{d[0]}:1", i // 3, i, "HEAD rural" if i % 4 == 0 else None, d[1], d[2], "Maharashtra - Pune" if i % 2 else None, "en", status == "ACTIVE", status, text))
+    p = spark.createDataFrame(rows, "vector_id string, collection_id string, document_id long, version_id string, chunk_index int, page_number int, section_heading string, scheme_name string, department string, "
                                     "state_or_district string, language string, active boolean, document_status string, chunk_text string")
     from folioground.functions.text import normalize_for_search
     p = p.withColumn("normalized_text", normalize_for_search(F.col("chunk_text")))
-    docs = spark.createDataFrame([(d[0], "col", d[1], d[2], "ACTIVE") for d in DOCS], "document_id long, collection_id string, scheme_name string, department string, status string")
-    return p, docs
+    return p
 
 
 QUERIES = ['PM-KISAN 6000', '"exact phrase" rural', 'the', 'a b', '"rural hous"', 'kisan benefit', 'hous pens', 'EWS (note)', '"old-age" "the"', '""', 'café sub_sidy 100%',
@@ -134,21 +134,109 @@ def brute_scores(query, rows, historical):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [100_000, 3])
-def test_keyword_scores_brute_force(spark, hot_rows):
-    """With three rows as the limit, frequent words take the broadcast way; results are the same."""
-    p, docs = corpus(spark)
-    p = p.cache()
+def asked(spark):
     q = spark.createDataFrame([(i, t, "col", i % 2 == 0) for i, t in enumerate(QUERIES)], "query_id int, query string, collection_id string, include_historical boolean")
-    q = q.select("*", *[F.lit(None).cast("string").alias(c) for c in ("scheme", "department", "state_or_district", "language")])
+    return q.select("*", *[F.lit(None).cast("string").alias(c) for c in ("scheme", "department", "state_or_district", "language")])
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    """The corpus, and an index of it with small blocks whose first batch held other texts of two documents."""
+    p = corpus(spark).cache()
+    before = p.withColumns({c: F.when(F.col("document_id") < 3, F.concat(F.lit("kisan zzzz rural "), F.col(c))).otherwise(F.col(c)) for c in ("chunk_text", "normalized_text")})
+    index = SI.build(before, stage_path(spark, "index"), buckets=3, block=4)
+    for _ in range(2):  # a batch that is run again changes nothing
+        index.add(p.filter("document_id < 3"), 2)
+    return p, SI.SearchIndex.open(spark, index.path)
+
+
+def brute_all(p):
+    rows = p.collect()
+    return {i: brute_scores(t, rows, i % 2 == 0) for i, t in enumerate(QUERIES) if t != '""'}
+
+
+def test_keyword_scores_brute_force(spark, stored):
+    p, index = stored
     got = {}
-    for r in KW.keyword_scores(q, p, I.chunk_postings(p), I.document_postings(docs), hot_rows=hot_rows).collect():
+    for r in KW.keyword_scores(asked(spark), index, p).collect():
         got.setdefault(r.query_id, {})[r.vector_id] = r.match_score
-    rows = p.collect()
+    for i, want in brute_all(p).items():
+        assert got.get(i, {}) == want, QUERIES[i]
+
+
+@pytest.mark.parametrize("blocks", [1, 64])
+def test_pruned_search_brute_force(spark, stored, monkeypatch, blocks):
+    """With one block first, others are ruled out by their bounds; the best stay the best. A limit may differ by row."""
+    p, index = stored
+    monkeypatch.setattr(KW, "FIRST_BLOCKS", blocks)
+    q = asked(spark).withColumn("most", F.col("query_id") % 4 + 1)
+    got = {}
+    for r in KW.keyword_search(q, index, p, F.col("most")).collect():
+        got.setdefault(r.query_id, []).append((r.kw_rank, r.vector_id, r.match_score))
+    for i, scores in brute_all(p).items():
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[: i % 4 + 1]
+        assert [x[1:] for x in sorted(got.get(i, []))] == want, QUERIES[i]
+
+
+def test_block_bounds_hold(spark, stored):
+    """No candidate scores more than its block is said to reach, and no block with a candidate is left out."""
+    p, index = stored
+    facts, terms, spelled = KW._asking(asked(spark), index)
+    bounds = {(r.query_id, r.batch, r.block): r.at_most for r in KW._block_bounds(index, spelled, terms, facts).collect()}
+    place = {r.vector_id: (r.batch, r.block) for r in index.live_chunks().collect()}
+    for i, scores in brute_all(p).items():
+        for vector, score in scores.items():
+            assert score <= bounds[(i, *place[vector])]
+
+
+def test_statistics_after_a_replaced_batch(spark, stored):
+    p, index = stored
+    want, totals = {}, {}
+    for r in p.collect():
+        state = 2 if r.document_status == "DELETED" else 0 if r.active else 1
+        ws = r.normalized_text.split()
+        totals[state] = totals.get(state, 0) + len(ws)
+        for w in set(ws):
+            want.setdefault(w, [0, 0, 0])[state] += 1
+    got = {r.word: [r.df_active, r.df_historical, r.df_deleted] for r in index.table("words").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("df_active", "df_historical", "df_deleted"))).collect()}
+    assert {w: n for w, n in got.items() if any(n)} == want
+    t = index.collection_totals().first()
+    assert [t.words_active, t.words_historical, t.words_deleted] == [totals[k] for k in range(3)] and t.docs_active + t.docs_historical + t.docs_deleted == p.count()
+    assert index.live_chunks().count() == p.count()
+
+
+def test_words_with_brute_force(spark, stored):
+    index = stored[1]
+    words = {r.word for r in index.table("vocabulary").collect()}
+    terms = {"a", "ru", "sub", "kisan", "hous", "old-age", "(note)", "zzzzz", "é", "00%", "absent-from-all"} | {w[1:] for w in words if len(w) > 1}
+    got = [tuple(r) for r in index.words_with(spark.createDataFrame([(t,) for t in terms], "term string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(t, w) for t in terms for w in words if t in w}
+
+
+def test_search_reads_its_buckets_and_tokenises_nothing(spark, stored):
+    p, index = stored
+    plan = index.within("postings", asked(spark))._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    found = ranking.bm25(asked(spark), index, 5, within=True)
+    plan = found._jdf.queryExecution().toString()
+    assert "chunk_text" not in plan and "normalized_text" not in plan
+
+
+def test_bm25_brute_force(spark, stored):
+    p, index = stored
+    rows, got = p.collect(), {}
+    for r in ranking.bm25(asked(spark), index, 5, within=True).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vector_id, r.bm25))
     for i, t in enumerate(QUERIES):
-        if t == '""':
-            continue
-        assert got.get(i, {}) == brute_scores(t, rows, i % 2 == 0), t
+        seen = [(r.vector_id, r.normalized_text.split()) for r in rows if r.document_status != "DELETED" and (i % 2 == 0 or r.active)]
+        n, avgdl, scores = len(seen), sum(len(ws) for _, ws in seen) / len(seen), {}
+        for term in set(spark.createDataFrame([(t,)], "q string").select(X.words(X.normalize_for_search(F.col("q")))).first()[0]):
+            df = sum(term in ws for _, ws in seen)
+            for vector, ws in seen:
+                if tf := ws.count(term):
+                    scores[vector] = scores.get(vector, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avgdl))
+        want = sorted(((v, round(s, 6)) for v, s in scores.items()), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(v, pytest.approx(s, abs=2e-6)) for _, v, s in sorted(got.get(i, []))] == want
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
@@ -156,11 +244,9 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in KW.top_k(df, "s", 3)._jdf.queryExecution().toString()
 
 
-def test_no_cross_product(spark):
-    p, docs = corpus(spark)
-    q = spark.createDataFrame([(1, "rural housing", "col", False)], "query_id int, query string, collection_id string, include_historical boolean")
-    q = q.select("*", *[F.lit(None).cast("string").alias(c) for c in ("scheme", "department", "state_or_district", "language")])
-    plan = KW.keyword_scores(q, p, I.chunk_postings(p), I.document_postings(docs))._jdf.queryExecution().toString()
+def test_no_cross_product(spark, stored):
+    p, index = stored
+    plan = KW.keyword_scores(asked(spark), index, p)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
