@@ -14,34 +14,34 @@ from folioground.staging import stage_path
 from folioground.streaming import jobs as J
 
 FACTS = [
-    ("scheme_category", "how to apply for pmay housing scheme", "housing"), ("scheme_category", "subsidy for kisan tractor and crop seeds", "agriculture"),
-    ("scheme_category", "ayushman arogya treatment in hospital", "healthcare"), ("scheme_category", "old age pension monthly disbursement", "pension"),
-    ("scheme_category", "mgnrega job card employment in village", "employment"), ("scheme_category", "ujjwala free lpg gas cylinder connection", "energy"),
-    ("beneficiary_type", "monthly pension for elderly senior citizens", "senior_citizen"), ("beneficiary_type", "welfare grant for destitute widow", "widow"),
-    ("beneficiary_type", "interest free loan for women shg", "shg"), ("beneficiary_type", "ration card support for bpl family", "bpl_family"),
-    ("age", "I am 65 years old looking for pension", 65), ("age", "eligibility for senior citizen aged 72", 72), ("age", "applicant age: 45 for housing loan", 45),
-    ("age", "student scholarship for 21 yo girl", 21), ("age", "scheme for persons above 60", 60), ("age", "general information on scholarships", None),
+    ("scheme_category", "we want a pmay house on our plot", "housing"), ("scheme_category", "drip kit for kisan with two acres of crop", "agriculture"),
+    ("scheme_category", "which hospital takes the ayushman card", "healthcare"), ("scheme_category", "my pension has not come since June", "pension"),
+    ("scheme_category", "days worked under mgnrega this year", "employment"), ("scheme_category", "second lpg refill at home", "energy"),
+    ("beneficiary_type", "bus pass of senior citizens", "senior_citizen"), ("beneficiary_type", "money for a widow next door", "widow"),
+    ("beneficiary_type", "our shg wants to buy two goats", "shg"), ("beneficiary_type", "sugar quota of a bpl family", "bpl_family"),
+    ("age", "he turned 67 years old in March", 67), ("age", "my uncle aged 74 lives alone", 74), ("age", "age: 38 as on the form", 38),
+    ("age", "a 19 yo cousin in the hostel", 19), ("age", "only people above 62 may come", 62), ("age", "where is the block office", None),
     ("age", "income under 3 lakh", 3), ("age", "aged 999 but under 40", 40),
-    ("gender", "maternity allowance for pregnant woman", "female"), ("gender", "subsidized housing for elderly man", "male"),
-    ("gender", "pension for transgender community members", "transgender"), ("gender", "how to apply for kisan credit card", None),
-    ("income_range", "family holding bpl ration card", "BPL"), ("income_range", "qualifying under ews quota", "EWS"),
-    ("income_range", "household annual income below 3 lakh", "<= Rs. 300,000"), ("max_income", "family with income under 2.5 lakhs", 250000.0),
-    ("max_income", "monthly salary 25000", 25000.0), ("max_income", "what is the process to apply", None), ("max_income", "under 3 lakh only", 300000.0),
-    ("occupation", "tractor subsidy for marginal cultivator farmer", "farmer"), ("occupation", "pm swanidhi loan for street vendor", "street_vendor"),
-    ("occupation", "honorarium for asha worker", "healthcare_worker"),
-    ("understood_location", "welfare housing in Varanasi, Uttar Pradesh", "Varanasi, Uttar Pradesh"), ("understood_location", "farming subsidy for rural village in Maharashtra", "Maharashtra"),
-    ("locality", "farming subsidy for rural village in Maharashtra", "rural"), ("locality", "urban slum development in Pune city", "urban"),
-    ("disability_status", "aid and appliance for divyangjan", "PwD / Divyangjan"), ("disability_status", "pension for person with 40% disability", "PwD (40% benchmark disability)"),
-    ("disability_status", "general public school scholarship", None),
-    ("profile_terms", "65 year old widow and marginal farmer with bpl card", ["bpl", "farmer", "senior-citizen", "widow"]),
-    ("information_type", "am i eligible to receive pm-kisan benefits", "eligibility"), ("information_type", "how much financial assistance amount is provided", "benefit"),
-    ("information_type", "what documents and id proof are required", "documents"), ("information_type", "what is the step by step process to apply online", "process"),
-    ("information_type", "what is the last date and deadline for submission", "deadline"), ("information_type", "toll-free helpline phone number or contact officer", "contact"),
-    ("information_type", "how to check application status and track reference", "status"), ("information_type", "", "general"), ("is_safe_to_answer", None, True),
-    ("missing_field", "Am I eligible to get a house under PMAY?", "annual_income"), ("missing_field", "Can I apply for the old age pension scheme?", "age"),
-    ("missing_field", "Am I eligible to receive PM-Kisan 6000 rupees?", "farmer_status_and_landholding"), ("missing_field", "Am I eligible?", "scheme_name_or_category"),
-    ("missing_field", "I am a 68 year old citizen, am I eligible for old age pension?", None), ("missing_field", "What documents are required for PMAY housing application?", None),
-    ("is_safe_to_answer", "What is the process to apply for PM-Kisan online?", True),
+    ("gender", "a lady from the next lane", "female"), ("gender", "a man from our lane", "male"),
+    ("gender", "transgender identity card office", "transgender"), ("gender", "which bank opens the account", None),
+    ("income_range", "we hold the yellow bpl card", "BPL"), ("income_range", "seat in the ews list", "EWS"),
+    ("income_range", "all of us together earn below 3 lakh", "<= Rs. 300,000"), ("max_income", "yearly income under 1.5 lakhs", 150000.0),
+    ("max_income", "his salary 18000 is paid late", 18000.0), ("max_income", "when does the camp open", None), ("max_income", "under 3 lakh only", 300000.0),
+    ("occupation", "the farmer behind the canal", "farmer"), ("occupation", "a street vendor at the bus stand", "street_vendor"),
+    ("occupation", "our asha worker is on leave", "healthcare_worker"),
+    ("understood_location", "a flat in Varanasi, Uttar Pradesh", "Varanasi, Uttar Pradesh"), ("understood_location", "a well for our village in Maharashtra", "Maharashtra"),
+    ("locality", "a well for our village in Maharashtra", "rural"), ("locality", "a tap in the slum near Pune", "urban"),
+    ("disability_status", "hearing aid for divyangjan", "PwD / Divyangjan"), ("disability_status", "my son has 55% disability", "PwD (55% benchmark disability)"),
+    ("disability_status", "library card of the school", None),
+    ("profile_terms", "she is a widow, 70 years old, a farmer and holds a bpl card", ["bpl", "farmer", "senior-citizen", "widow"]),
+    ("information_type", "is my sister eligible this year", "eligibility"), ("information_type", "what amount will reach us", "benefit"),
+    ("information_type", "list the documents to bring", "documents"), ("information_type", "tell me how to apply from home", "process"),
+    ("information_type", "is there a deadline in May", "deadline"), ("information_type", "give the helpline of the office", "contact"),
+    ("information_type", "where do I track my file", "status"), ("information_type", "", "general"), ("is_safe_to_answer", None, True),
+    ("missing_field", "Is my brother eligible for PMAY, and am I eligible?", "annual_income"), ("missing_field", "am I eligible for a pension", "age"),
+    ("missing_field", "am I eligible for kisan money", "farmer_status_and_landholding"), ("missing_field", "am I eligible", "scheme_name_or_category"),
+    ("missing_field", "at 71 years old, am I eligible for a pension", None), ("missing_field", "which documents does PMAY ask for", None),
+    ("is_safe_to_answer", "how does one apply for kisan money", True),
 ]
 
 
@@ -52,8 +52,8 @@ def test_question_facts(spark):
 
 
 PASSAGE = "query_id int, rank int, document_id int, document_title string, version_id string, page_number int, section_heading string, excerpt string, score double"
-TITLE = "PM Scholarship Operational Manual (v1)"
-TEXT = "Eligible girl students receive a scholarship of Rs. 3,000 per month for professional degree courses."
+TITLE = "Canal Water Rules (v2)"
+TEXT = "Each registered plot gets nine hours of canal water on every second Tuesday of the dry months."
 
 
 def verdicts(spark, answers, passages):
@@ -65,9 +65,9 @@ def verdicts(spark, answers, passages):
 def test_claims(spark):
     shown = [(1, 1, TITLE, "v", 4, None, TEXT, 0.92)]
     good = f"Under {TITLE}, Page 4: {TEXT} [Source: {TITLE}, Page 4]."
-    bad = "Students are also given free high-performance laptops and international flight tickets to study abroad."
-    wrong_page = f"Girl students receive a scholarship [Source: {TITLE}, Page 9]."
-    got = verdicts(spark, [good, bad, wrong_page, good + " " + bad, "Note: nothing.", "Based on official scheme papers girls study."], shown)
+    bad = "Owners may moreover borrow silver bicycles from the harbour museum until midnight."
+    wrong_page = f"Each registered plot gets canal water [Source: {TITLE}, Page 9]."
+    got = verdicts(spark, [good, bad, wrong_page, good + " " + bad, "Note: nothing.", "Based on official scheme papers plots dry."], shown)
     assert [g for g, _ in got] == [True, False, False, False, False, True] and got[0][1] > 0 and got[4][1] == 0
 
 
