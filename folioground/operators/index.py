@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioground import constants as C
 from folioground.functions import text as X
+from folioground.staging import stage_table
 
 IN_TEXT, IN_NORMALIZED, IN_HEADING, IN_SCHEME, IN_DEPARTMENT = 1, 2, 4, 8, 16
 
@@ -114,6 +115,32 @@ def index_chunks(chunks: DataFrame, existing: DataFrame, collection_id: Column,
     return upsert_vectors(existing, records)
 
 
+def gated_upsert(chunks: DataFrame, existing: DataFrame, collection_id: Column, embedder: Callable[[Column], Column],
+                 dim: int = C.EMBEDDING_DIM, model: str = C.EMBEDDING_MODEL) -> tuple[DataFrame, DataFrame]:
+    """Vectors after the upsert, and what was refused with the reason.
+
+    ``chunks`` are as in ``index_chunks`` with ``chunk_text`` and ``batch``; a chunk without a vector is embedded. A vector
+    of another size or model, or without a place, keeps its whole batch out: its rows are refused for their own
+    reason, the others of the batch as ``BATCH_REFUSED``. Both tables come from one written pass, so nothing is embedded twice.
+    """
+    missing = F.col("version_id").isNull() & F.coalesce(F.col("vector_id") == "", F.lit(True))
+    made = X.vector_id(F.col("version_id"), F.coalesce("page_number", F.lit(1)), F.coalesce("chunk_index", F.lit(0)))
+    records = chunks.select(
+        "batch", "seq", F.when(~missing, F.coalesce(F.nullif("vector_id", F.lit("")), made)).alias("vector_id"), X.namespace(collection_id).alias("namespace"),
+        F.when(F.col("values").isNotNull(), F.col("values")).otherwise(embedder(F.coalesce("chunk_text", F.lit("")))).alias("values"),
+        F.coalesce("embedding_model", F.lit(model)).alias("embedding_model"), F.coalesce("embedding_dimension", F.lit(dim)).alias("embedding_dimension"),
+        F.when(missing, "NO_IDENTITY").alias("reason"))
+    reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
+              .when((F.size("values") != dim) | (F.col("embedding_dimension") != dim), "DIMENSION_MISMATCH")
+              .when(F.col("embedding_model") != model, "MODEL_MISMATCH"))
+    judged = stage_table(records.withColumn("reason", reason), "judged_vectors")
+    spoilt = judged.where("reason IS NOT NULL").select("batch").distinct()
+    accepted = judged.join(spoilt, "batch", "left_anti").drop("reason", "batch")
+    refused = (judged.join(spoilt, "batch", "left_semi")
+               .select("batch", "vector_id", "embedding_model", F.size("values").alias("found_dimension"), F.coalesce("reason", F.lit("BATCH_REFUSED")).alias("reason")))
+    return upsert_vectors(existing, accepted), refused
+
+
 def reindex_scope(chunks: DataFrame, documents: DataFrame, versions: DataFrame,
                   collections: DataFrame, collection_id: str | None = None,
                   version_id: str | None = None) -> DataFrame:

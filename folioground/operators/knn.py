@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 8192
+NAMESPACE_BUCKETS = 64
 _STRIPE = 128
 
 
@@ -94,3 +95,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int,
         block, f"query_id {id_type}, vector_id string, vec_score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), F.asc("vector_id"))
     return partial.withColumn("vec_rank", F.row_number().over(order)).filter(F.col("vec_rank") <= k)
+
+
+def write_vectors(vectors: DataFrame, path: str, buckets: int = NAMESPACE_BUCKETS) -> None:
+    """Vectors in partitions by a bucket of their namespace, so a search opens those of its namespaces alone."""
+    bucket = F.pmod(F.xxhash64("namespace"), F.lit(buckets)).cast("int")
+    # Files of a bucket follow its rows: a large namespace is written by many tasks.
+    vectors.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def nearest_stored(queries: DataFrame, path: str, k: int, filters: Mapping[str, str] | None = None, buckets: int = NAMESPACE_BUCKETS) -> DataFrame:
+    """``nearest`` over a table of ``write_vectors``: the namespaces of the queries prune its partitions at run time."""
+    bucket = F.pmod(F.xxhash64("namespace"), F.lit(buckets)).cast("int")
+    asked = queries.select(bucket.alias("bucket")).where(F.col("bucket") >= 0).distinct()
+    held = queries.sparkSession.read.parquet(path)
+    # At most ``buckets`` numbers are broadcast.
+    return nearest(queries, held.join(F.broadcast(asked), "bucket", "left_semi").drop("bucket"), k, filters)

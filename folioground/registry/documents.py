@@ -502,6 +502,38 @@ def index_chunk_defaults(spark, sf_dir):
     return I.index_chunks(c, none, F.lit("src")).select("vector_id", "namespace", "embedding_model", "embedding_dimension", F.size("values").alias("n_values"))
 
 
+_GATE = {
+    "held": """select *, case when document_id % 2 = 0 then 'own-' || vector_id else vector_id end as own_id, case when document_id % 7 = 3 then 3 else 1536 end as size,
+      case when document_id % 11 = 5 then 'custom' else 'text-embedding-3-small' end as model, version_id as batch from v_passages""",
+    "told": "select *, case when size <> 1536 then 'DIMENSION_MISMATCH' when model = 'custom' then 'MODEL_MISMATCH' end as own_reason from held",
+    "spoilt": "select distinct batch from told where own_reason is not null",
+}
+
+
+def _gated(spark, sf_dir):
+    """Passages as one batch a version: some with a vector of three numbers, some of another model, most to be embedded."""
+    d = F.col("document_id")
+    c = V.page_passages(spark, sf_dir).select(
+        F.col("version_id").alias("batch"), F.when(d % 2 == 0, F.concat(F.lit("own-"), "vector_id")).alias("vector_id"), "version_id", "page_number", "chunk_index", "chunk_text",
+        F.when(d % 7 == 3, F.array(*[F.lit(1.0).cast("float")] * 3)).alias("values"), F.when(d % 11 == 5, "custom").alias("embedding_model"),
+        F.lit(None).cast("int").alias("embedding_dimension"), F.lit(1).alias("seq"))
+    none = spark.createDataFrame([], "vector_id string, namespace string, values array<float>, embedding_model string, embedding_dimension int")
+    return I.gated_upsert(c, none, F.lit("src"), VX.hashing_embedder())
+
+
+@query("index_gate_accepted", with_views("v_passages", extra=_GATE, body="""
+select own_id as vector_id, 'corpus:src' as namespace, model as embedding_model, 1536 as n_values, true as embedded from told where batch not in (select batch from spoilt)"""))
+def index_gate_accepted(spark, sf_dir):
+    v = _gated(spark, sf_dir)[0]
+    return v.select("vector_id", "namespace", "embedding_model", F.size("values").alias("n_values"), F.exists("values", lambda x: x != 0).alias("embedded"))
+
+
+@query("index_gate_refused", with_views("v_passages", extra=_GATE, body="""
+select batch, own_id as vector_id, model as embedding_model, size as found_dimension, coalesce(own_reason, 'BATCH_REFUSED') as reason from told where batch in (select batch from spoilt)"""))
+def index_gate_refused(spark, sf_dir):
+    return _gated(spark, sf_dir)[1]
+
+
 @query("index_statistics", """
 select 'ns:' || label as namespace, count(*) as vectors_count, min(len(embedding)) as min_dimension, max(len(embedding)) as max_dimension from embeddings group by label""")
 def index_statistics(spark, sf_dir):

@@ -58,6 +58,15 @@ def passage_vectors(spark, sf_dir) -> DataFrame:
         I.vector_records(passage_payload(spark, sf_dir), VX.hashing_embedder()), "vectors"))
 
 
+def passage_vector_store(spark, sf_dir) -> str:
+    """The vectors again, in partitions by namespace."""
+    def build():
+        path = stage_path(spark, "vector_store")
+        knn.write_vectors(passage_vectors(spark, sf_dir), path)
+        return path
+    return staged(spark, sf_dir, "passage_vector_store", build)
+
+
 def keyword_hits(spark, sf_dir, k: int) -> DataFrame:
     c = passage_corpus(spark, sf_dir)
     return KW.keyword_search(V.bench_queries(spark, sf_dir), c.index, c.payload, k)
@@ -196,7 +205,7 @@ def vector_search_passages(spark, sf_dir):
     q = V.bench_queries(spark, sf_dir).select(
         "query_id", X.namespace(F.col("collection_id")).alias("namespace"), embed(F.col("query")).alias("values"), "scheme", "language",
         F.when(~F.col("include_historical"), "true").alias("f_active"))
-    return knn.nearest(q, passage_vectors(spark, sf_dir), 15, {"scheme": "scheme_name", "language": "language", "f_active": "active"})
+    return knn.nearest_stored(q, passage_vector_store(spark, sf_dir), 15, {"scheme": "scheme_name", "language": "language", "f_active": "active"})
 
 
 @query("vector_metadata_filter", f"""

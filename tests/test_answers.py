@@ -106,6 +106,23 @@ def test_citation_reasons(spark):
     assert got == {(r[0], r[1]): r[7] for r in rows}
 
 
+def test_gated_upsert(spark):
+    """A batch with one bad vector is kept out whole; others are embedded where they lack a vector and win over what is there."""
+    rows = [("a", 1, "v:1", 1, 0, "reed boats", None, None, None, None), ("a", 2, "v:1", 1, 0, "reed rafts", None, None, None, None), ("a", 1, None, 2, 1, None, [0.5] * 8, None, None, "own"),
+            ("b", 1, "w:1", 1, 0, "tar", [1.0] * 3, None, None, None), ("b", 1, "w:1", 1, 1, "oil", None, None, None, ""), ("c", 1, "x:1", 1, 0, "sail", None, "other", None, None),
+            ("d", 1, "y:1", 1, 0, "mast", None, None, 9, None), ("e", 1, None, 1, 0, "keel", None, None, None, "")]
+    c = spark.createDataFrame([(b, s, v, p, i, t, x, m, d, n) for b, s, v, p, i, t, x, m, d, n in rows], "batch string, seq int, version_id string, page_number int, chunk_index int, chunk_text string, "
+                              "values array<float>, embedding_model string, embedding_dimension int, vector_id string")
+    old = spark.createDataFrame([("v:1:1:0", "corpus:col", [9.0] * 8, "m", 8), ("kept", "corpus:col", [9.0] * 8, "m", 8)], "vector_id string, namespace string, values array<float>, embedding_model string, embedding_dimension int")
+    embed = VX.hashing_embedder(8)
+    vectors, refused = I.gated_upsert(c, old, F.lit("col"), embed, 8, "m")
+    got = {r.vector_id: r["values"] for r in vectors.collect()}
+    rafts = spark.createDataFrame([("reed rafts",)], "t string").select(embed(F.col("t"))).first()[0]
+    assert got == {"kept": [9.0] * 8, "own": [0.5] * 8, "v:1:1:0": rafts}
+    assert {(r.batch, r.vector_id, r.reason) for r in refused.collect()} == {
+        ("b", "w:1:1:0", "DIMENSION_MISMATCH"), ("b", "w:1:1:1", "BATCH_REFUSED"), ("c", "x:1:1:0", "MODEL_MISMATCH"), ("d", "y:1:1:0", "DIMENSION_MISMATCH"), ("e", None, "NO_IDENTITY")}
+
+
 def test_hash_groups_with_many_copies(spark):
     rows = [(i, "same" if i % 3 else f"h{i}", f"S{i}", "DELETED" if i == 1 else "ACTIVE") for i in range(60)]
     docs = spark.createDataFrame(rows, "document_id int, file_hash string, scheme_name string, status string")

@@ -83,6 +83,17 @@ def test_nearest_blocks_brute_force(spark, monkeypatch, block):
     assert {tuple(r) for r in got} == want
 
 
+def test_namespaces_prune_partitions(spark):
+    """Only buckets of the namespaces that are asked for are opened, found out at run time."""
+    v = spark.createDataFrame([(f"v{i:03d}", f"n{i % 12}", [float(i % 5), 1.0]) for i in range(120)], "vector_id string, namespace string, values array<float>")
+    path = stage_path(spark, "vectors")
+    knn.write_vectors(v, path, 16)
+    q = spark.createDataFrame([(1, "n3", [1.0, 1.0]), (2, "n7", [0.0, 1.0]), (3, "none", [1.0, 0.0])], "query_id long, namespace string, values array<float>")
+    found = knn.nearest_stored(q, path, 4, buckets=16)
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, knn.nearest(q, v, 4).collect()))
+
+
 DOCS = [(1, "PM-KISAN Benefit", "Department of Agriculture"), (2, "Rural Housing", "Housing Board"), (3, "Old Age Pension", "Social Welfare")]
 
 
