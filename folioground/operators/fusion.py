@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioground import constants as C
 from folioground.functions import text as X
@@ -69,7 +69,7 @@ def fused_scores(candidates: DataFrame, threshold: float = C.SCORE_THRESHOLD) ->
         .withColumn("retrieval_reason", reason).filter(F.col("score") >= threshold))
 
 
-def final_rank(scored: DataFrame, limit: int = C.DEFAULT_LIMIT) -> DataFrame:
+def final_rank(scored: DataFrame, limit: int | Column = C.DEFAULT_LIMIT) -> DataFrame:
     """Score, then active before archived, then newer version; ties keep the retrieval order."""
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.asc("is_historical"), F.desc("version_number"),

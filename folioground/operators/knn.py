@@ -7,7 +7,7 @@ from collections.abc import Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 8192
@@ -36,9 +36,10 @@ def _passing(queries: pa.Table, vectors: pa.Table, filters: Mapping[str, str]) -
     return ok
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int,
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | Column,
             filters: Mapping[str, str] | None = None) -> DataFrame:
-    """(query_id, vector_id, vec_score, vec_rank): the ``k`` most similar vectors of each query.
+    """(query_id, vector_id, vec_score, vec_rank): the ``k`` most similar vectors of each query (a number, or a column of
+    ``queries``).
 
     ``queries`` has query_id, namespace, values; ``vectors`` has vector_id, namespace, values.
     ``filters`` maps a query column to a vector column compared as lower-case text.
@@ -53,16 +54,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int,
         F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("v_blocks"))
     grid = q_sizes.join(v_sizes, "namespace")
 
-    def place(df: DataFrame, key: str, own: str, other: str, names: list[str]) -> DataFrame:
+    def place(df: DataFrame, key: str, own: str, other: str, names: list[str], *more: Column) -> DataFrame:
         hashed = F.pmod(F.xxhash64(key), F.col(own + "_blocks")).cast("int")
         spread = F.explode(F.sequence(F.lit(0), F.col(other + "_blocks") - 1))
         texts = [F.lower(F.col(n).cast("string")).alias(n) for n in names]
         return (df.filter(F.size("values") > 0).join(grid, "namespace")
                 .select(F.col("namespace").alias("namespace"), F.size("values").alias("dim"),
                         hashed.alias(own + "_block"), spread.alias(other + "_block"),
-                        F.col(key).alias(key), F.col("values").alias("values"), *texts))
+                        F.col(key).alias(key), F.col("values").alias("values"), *texts, *more))
 
-    q = place(queries, "query_id", "q", "v", list(filters))
+    most = (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("most")
+    q = place(queries, "query_id", "q", "v", list(filters), most)
     v = place(vectors, "vector_id", "v", "q", list(filters.values()))
     id_type = queries.schema["query_id"].dataType.simpleString()
 
@@ -71,16 +73,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int,
             right = right.sort_by("vector_id")
             lq, rv = _unit(_matrix(left["values"])), _unit(_matrix(right["values"]))
             ok = _passing(left, right, filters) if filters else None
+            wanted = left["most"].to_numpy()
         picked_q, picked_v, scores = [], [], []
         for at in range(0, left.num_rows if right.num_rows else 0, _STRIPE):
             s = np.round(np.clip(lq[at:at + _STRIPE] @ rv.T, 0.0, 1.0), 4)
             if ok is not None:
                 s[~ok[at:at + _STRIPE]] = -1.0
-            n = min(k, s.shape[1])
+            n = max(1, min(int(wanted[at:at + _STRIPE].max()), s.shape[1]))
             floor = -np.partition(-s, n - 1, axis=1)[:, n - 1]
             for row in range(s.shape[0]):
                 near = np.flatnonzero((s[row] >= floor[row]) & (s[row] >= 0))
-                best = near[np.argsort(-s[row, near], kind="stable")[:k]]
+                best = near[np.argsort(-s[row, near], kind="stable")[:max(0, wanted[at + row])]]
                 picked_q.append(np.full(len(best), at + row))
                 picked_v.append(best)
                 scores.append(s[row, best])
@@ -88,13 +91,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int,
         return pa.table({
             "query_id": left["query_id"].take(pa.array(take(picked_q))),
             "vector_id": right["vector_id"].take(pa.array(take(picked_v))),
-            "vec_score": pa.array(np.concatenate(scores) if scores else np.array([], float))})
+            "vec_score": pa.array(np.concatenate(scores) if scores else np.array([], float)),
+            "most": left["most"].take(pa.array(take(picked_q)))})
 
     keys = ["namespace", "dim", "q_block", "v_block"]
     partial = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(
-        block, f"query_id {id_type}, vector_id string, vec_score double")
+        block, f"query_id {id_type}, vector_id string, vec_score double, most int")
     order = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), F.asc("vector_id"))
-    return partial.withColumn("vec_rank", F.row_number().over(order)).filter(F.col("vec_rank") <= k)
+    ranked = partial.withColumn("vec_rank", F.row_number().over(order))
+    return ranked.filter(F.col("vec_rank") <= (F.col("most") if isinstance(k, Column) else k)).drop("most")
 
 
 def write_vectors(vectors: DataFrame, path: str, buckets: int = NAMESPACE_BUCKETS) -> None:
@@ -104,7 +109,7 @@ def write_vectors(vectors: DataFrame, path: str, buckets: int = NAMESPACE_BUCKET
     vectors.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def nearest_stored(queries: DataFrame, path: str, k: int, filters: Mapping[str, str] | None = None, buckets: int = NAMESPACE_BUCKETS) -> DataFrame:
+def nearest_stored(queries: DataFrame, path: str, k: int | Column, filters: Mapping[str, str] | None = None, buckets: int = NAMESPACE_BUCKETS) -> DataFrame:
     """``nearest`` over a table of ``write_vectors``: the namespaces of the queries prune its partitions at run time."""
     bucket = F.pmod(F.xxhash64("namespace"), F.lit(buckets)).cast("int")
     asked = queries.select(bucket.alias("bucket")).where(F.col("bucket") >= 0).distinct()

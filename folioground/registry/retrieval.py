@@ -221,17 +221,42 @@ def vector_metadata_filter(spark, sf_dir):
     return knn.nearest(q, held, 20, {"wanted": "tag"})
 
 
-@query("hybrid_search", with_views("v_top", extra=_MERGED, body="""
+_HYBRID = with_views("v_top", extra=_MERGED, body="""
 select query_id, cast(rank as int) as rank, document_id, scheme_name || ' (v' || version_number || ')' as document_title, page_number, score, is_historical,
  case when in_keyword and in_vector then 'Hybrid Match: Exact keyword match + Semantic similarity (' || printf('%.2f', vec_score) || ')' when in_keyword
   then 'Keyword Match: Exact term/phrase match in document text' else 'Semantic Match: High vector similarity (' || printf('%.2f', vec_score) || ')' end as retrieval_reason,
  case when length(t) > 400 then substr(t, 1, 400) || '...' else t end as excerpt
-from (select *, case when in_keyword then chunk_text else case when length(chunk_text) > 950 then substr(chunk_text, 1, 950) || '...' else chunk_text end end as t from gated where rank <= 5)"""))
+from (select *, case when in_keyword then chunk_text else case when length(chunk_text) > 950 then substr(chunk_text, 1, 950) || '...' else chunk_text end end as t from gated where rank <= 5)""")
+
+
+@query("hybrid_search", _HYBRID)
 def hybrid_search(spark, sf_dir):
     return _passage_hybrid(spark, sf_dir).select(
         "query_id", "rank", "document_id", "document_title", "page_number", "score", "is_historical", "retrieval_reason", "excerpt")
 
 
+def _own_options(sql: str) -> str:
+    """The same search where each question has its own limit, history by either name, and inactive text where it says so."""
+    for old, new in (("item_id % 8 = 1 as include_historical", "item_id % 8 in (1, 5) as include_historical, item_id % 3 <> 0 as active_only"),
+                     ("from v_kw_ranked where kw_rank <= 15", "from v_kw_ranked where kw_rank <= 3 * (1 + query_id % 7)"), ("from vecs where vec_rank <= 15", "from vecs where vec_rank <= 3 * (1 + query_id % 7)"),
+                     ("(q.include_historical or c.active) group by all", "(q.include_historical or not q.active_only or c.active) group by all"),
+                     ("query_id % 8 <> 1)", "query_id % 8 not in (1, 5) and query_id % 3 <> 0)"), ("from gated where rank <= 5", "from gated where rank <= 1 + query_id % 7")):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("hybrid_search_options", _own_options(_HYBRID))
+def hybrid_search_options(spark, sf_dir):
+    """Requests with options of their own: limit, archived text under either name, inactive text, and the scheme by its long name."""
+    from folioground.plans.answer import hybrid_search
+    c, i = passage_corpus(spark, sf_dir), F.col("query_id")
+    own = V.bench_queries(spark, sf_dir).withColumns({
+        "limit": (1 + i % 7).cast("int"), "include_archived": i % 8 == 5, "active_only": i % 3 != 0, "scheme_name": F.col("scheme"), "scheme": F.lit("")})
+    found = hybrid_search(own, c.payload, c.index, passage_vectors(spark, sf_dir), VX.hashing_embedder())
+    return found.select("query_id", "rank", "document_id", "document_title", "page_number", "score", "is_historical", "retrieval_reason", "excerpt")
+
+
 @query("candidate_merge", with_views("v_top", extra=_MERGED, body="""
 select query_id, vector_id, round(kw_score, 9) as kw_score, vec_score, in_keyword, in_vector from merged"""))
 def candidate_merge(spark, sf_dir):

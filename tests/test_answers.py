@@ -106,6 +106,17 @@ def test_citation_reasons(spark):
     assert got == {(r[0], r[1]): r[7] for r in rows}
 
 
+def test_archived_text_needs_the_right_under_either_name(spark):
+    rooms = spark.createDataFrame([("open", False, True, 9)], "collection_id string, is_private boolean, is_active boolean, owner_user_id int")
+    people = spark.createDataFrame([(1, "viewer"), (2, "super_admin")], "user_id int, role string")
+    asks = [(0, 1, None, True), (1, 1, True, None), (2, 1, None, None), (3, 1, False, False)]
+    r = spark.createDataFrame([(q, "boat fees", "open", u, h, a) for q, u, h, a in asks], "query_id int, query string, collection_id string, user_id int, include_historical boolean, include_archived boolean")
+    got = {x.query_id: x.reject_reason for x in PA.judge_requests(r, rooms, people).collect()}
+    assert got[0] == got[1] is not None and got[2] is None and got[3] is None
+    o = {x.query_id: (x.include_historical, x.limit, x.active_only) for x in PA.request_options(r.withColumn("scheme", F.lit("")).withColumn("limit", F.col("query_id"))).collect()}
+    assert o == {0: (True, C.DEFAULT_LIMIT, True), 1: (True, 1, True), 2: (False, 2, True), 3: (False, 3, True)}
+
+
 def test_gated_upsert(spark):
     """A batch with one bad vector is kept out whole; others are embedded where they lack a vector and win over what is there."""
     rows = [("a", 1, "v:1", 1, 0, "reed boats", None, None, None, None), ("a", 2, "v:1", 1, 0, "reed rafts", None, None, None, None), ("a", 1, None, 2, 1, None, [0.5] * 8, None, None, "own"),
