@@ -16,8 +16,9 @@ this is exact.
 
 Equal sets become one class first. In a group of sets with an equal subset, each round tries only the pairs with
 one leader and joins what it confirms; pairs that are already linked through others need no test, so thousands of
-near copies cost about as many tests as there are sets. What then remains across different components is tested
-exactly, pair by pair. Nothing is capped or sampled.
+near copies cost about as many tests as there are sets. What then remains across different components meets by its
+subsets; pairs that parity sketches of their elements already prove too different are not formed, the others are
+tested exactly. Nothing is capped or sampled.
 
 Shingles, and classes of equal sets, are identified by 64-bit hashes.
 
@@ -43,6 +44,8 @@ SHARE, SHARE_SMALL, SMALL = 0.30, 0.50, 192
 INDEX, INDEX_LESS, PROBE, PROBE_ONE, PROBE_LESS = 1, 2, 4, 8, 16
 #: While more pairs than this for each set are left to test, leaders join components first, for some rounds.
 PAIRS_A_SET, ROUNDS = 50, 3
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
@@ -139,14 +142,23 @@ def _shared_elements(sets: DataFrame) -> DataFrame:
     return kept.where(4 * (F.col("n") - F.size("elements")) <= F.col("n"))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each cell of the hashes: whether the number of elements there is odd.
+
+    Equal elements cancel out, so two sketches differ in at most as many bits as the sets have elements apart.
+    """
+    odd = np.bincount(((s >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _stored(sets: DataFrame) -> DataFrame:
-    """Elements sorted, as little-endian 64-bit words."""
+    """Elements sorted, as little-endian 64-bit words, and their parity sketch."""
     def run(batches):
         for batch in batches:
-            out = [np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["set_id", "n", "elements"])
+            own = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_sketch(x) for x in own], pa.list_(pa.int64()))], ["set_id", "n", "elements", "sketch"])
 
-    return sets.select("set_id", "n", "elements").mapInArrow(run, "set_id bigint, n int, elements binary")
+    return sets.select("set_id", "n", "elements").mapInArrow(run, "set_id bigint, n int, elements binary, sketch array<bigint>")
 
 
 # -- segments ---------------------------------------------------------------------------------------------------
@@ -310,6 +322,12 @@ def _fits(n: str, m: str, alone: str, other: str):
     return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n)) & (7 * differ <= F.col(n) + F.col(m))
 
 
+def _near(n: str, m: str, alone: str, other: str, sketch: str, held: str):
+    """Whether the bits in which the sketches differ, and the elements that each has alone, leave that room."""
+    bits = sum((F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(held)[i])) for i in range(SKETCH)), F.lit(0))
+    return 7 * (F.col(alone) + F.col(other) + bits) <= F.col(n) + F.col(m)
+
+
 def _has(flags: str, bits: int):
     return F.col(flags).bitwiseAND(F.lit(bits)) != 0
 
@@ -330,14 +348,14 @@ def links(sets: DataFrame) -> DataFrame:
         if not left:
             break
         leading = turn < ROUNDS and left > PAIRS_A_SET * n_sets
-        pairs = _led(open_, of_group, turn) if leading else _all_left(open_, of_group)
+        pairs = _led(open_, of_group, turn) if leading else _all_left(open_, of_group, sets)
         new = staged(_confirmed(pairs.distinct(), sets), "confirmed")
         found = new if found is None else found.union(new)
         if not leading:
             break
         if new.isEmpty():
             # No leader links to anything across components: what is left is for the exact tests.
-            found = found.union(staged(_confirmed(_all_left(open_, of_group).distinct(), sets), "confirmed_rest"))
+            found = found.union(staged(_confirmed(_all_left(open_, of_group, sets).distinct(), sets), "confirmed_rest"))
             break
         turn += 1
         of = components(found).withColumnRenamed("node", "set_id")
@@ -355,13 +373,15 @@ def _led(open_: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     return tried.where(_fits("n", "ln", "alone", "la")).select(*_pair("set_id", "leader"))
 
 
-def _all_left(open_: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs across components that some group allows: sets outside its largest component, against the whole group."""
-    inside = open_.join(groups.select("sig", "largest"), "sig")
-    outside = inside.where("component != largest").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("flags").alias("fa"), F.col("component").alias("ca"))
-    whole = inside.select("sig", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("flags").alias("fb"), F.col("component").alias("cb"))
+def _all_left(open_: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs across components that some group and the sketches allow: sets outside its largest component, against
+    the whole group."""
+    sketched = open_.join(sets.select("set_id", "sketch"), "set_id")
+    inside = sketched.join(groups.select("sig", "largest"), "sig")
+    outside = inside.where("component != largest").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), F.col("flags").alias("fa"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+    whole = inside.select("sig", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), F.col("flags").alias("fb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
     meets = lambda p, i: (_has(p, PROBE | PROBE_LESS) & _has(i, INDEX)) | (_has(p, PROBE_ONE) & _has(i, INDEX_LESS))
-    return outside.join(whole, "sig").where((F.col("ca") != F.col("cb")) & _fits("na", "nb", "ua", "ub") & (meets("fa", "fb") | meets("fb", "fa"))).select(*_pair("a", "b"))
+    return outside.join(whole, "sig").where((F.col("ca") != F.col("cb")) & _fits("na", "nb", "ua", "ub") & _near("na", "nb", "ua", "ub", "sa", "sb") & (meets("fa", "fb") | meets("fb", "fa"))).select(*_pair("a", "b"))
 
 
 def _judged(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:

@@ -173,6 +173,44 @@ def test_every_pair_shares_a_signature():
             assert met, (n, both, own, other)
 
 
+def test_sketches_never_prove_too_much():
+    r = np.random.default_rng(7)
+    refused = 0
+    for n in (1, 3, 20, 90, 300, 1500):
+        for share in (0.3, 0.6, 0.86, 0.95):
+            x = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            both = int(share * n)
+            a, b = x[:n], np.concatenate([x[:both], x[n: 2 * n - both]])
+            bits = int(np.bitwise_count((jaccard._sketch(a) ^ jaccard._sketch(b)).view(np.uint64)).sum())
+            assert bits <= 2 * (n - both)
+            refused += 7 * bits > 2 * n and n == 300
+    assert refused == 2 and not jaccard._sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_family_of_texts_that_are_near_but_not_near_enough(spark):
+    """Texts around one text, each with a share of its words changed: some pairs reach the limit, most do not."""
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(240)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        at = int(r.integers(0, 60))
+        words[at: at + 5 + i % 30] = [f"v{i}x{j}" for j in range(5 + i % 30)]
+        if i % 3:
+            words[150 + i: 170 + i] = [f"u{i % 5}x{j}" for j in range(20)]
+        texts.append(" ".join(words))
+    shingles = [{tuple(t.split()[j: j + 5]) for j in range(236)} for t in texts]
+    of = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b]) and of[a] != of[b]:
+                low, high = sorted((of[a], of[b]))
+                of = [low if x == high else x for x in of]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(of))
+    assert 1 < len(set(of)) < 40
+
+
 # -- licenses -----------------------------------------------------------------------------------------------------
 
 def test_license_scan_of_odd_documents(docs, rows, no_docs):
