@@ -82,20 +82,33 @@ def validate_citations(citations: DataFrame, requests: DataFrame, documents: Dat
                 reason.isNull().alias("is_valid"), reason.alias("error_reason")))
 
 
+def _rejection() -> Column:
+    return F.format_string("Citation #%d (%s, Page %d) rejected: %s", F.col("citation_index") + 1,
+                           "document_title", "page_number", "error_reason")
+
+
 def validation_report(checked: DataFrame) -> DataFrame:
     """Totals and messages per query. A query has a handful of citations, so they are collected."""
-    message = F.format_string("Citation #%d (%s, Page %d) rejected: %s", F.col("citation_index") + 1,
-                              "document_title", "page_number", "error_reason")
     bad = ~F.col("is_valid")
     return (
         checked.groupBy("query_id")
         .agg(F.count("*").alias("total_citations"), F.count_if("is_valid").alias("valid_citations"),
              F.count_if(bad).alias("invalid_citations"),
-             F.array_sort(F.collect_list(F.when(bad, F.struct("citation_index", message.alias("m"))))).alias("ws"))
+             F.array_sort(F.collect_list(F.when(bad, F.struct("citation_index", _rejection().alias("m"))))).alias("ws"))
         .select("query_id", "total_citations", "valid_citations", "invalid_citations",
                 F.array_join(F.col("ws.m"), "\n").alias("warnings")))
 
 
+def validation_details(checked: DataFrame) -> DataFrame:
+    """Per query every citation's check in its order (``details``) and the messages of the rejected ones."""
+    item = F.struct("citation_index", "document_id", "document_title", "page_number", "is_valid", "error_reason")
+    return (
+        checked.groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(item)).alias("details"),
+             F.array_sort(F.collect_list(F.when(~F.col("is_valid"), F.struct("citation_index", _rejection().alias("m"))))).alias("ws"))
+        .select("query_id", F.col("ws.m").alias("messages"), "details"))
+
+
 def reconcile(answers: DataFrame, citations: DataFrame, checked: DataFrame) -> DataFrame:
     """Final answer per query after its citations were checked.
 

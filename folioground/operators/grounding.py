@@ -62,6 +62,12 @@ def extractive_answers(passages: DataFrame) -> DataFrame:
     return passages.groupBy("query_id").agg(F.min_by(_template(), "rank").alias("answer"))
 
 
+def strict_answers(queries: DataFrame, supported: DataFrame) -> DataFrame:
+    """Answers written anew from supported passages alone; a refusal for a query that has none left."""
+    return queries.select("query_id").join(extractive_answers(supported), "query_id", "left").select(
+        "query_id", F.coalesce("answer", F.lit(C.NO_ANSWER_NO_PASSAGE)).alias("answer"), F.col("answer").isNull().alias("is_refusal"))
+
+
 def draft_answers(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """Answer or refusal per query, before claims are checked.
 

@@ -92,7 +92,10 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
 def answer(requests: DataFrame, collections: DataFrame, users: DataFrame, documents: DataFrame, versions: DataFrame,
            pages: DataFrame, payload: DataFrame, index: SearchIndex, vectors: DataFrame,
            embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT) -> dict[str, DataFrame]:
-    """Answers, citations and checks for a table of requests, in one job."""
+    """Answers, citations and checks for a table of requests, in one job.
+
+    ``requests`` given, cited and final are what ``answer_log.run_facts`` takes for the log of the run.
+    """
     understood = U.understand(requests).withColumn(
         "state_or_district", U.fill_location(F.col("state_or_district"), F.col("understood_location")))
     judged = stage_table(judge_requests(understood, collections, users), "judged_requests")
@@ -115,4 +118,4 @@ def answer(requests: DataFrame, collections: DataFrame, users: DataFrame, docume
                 "total_citations", "valid_citations", "invalid_citations", "follow_up_question", "is_safe_to_answer"))
     valid = to_check.join(checked.filter("is_valid").select("query_id", (F.col("citation_index") + 1).alias("rank")),
                           ["query_id", "rank"], "left_semi")
-    return {"answers": out, "citations": valid, "checked": checked}
+    return {"answers": out, "citations": valid, "checked": checked, "requests": run, "given": given, "cited": to_check, "final": final}

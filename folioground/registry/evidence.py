@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from folioground import constants as C
 from folioground.functions import access as A
 from folioground.operators import citations as CI, fusion, grounding as G, keyword as KW, reports as R
+from folioground.plans import answer_log as L
 from folioground.registry.base import query
 from folioground.registry.retrieval import keyword_hits, passage_payload, staged
 from folioground.registry.sql_views import WS, strip, with_views
 from folioground.sources import views as V
-from folioground.staging import stage_table
+from folioground.staging import stage_path, stage_table
 
 
 def shown_passages(spark, sf_dir):
@@ -115,6 +116,13 @@ def strict_rewrites(spark, sf_dir):
     return G.extractive_answers(shown_passages(spark, sf_dir).filter("rank > 1"))
 
 
+@query("strict_rewrites_or_refusals", with_views("v_top", "v_bench", extra=SHOWN, body=f"""
+select b.query_id, coalesce({TEMPLATE}, '{C.NO_ANSWER_NO_PASSAGE}') as answer, s.query_id is null as is_refusal from v_bench b left join shown s on s.query_id = b.query_id and s.rank = 3"""))
+def strict_rewrites_or_refusals(spark, sf_dir):
+    """Every question answered anew from its third passage on; without one, a refusal."""
+    return G.strict_answers(V.bench_queries(spark, sf_dir), shown_passages(spark, sf_dir).filter("rank > 2"))
+
+
 def _talk(spark, sf_dir):
     """Assistant turns as answers, with and without a source marker, about the passages of a question."""
     c = V.read_texts(spark, sf_dir, "conversations", "conv_id").filter("role = 'assistant'")
@@ -274,8 +282,81 @@ select query_id, case when valid_citations = 0 then '{C.NO_ANSWER_BAD_CITATIONS}
  when redone then case when invalid_citations > 0 then 'Notice: ' || invalid_citations || ' unverified citation(s) were removed. The answer has been regenerated strictly from verified official sources.' end
  else '{C.WARN_UNVERIFIED}' end as verification_warning, valid_citations = 0 or not sound as has_unsupported_claims, total_citations, valid_citations, invalid_citations from fin"""))
 def answer_reconciliation(spark, sf_dir):
-    shown = shown_passages(spark, sf_dir)
+    check = stage_table(checked(spark, sf_dir), "checked")
+    return CI.reconcile(_first_answers(spark, sf_dir), cited(spark, sf_dir), check)
+
+
+def _first_answers(spark, sf_dir):
+    """Answers from the first passage, every other one with a statement that no passage has."""
     extra = F.when(F.col("query_id") % 2 == 0, F.concat("answer", F.lit(" Zebras gallop over quartz hills daily."))).otherwise(F.col("answer"))
-    given = G.extractive_answers(shown.filter("rank = 1")).withColumn("answer", extra)
+    return G.extractive_answers(shown_passages(spark, sf_dir).filter("rank = 1")).withColumn("answer", extra)
+
+
+# ---- the log of a run -------------------------------------------------------------------
+
+_LOG = {
+    **_RECON,
+    "done": f"""select query_id, total_citations, valid_citations, invalid_citations, valid_citations = 0 or not sound as unsupported,
+      case when valid_citations = 0 then '{C.NO_ANSWER_BAD_CITATIONS}' when sound then answer when redone then rewritten else answer end as answer, valid_citations > 0 and (sound or redone) as ok,
+      case when valid_citations = 0 then '{C.WARN_NO_CITATION}' when sound then null when redone then case when invalid_citations > 0 then 'Notice: ' || invalid_citations
+       || ' unverified citation(s) were removed. The answer has been regenerated strictly from verified official sources.' end else '{C.WARN_UNVERIFIED}' end as warning from fin""",
+    "logged": f"""select 'first:' || b.query_id as qa_id, b.query_id, case when b.query_id % 5 > 0 then 'visitor-' || b.query_id % 17 end as session_token, b.query_id % 3 as asked_at, b.collection_id,
+      b.query as question, coalesce(d.answer, '{C.NO_ANSWER_PLAIN}') as answer, d.query_id is null as is_refusal, coalesce(ok, true) as grounding_verified, warning as verification_warning
+      from v_bench b left join done d using (query_id)""",
+    "finals": "select query_id as akey, query_id, answer from done where valid_citations > 0",
+    **{k: v for k, v in claims_sql("finals", "supported", "f").items()},
+}
+
+
+def _written_run(spark, sf_dir, table):
+    """Write the log of a run over every question, twice as after a lost driver, and read a table of it."""
+    i = F.col("query_id")
+    asked = V.bench_queries(spark, sf_dir).select(
+        "query_id", "query", "collection_id", F.when(i % 5 > 0, F.concat(F.lit("visitor-"), (i % 17).cast("string"))).alias("session_token"), (i % 3).alias("asked_at"))
+    first = stage_table(_first_answers(spark, sf_dir), "first_answers")
+    plain = F.col("answer").isNull()
+    given = asked.select("query_id").join(first, "query_id", "left").select(
+        "query_id", F.coalesce("answer", F.lit(C.NO_ANSWER_PLAIN)).alias("answer"), plain.alias("is_refusal"), F.lit(True).alias("grounding_verified"))
+    shown = shown_passages(spark, sf_dir).select("query_id", "rank", "score")
+    marks = stage_table(cited(spark, sf_dir).join(shown, ["query_id", "rank"]), "marks")
     check = stage_table(checked(spark, sf_dir), "checked")
-    return CI.reconcile(given, cited(spark, sf_dir), check)
+    final = stage_table(CI.reconcile(first, marks, check), "final")
+    facts = L.run_facts(asked, given, marks, check, final, "first")
+    root, docs = stage_path(spark, "answer_log"), V.documents(spark, sf_dir)
+    for _ in range(2):
+        L.write_run(facts, docs, root, "first")
+    return L.read_log(spark, root, table).drop("run_id")
+
+
+@query("answer_log_answers", with_views(*_CITED_VIEWS, extra=_LOG, body="select * exclude (query_id) from logged"))
+def answer_log_answers(spark, sf_dir):
+    return _written_run(spark, sf_dir, "answers")
+
+
+@query("answer_log_sessions", with_views(*_CITED_VIEWS, extra=_LOG, body="""
+select session_token, arg_min(collection_id, (asked_at, query_id)) as collection_id, min(asked_at) as created_at from logged where session_token is not null group by 1"""))
+def answer_log_sessions(spark, sf_dir):
+    return _written_run(spark, sf_dir, "sessions")
+
+
+@query("answer_log_citations", with_views(*_CITED_VIEWS, extra=_LOG, body="""
+select 'first:' || c.query_id as qa_id, c.rank, c.document_id, c.page_number, c.document_title, c.excerpt, s.score as confidence_score
+from supported c join shown s using (query_id, rank) where c.document_id in (select document_id from v_documents)"""))
+def answer_log_citations(spark, sf_dir):
+    return _written_run(spark, sf_dir, "citations")
+
+
+@query("answer_log_claims", with_views(*_CITED_VIEWS, extra=_LOG, body="""
+select 'first:' || query_id as qa_id, cast(claim_idx as int) as claim_idx, statement, document_title, page_number, verified, overlap from fclaims"""))
+def answer_log_claims(spark, sf_dir):
+    return _written_run(spark, sf_dir, "claims")
+
+
+@query("answer_log_reports", with_views(*_CITED_VIEWS, extra=_LOG, body="""
+select 'first:' || d.query_id as qa_id, d.total_citations, d.valid_citations, d.invalid_citations, unsupported as has_unsupported_claims,
+ concat_ws(chr(10), nullif(warnings, ''), warning) as warnings, details from done d join report using (query_id)
+ join (select query_id, string_agg(citation_index || ' ' || document_id || ' ' || page_number || ' ' || coalesce(error_reason, 'ok'), ';' order by citation_index) as details from checked group by 1) using (query_id)"""))
+def answer_log_reports(spark, sf_dir):
+    line = F.transform("details", lambda d: F.concat_ws(" ", d["citation_index"].cast("string"), d["document_id"].cast("string"), d["page_number"].cast("string"),
+                                                      F.coalesce(d["error_reason"], F.lit("ok"))))
+    return _written_run(spark, sf_dir, "reports").withColumns({"warnings": F.array_join("warnings", "\n"), "details": F.array_join(line, ";")})
