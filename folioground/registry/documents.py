@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioground import constants as C
 from folioground.functions import access as A, text as X, vectors as VX
 from folioground.operators import catalog as D, index as I, matching as M, reports as R
-from folioground.plans import answer as PA, ingest as P
+from folioground.plans import answer as PA, ingest as P, jobs as JB
 from folioground.registry.base import query
 from folioground.registry.retrieval import passage_payload, staged
 from folioground.registry.sql_views import VIEWS, fold, n_words, with_views
@@ -568,3 +568,73 @@ def reprocess_selected(spark, sf_dir):
     out = P.reprocess(docs.filter("document_id % 10 = 4"), readings, docs, V.versions(spark, sf_dir))
     done = out["summary"].join(out["versions"].select("version_id", "document_id", "status"), "version_id")
     return done.groupBy("status").agg(F.count("*").alias("n_documents"), F.sum("n_pages").alias("n_pages"))
+
+
+# ---- ingestion that may fail --------------------------------------------------------------
+
+_ERROR = """case outcome when 'unknown' then 'Document ' || document_id || ' or Version ' || version_id || ' not found in database.' when 'missing_file' then 'Document file missing in storage: ' || storage_key
+   when 'exhausted' then 'Document processing failed after 3 attempts: the reader timed out' when 'retry' then 'the reader timed out' when 'invalid_file' then reason end"""
+_RUN = {
+    "req": """select doc_id as document_id, doc_id || ':' || case when doc_id % 11 = 0 then '99' else cast(1 + doc_id % 3 as varchar) end as version_id, 'files/' || doc_id as storage_key,
+      cast(10 + doc_id % 2 as int) as job_seq, cast(case when doc_id % 11 = 4 then 3 else 1 end as int) as attempt, doc_id % 11 in (3, 4) as faulty, doc_id % 11 = 1 as no_file,
+      case when coalesce(text, '') = '' then 'File is empty (0 bytes).' when doc_id % 11 = 2 then 'Invalid PDF file: Missing ''%PDF-'' header signature.' end as reason from documents""",
+    "oc0": """select *, case when doc_missing then 'unknown' when no_file then 'missing_file' when faulty and attempt < 3 then 'retry' when faulty then 'exhausted' when reason is not null then 'invalid_file' else 'done' end as outcome
+      from (select *, document_id % 11 = 0 as doc_missing from req)""",
+    "oc": f"select *, {_ERROR} as error_message from oc0",
+    "cnt": "select version_id, count(*) as n from v_pages group by 1",
+    "heldjob": "select document_id, version_id, job_id, created_seq from v_jobs qualify row_number() over (partition by document_id, version_id order by created_seq desc) = 1",
+}
+_RUN_VIEWS = ("v_documents", "v_versions", "v_pages", "v_jobs")
+
+
+def _job_run(spark, sf_dir):
+    """Every document asked to be processed; some files are missing or unsound, some readers fail, some versions are unknown."""
+    d = F.col("doc_id")
+    src = V.read(spark, sf_dir, "documents")
+    key = F.concat(F.lit("files/"), d.cast("string")).alias("storage_key")
+    version = F.when(d % 11 == 0, "99").otherwise((1 + d % 3).cast("string"))
+    requests = src.select(
+        d.alias("document_id"), F.concat_ws(":", d.cast("string"), version).alias("version_id"), key, (10 + d % 2).cast("int").alias("job_seq"),
+        F.when(d % 11 == 4, 3).otherwise(1).alias("attempt"), F.when((d % 11).isin(3, 4), "the reader timed out").alias("read_error"))
+    body = F.when(d % 11 == 2, F.col("text")).otherwise(F.concat(F.when(F.col("text") == "", "").otherwise("%PDF-1.7 "), "text"))
+    files = src.filter("doc_id % 11 <> 1").select(key, header_reason(body.cast("binary")).alias("reason"))
+    readings = V.pages(spark, sf_dir).withColumnRenamed("raw_text", "native_text").withColumn("ocr_text", F.lit(None).cast("string"))
+    return JB.run_jobs(requests, V.documents(spark, sf_dir), V.versions(spark, sf_dir), V.jobs(spark, sf_dir), files, readings)
+
+
+@query("ingest_run_outcomes", with_views(*_RUN_VIEWS, extra=_RUN, body="""
+select document_id, version_id, outcome, error_message, attempt, case when outcome = 'retry' then 0.5e0 end as retry_after_seconds from oc"""))
+def ingest_run_outcomes(spark, sf_dir):
+    return _job_run(spark, sf_dir)["outcomes"].drop("storage_key", "job_seq")
+
+
+@query("ingest_run_jobs", with_views(*_RUN_VIEWS, extra=_RUN, body="""
+select coalesce(h.job_id, 'job-' || o.version_id || '-' || job_seq) as job_id, o.document_id, o.version_id, case outcome when 'done' then 'COMPLETED' when 'retry' then 'RUNNING' else 'FAILED' end as status,
+ case outcome when 'retry' then 45 else 100 end as progress_percent, coalesce(h.created_seq, job_seq) as created_seq, error_message, case when outcome = 'done' then coalesce(n, 0) end as total_pages
+from oc o left join heldjob h on h.document_id = o.document_id and h.version_id = o.version_id left join cnt c on c.version_id = o.version_id where outcome <> 'unknown' or h.job_id is not null"""))
+def ingest_run_jobs(spark, sf_dir):
+    j = _job_run(spark, sf_dir)["jobs"]
+    return j.withColumn("total_pages", F.get_json_object("summary_json", "$.total_pages").cast(BIG)).drop("summary_json")
+
+
+@query("ingest_run_versions", with_views(*_RUN_VIEWS, extra=_RUN, body="""
+select v.version_id, case when outcome is null or outcome = 'retry' then v.status when outcome = 'done' then 'ACTIVE' else 'FAILED' end as status,
+ case when outcome = 'done' then coalesce(n, 0) else v.total_pages end as total_pages, case when outcome <> 'retry' then error_message end as error_message
+from v_versions v left join oc o using (version_id) left join cnt c using (version_id)"""))
+def ingest_run_versions(spark, sf_dir):
+    return _job_run(spark, sf_dir)["versions"].select("version_id", "status", "total_pages", "error_message")
+
+
+@query("ingest_run_documents", with_views(*_RUN_VIEWS, extra=_RUN, body="""
+select d.document_id, d.collection_id, case outcome when 'retry' then d.status when 'done' then 'ACTIVE' else 'FAILED' end as status from v_documents d join oc using (document_id)"""))
+def ingest_run_documents(spark, sf_dir):
+    return _job_run(spark, sf_dir)["documents"].select("document_id", "collection_id", "status")
+
+
+@query("ingest_run_audit", with_views(*_RUN_VIEWS, extra=_RUN, body="""
+select case when outcome = 'done' then 'DOC_PROCESS_COMPLETED' else 'DOC_PROCESS_FAILED' end as action, 'documents' as entity_type, cast(document_id as varchar) as entity_id,
+ case when outcome <> 'done' then error_message end as error, case when outcome = 'done' then coalesce(n, 0) end as total_pages, case when outcome = 'done' then attempt end as execution_attempts
+from oc left join cnt using (version_id) where outcome in ('done', 'unknown', 'missing_file', 'exhausted')"""))
+def ingest_run_audit(spark, sf_dir):
+    part = lambda name, kind: F.get_json_object("details", f"$.{name}").cast(kind).alias(name)
+    return _job_run(spark, sf_dir)["audit"].select("action", "entity_type", "entity_id", part("error", "string"), part("total_pages", BIG), part("execution_attempts", "int"))
