@@ -8,6 +8,7 @@ from folioground.functions import text as X
 from folioground.operators import catalog as D, eligibility as EL, reports as R
 from folioground.registry.base import query
 from folioground.registry.sql_views import fold, with_views
+from folioground.registry.text import chunk_sql
 from folioground.sources import views as V
 
 
@@ -103,7 +104,7 @@ def sql_normalize_text(spark, sf_dir):
     return V.read_texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.sha2(F.call_function("normalize_text", F.col("text")), 256).alias("folded_hash"))
 
 
-@query("sql_chunk_function")
+@query("sql_chunk_function", chunk_sql("select version_id, page_number, idx_in_page, section_heading, t as chunk_text from chunk"))
 def sql_chunk_function(spark, sf_dir):
     from folioground.functions.register import register_all
     register_all(spark)

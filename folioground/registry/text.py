@@ -9,6 +9,7 @@ from folioground.functions import text as X
 from folioground.operators import chunking as K, ocr
 from folioground.plans import ingest as P
 from folioground.registry.base import query
+from folioground.registry.packing_sql import CHUNK_ID, chunk_rows, packed_sql
 from folioground.registry.retrieval import staged
 from folioground.registry.sql_views import NOT_WS, WS, fold, meaningful, n_words, strip, with_views, words
 from folioground.sources import views as V
@@ -184,17 +185,25 @@ def meaningful_pages(spark, sf_dir):
     return V.pages(spark, sf_dir).select("version_id", "page_number", X.is_meaningful(F.col("raw_text")).alias("is_meaningful"))
 
 
-@query("page_chunks")
+_PLAIN_LINES = {"page_line": "select version_id, page_number, line_no, line from v_lines"}
+
+
+def chunk_sql(body: str, size: int = C.CHUNK_MAX_WORDS, overlap: int = C.CHUNK_OVERLAP_WORDS, lines: str | None = None) -> str:
+    """``body`` over the chunks of all pages, or of the lines that a query gives."""
+    return packed_sql(body, {"page_line": lines} if lines else _PLAIN_LINES, size, overlap, HEADING_SQL, TABLE_SQL)
+
+
+@query("page_chunks", chunk_sql(chunk_rows()))
 def page_chunks(spark, sf_dir):
     return chunks(spark, sf_dir)
 
 
-@query("page_chunks_carried_headings")
+@query("page_chunks_carried_headings", chunk_sql(chunk_rows("carried"), lines=DRESSED_SQL))
 def page_chunks_carried_headings(spark, sf_dir):
     return K.chunk_documents(dressed_pages(spark, sf_dir), carry_headings=True)
 
 
-@query("oversize_pieces")
+@query("oversize_pieces", chunk_sql(chunk_rows(), size=60, overlap=10))
 def oversize_pieces(spark, sf_dir):
     """Small chunks, so that blocks are cut at sentences and word windows."""
     return K.chunk_documents(V.pages(spark, sf_dir), max_words=60, overlap=10)
@@ -279,13 +288,8 @@ def failed_pages_kept(spark, sf_dir):
     return done.filter("extraction_method = 'FAILED'").select("version_id", "page_number", "extraction_method", "requires_review", "review_reason")
 
 
-@query("chunk_offsets_and_numbers")
+@query("chunk_offsets_and_numbers", chunk_sql(f"select {CHUNK_ID}, version_id, page_number, chunk_index, cast(start as int) as start_char_offset, cast(stop as int) as end_char_offset from chunk", size=25, overlap=5))
 def chunk_offsets_and_numbers(spark, sf_dir):
-    """Chunks whose stored offset or number differs from the running one: none."""
-    from pyspark.sql import Window
-    c = chunks(spark, sf_dir)
-    on_page = Window.partitionBy("version_id", "page_number").orderBy("chunk_index")
-    start = F.coalesce(F.lag("end_char_offset").over(on_page) + 1, F.lit(0))
-    return (c.withColumn("expected_start", start)
-            .select("vector_id", (F.col("start_char_offset") == F.col("expected_start")).alias("start_ok"),
-                    (F.col("end_char_offset") - F.col("start_char_offset") == F.length("chunk_text")).alias("end_ok")))
+    """Offsets in the page and numbers in the version of many short chunks."""
+    return K.chunk_documents(V.pages(spark, sf_dir), max_words=25, overlap=5).select(
+        "vector_id", "version_id", "page_number", "chunk_index", "start_char_offset", "end_char_offset")

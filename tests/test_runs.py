@@ -1,5 +1,6 @@
 """Whole runs on small inputs: the log of an answer run and ingestion that fails for some versions."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from folioground import constants as C
 from folioground.operators import citations as CI, grounding as G
 from folioground.plans import answer_log as L, jobs as JB
 from folioground.staging import stage_path, stage_table
+from folioground.streaming import jobs as J
 
 ASKED = "query_id int, query string, collection_id string, session_token string, asked_at int"
 PASSAGE = "query_id int, rank int, document_id int, document_title string, version_id string, page_number int, section_heading string, excerpt string, score double"
@@ -155,3 +157,21 @@ def test_empty_ingestion(spark):
     out = ingestion(spark, [])
     assert out["jobs"].isEmpty() and out["audit"].isEmpty() and out["chunks"].isEmpty()
     assert {r.status for r in out["documents"].collect()} == {"PROCESSING", "ACTIVE"}
+
+
+# ---- duplicate drop in event time -------------------------------------------------------------
+
+def test_copies_in_a_stream_are_dropped_within_the_watermark(spark):
+    """Files out of order: a copy within a day is dropped, a late row too, and a hash whose state has gone counts as new."""
+    folder, out, state = (stage_path(spark, n) for n in ("arrivals", "copies", "copies_state"))
+    schema = "ts timestamp, upload_id int, file_hash string"
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    arrivals = [[(day(0), 1, "a"), (day(0.2), 2, "a")], [(day(10), 3, "b")], [(day(10), 4, "a"), (day(1), 5, "c")], [(day(10.5), 6, "b"), (day(9.5), 7, "d")],
+                [(day(13), 8, "e")], [(day(13), 9, "b")]]
+    seen = []
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = J.read_files(spark, folder, spark.createDataFrame([], schema).schema)
+        now = sorted(r.file_hash for r in J.run_to_table(J.first_copies(stream), out, state).collect())
+        seen.append("".join(now))
+    assert seen == ["a", "ab", "aab", "aabd", "aabde", "aabbde"]
