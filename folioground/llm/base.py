@@ -39,6 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be none of ``columns`` (case does not count)."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioground.llm.base import NOT_BLANK, Words, chunks, components, drop_staged, mixed, staged, texts_of, window_hashes
+from folioground.llm.base import NOT_BLANK, Words, chunks, components, drop_staged, mixed, staged, texts_of, unused, window_hashes
 
 #: Share of the universe that makes the first segment; small sets take half of it, as theirs varies more.
 SHARE, SHARE_SMALL, SMALL = 0.30, 0.50, 192
@@ -403,30 +403,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str
     return _judged(docs, k, key, text).select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("key")).alias("component_id"))
 
 
-def _with_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """All columns and ``_set``, null for the empty set."""
+def _with_sets(docs: DataFrame, k: int, text: str, name: str) -> DataFrame:
+    """All columns and the class of each text's set under ``name``, null for the empty set."""
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             sets = pa.array([_class_of(s) if len(s) else None for s in _sets(batch.column(at), k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sets], [*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, sets], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` of each component, of those with its smallest key, all columns; empty texts stay, repeated rows once."""
+    """One row of ``docs`` of each component, of those with its smallest key, all columns; empty texts stay, repeated rows once.
+
+    Columns of ``docs`` may have any names: the helper columns take names that are free.
+    """
+    kept_key, chosen_set, of_row, empty_text = unused(docs.columns, "_kept", "_chosen", "_set", "_empty")
     judged = staged(_judged(docs, k, key, text), "judged")
     own = F.col("key").eqNullSafe(F.col("_least"))
-    full = judged.where((F.col("n_shingles") > 0) & own).groupBy("_group").agg(F.first("key").alias("_kept"), F.min("set_id").alias("_chosen")).drop("_group")
-    empty = judged.where("n_shingles = 0").select(F.col("key").alias("_kept"), F.lit(None).cast("bigint").alias("_chosen"))
+    full = judged.where((F.col("n_shingles") > 0) & own).groupBy("_group").agg(F.first("key").alias(kept_key), F.min("set_id").alias(chosen_set)).drop("_group")
+    empty = judged.where("n_shingles = 0").select(F.col("key").alias(kept_key), F.lit(None).cast("bigint").alias(chosen_set))
     kept = staged(full.union(empty.distinct()), "kept")
     # The keys alone decide unless one stands in several rows; then the set chosen for the component decides too.
     several = judged.groupBy("key").count().where("count > 1").select("key")
-    out = docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    if several.join(kept, F.col("key").eqNullSafe(F.col("_kept")), "left_semi").isEmpty():
+    out = docs.join(kept, F.col(key).eqNullSafe(F.col(kept_key)), "left_semi")
+    if several.join(kept, F.col("key").eqNullSafe(F.col(kept_key)), "left_semi").isEmpty():
         return out
-    chosen = F.col(key).eqNullSafe(F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_chosen"))
-    rows = _with_sets(out, k, text).join(kept, chosen, "left_semi").withColumn("_empty", F.when(F.col("_set").isNull(), F.col(text)))
-    return rows.dropDuplicates([key, "_set", "_empty"]).select(*docs.columns)
+    chosen = F.col(key).eqNullSafe(F.col(kept_key)) & F.col(of_row).eqNullSafe(F.col(chosen_set))
+    rows = _with_sets(out, k, text, of_row).join(kept, chosen, "left_semi").withColumn(empty_text, F.when(F.col(of_row).isNull(), F.col(text)))
+    return rows.dropDuplicates([key, of_row, empty_text]).select(*docs.columns)

@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from folioground.llm.base import unused
 from folioground.staging import stage_table
 
 #: Multiplier of the generator in the published algorithm.
@@ -111,6 +112,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     return out.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id") -> None:
-    """Write the whole rows as Parquet, a folder for each shard. Rows go to files where they lie: nothing is shuffled."""
-    jump_shards(docs, key, shards).drop("grown_shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id") -> str:
+    """Write the whole rows as Parquet, a folder for each shard, and return the name of the folder column.
+
+    Rows go to files where they lie: nothing is shuffled. The folder column is ``shard``, or ``_shard`` where the rows
+    have a column of that name, which stays. Null keys share one shard; an empty table has no folders.
+    """
+    folder, = unused(docs.columns, "shard")
+    placed = _jumps(key_bits(key, dict(docs.dtypes)[key]), shards)
+    docs.withColumn(folder, placed["shard"].cast("int")).write.partitionBy(folder).parquet(path)
+    return folder
