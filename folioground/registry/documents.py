@@ -10,7 +10,7 @@ from folioground.operators import catalog as D, index as I, matching as M, repor
 from folioground.plans import answer as PA, ingest as P, jobs as JB
 from folioground.registry.base import query
 from folioground.registry.retrieval import passage_payload, staged
-from folioground.registry.sql_views import VIEWS, fold, n_words, with_views
+from folioground.registry.sql_views import VIEWS, fold, n_words, strip, with_views
 from folioground.sources import tables as S, views as V
 from folioground.sources.blobs import content_hash, header_reason
 from folioground.staging import stage_table
@@ -427,7 +427,17 @@ def page_previews(spark, sf_dir):
     return D.page_previews(asked, held).withColumn("word_count", F.col("word_count").cast(BIG))
 
 
-@query("processing_summary")
+@query("processing_summary", with_views("v_readings", "v_documents", "v_jobs", extra={
+    "m": f"select document_id, {n_words('native_text')} < 15 as scanned, {strip('native_text')} as n, {strip(f"case when {n_words('native_text')} < 15 then coalesce(ocr_text, '') else '' end")} as o from v_readings",
+    "how": f"""select document_id, scanned, case when o = '' or lower(n) = lower(o) then 'NATIVE' when n = '' then 'OCR' when contains(lower(o), lower(n)) and {n_words('o')} > {n_words('n')} then 'OCR'
+      when contains(lower(n), lower(o)) then 'NATIVE' else 'HYBRID' end as method from m""",
+    "p": "select document_id, count(*) as n, count(*) filter (where method = 'NATIVE') as n_native, count(*) filter (where method <> 'NATIVE') as n_ocr, count(*) filter (where scanned) as n_scanned from how group by document_id",
+    "j": "select * from v_jobs qualify row_number() over (partition by document_id order by created_seq desc) = 1"}, body="""
+select d.document_id, coalesce(j.job_id, 'job-direct') as job_id, coalesce(j.status, d.status) as status,
+ coalesce(j.progress_percent, case when d.status = 'ACTIVE' then 100 else 0 end) as progress_percent, coalesce(j.s_total_pages, greatest(p.n, 1), 1) as total_pages,
+ case when j.job_id is null then greatest(coalesce(p.n_native, 0), 1) else coalesce(p.n_native, 0) end as native_text_pages, coalesce(j.s_ocr_pages, p.n_ocr, 0) as ocr_pages,
+ 0::bigint as failed_pages, 0::bigint as low_confidence_pages, coalesce(p.n_scanned, 0) as scanned_pages
+from v_documents d left join p using (document_id) left join j on j.document_id = d.document_id"""))
 def processing_summary(spark, sf_dir):
     pages = P.process_pages(V.page_readings(spark, sf_dir))
     return D.processing_summary(V.documents(spark, sf_dir), V.jobs(spark, sf_dir), pages)

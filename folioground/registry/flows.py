@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioground import constants as C
 from folioground.functions import text as X, vectors as VX
 from folioground.operators import index as I, search_index as SI
 from folioground.plans import answer as PA
 from folioground.registry.base import query
+from folioground.registry.packing_sql import CHUNK_ID
 from folioground.registry.retrieval import staged
 from folioground.registry.sql_views import with_views
-from folioground.registry.text import chunks
+from folioground.registry.text import chunk_sql, chunks
 from folioground.sources import views as V
 from folioground.staging import stage_path, stage_table
 from folioground.streaming import jobs as J
@@ -101,7 +103,7 @@ def first_content_copies_stream(spark, sf_dir):
     return out.select("file_hash")
 
 
-@query("ingest_stream")
+@query("ingest_stream", chunk_sql(f"select {CHUNK_ID}, chunk_index, sha256(t) as text_hash, {C.EMBEDDING_DIM} as n_values from chunk"))
 def ingest_stream(spark, sf_dir):
     """Pages arriving as a stream end in the same chunks as the batch job, with vectors."""
     d = J.read_files(spark, sf_dir, V.read(spark, sf_dir, "documents").schema, "documents.parquet")
