@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -14,35 +15,52 @@ from folioground import constants as C
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 
 
-def _token_bytes(token: str) -> np.ndarray:
+@functools.lru_cache(maxsize=1 << 16)
+def _token_bytes(token: str) -> bytes:
     """First eight digest bytes of a token."""
-    return np.frombuffer(hashlib.sha256(token.encode("utf-8")).digest()[:8], dtype=np.uint8)
+    return hashlib.sha256(token.encode("utf-8")).digest()[:8]
 
 
-def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
-    """Feature-hash a batch of texts: every distinct token is digested once per batch,
-    the rest is one weighted bincount over (row, slot)."""
-    tokenised = [(t or "").strip().lower().split() for t in texts]
+#: Characters of text that are hashed together; the arrays of a stripe are some 40 times its size.
+STRIPE_CHARS = 1 << 19
+
+
+def _hash_stripe(texts: list[str], dim: int) -> np.ndarray:
+    """Feature-hash some texts: a token is digested once while it is remembered, the rest is one weighted bincount over (row, slot)."""
+    tokenised = [t.strip().lower().split() for t in texts]
     lengths = np.array([len(t) for t in tokenised])
-    out = np.zeros((len(tokenised), dim))
     flat = [tok for toks in tokenised for tok in toks]
-    if flat:
-        codes, uniques = pd.factorize(np.array(flat, dtype=object))
-        digest = np.stack([_token_bytes(u) for u in uniques]).astype(np.int64)[codes]
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        slot = (digest * 31 + (place * 7)[:, None]) % dim
-        weight = ((digest >> 4) - 7.5) / 10.0
-        row = np.repeat(np.arange(len(tokenised)), lengths)
-        key = (row[:, None] * dim + slot).ravel()
-        out = np.bincount(key, weights=weight.ravel(),
-                          minlength=len(tokenised) * dim).reshape(len(tokenised), dim)
-        norm = np.sqrt((out * out).sum(axis=1))
-        unit = norm > 0
-        out[unit] = np.round(out[unit] / norm[unit][:, None], 6)
-        out[~unit & np.array([bool((t or "").strip()) for t in texts]), 0] = 1.0
+    if not flat:
+        return np.zeros((len(texts), dim), np.float32)
+    codes, uniques = pd.factorize(np.array(flat, dtype=object))
+    digest = np.frombuffer(b"".join(map(_token_bytes, uniques)), np.uint8).reshape(-1, 8).astype(np.int64)[codes]
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    slot = (digest * 31 + (place * 7)[:, None]) % dim
+    weight = ((digest >> 4) - 7.5) / 10.0
+    row = np.repeat(np.arange(len(tokenised)), lengths)
+    key = (row[:, None] * dim + slot).ravel()
+    out = np.bincount(key, weights=weight.ravel(), minlength=len(tokenised) * dim).reshape(len(tokenised), dim)
+    norm = np.sqrt((out * out).sum(axis=1))
+    unit = norm > 0
+    out[unit] = np.round(out[unit] / norm[unit][:, None], 6)
+    out[~unit & np.array([bool(t.strip()) for t in texts]), 0] = 1.0
     return out.astype(np.float32)
 
 
+def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
+    """Feature-hash a batch in stripes of whole texts, so memory follows a stripe, not the batch."""
+    texts = [t or "" for t in texts]
+    out = np.zeros((len(texts), dim), np.float32)
+    start = chars = 0
+    for end, t in enumerate(texts, 1):
+        chars += len(t)
+        # Rows of a stripe take ``dim`` doubles each however short they are.
+        if chars >= STRIPE_CHARS or end - start == 256 or end == len(texts):
+            out[start:end] = _hash_stripe(texts[start:end], dim)
+            start, chars = end, 0
+    return out
+
+
 def hashing_embedder(dim: int = C.EMBEDDING_DIM) -> Callable[[Column], Column]:
     """Default embedder: text column to unit vector column, no shuffle."""
 

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_feature_hash_matches_definition(spark):
         assert np.allclose(v, brute_vector(t or "", 128), atol=1e-6) and len(v) == 128
 
 
+def test_feature_hash_memory_follows_a_stripe():
+    """Whole batches of long texts, hashed in stripes: the same rows, in little more than the result takes."""
+    import tracemalloc
+    rnd = random.Random(2)
+    texts = pd.Series([" ".join(f"w{rnd.randrange(5000)}" for _ in range(400)) for _ in range(1500)] + [None, "", " "])
+    tracemalloc.start()
+    got = VX._hash_batch(texts, 1536)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * got.nbytes  # 16 times and more when the batch was hashed at once
+    for i in (0, 777, 1499, 1501, 1502):
+        assert np.allclose(got[i], brute_vector(texts[i] or "", 1536), atol=1e-6)
+
+
 def test_cosine_edges(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [-1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([], [], 0.0), (None, [1.0], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, want double")
