@@ -19,6 +19,13 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: st
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
+def read_table(spark: SparkSession, folder: str, schema: StructType, table: str, files_per_batch: int = 1000) -> DataFrame:
+    """The files of one table as a stream, whether the table is one file or a folder of files."""
+    # A stream takes a single file only by a pattern.
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .parquet(f"{folder}/{table}.parque[t]"))
+
+
 def ingest_stream(pages: DataFrame, chunk_path: str, vector_path: str, checkpoint: str,
                   embedder: Callable[[Column], Column], page_path: str | None = None) -> StreamingQuery:
     """Pages arriving in files become chunks and vectors.
