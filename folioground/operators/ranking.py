@@ -10,6 +10,11 @@ from folioground.operators.search_index import ACTIVE, HISTORICAL, KEY, SearchIn
 from folioground.staging import stage_table
 
 
+#: Parts in which the postings of one split are scored, and the share of blocks that are scored first.
+PARTS_PER_SPLIT = 4
+FLOOR_BLOCKS = 16
+
+
 def bm25(queries: DataFrame, index: SearchIndex, k: int, k1: float = 1.2, b: float = 0.75, within: bool = False) -> DataFrame:
     """Top ``k`` chunks per query by BM25 over normalised words, from the stored counts.
 
@@ -28,15 +33,30 @@ def bm25(queries: DataFrame, index: SearchIndex, k: int, k1: float = 1.2, b: flo
     weighted = (
         known.select("query_id", "collection_id", "history", "word", sums("df").alias("df"), sums("docs").alias("n_docs"), sums("words").alias("n_words"))
         .where("df > 0").withColumn("idf", F.log(F.lit(1.0) + (n - d + F.lit(0.5)) / (d + F.lit(0.5)))).withColumn("avgdl", F.col("n_words") / n))
+    weighted = stage_table(weighted if within else weighted.drop("collection_id"), "bm25_weights")
+    keys = ["collection_id", "word"] if within else ["word"]
     postings = (index.within("postings", asked) if within else index.table("postings")).select(*KEY, "word", "entries")
-    met = postings.join(weighted if within else weighted.drop("collection_id"), ["collection_id", "word"] if within else "word")
-    told = met.select("query_id", *KEY, "history", "idf", "avgdl", F.inline("entries")).where("tf > 0")
-    if within:
-        told = told.where((F.col("state") == ACTIVE) | F.col("history") & (F.col("state") == HISTORICAL))
+    postings = postings.join(weighted.select(*keys).distinct(), keys, "left_semi")
+    live = index.live_chunks().groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("at", "vector_id"))).alias("live"))  # some tens of chunks
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
-    scored = told.groupBy("query_id", *KEY, "at").agg(F.round(F.sum(part), 6).alias("bm25"))
-    return top_k(scored.join(index.live_chunks().select(*KEY, "at", "vector_id"), [*KEY, "at"]).select("query_id", "vector_id", "bm25"), "bm25", k)
+    spread = PARTS_PER_SPLIT * postings.rdd.getNumPartitions()
+
+    def scored(held: DataFrame) -> DataFrame:
+        """Every chunk with a word of a query. Blocks are brought together as they are stored; a query's row for
+        each chunk is made and summed there, and never shuffled."""
+        told = held.repartition(spread, *KEY).join(weighted, keys).select("query_id", *KEY, "history", "idf", "avgdl", F.inline("entries")).where("tf > 0")
+        if within:
+            told = told.where((F.col("state") == ACTIVE) | F.col("history") & (F.col("state") == HISTORICAL))
+        sums = told.groupBy("query_id", *KEY, "at").agg(F.round(F.sum(part), 6).alias("bm25"))
+        return (sums.join(live.hint("shuffle_hash"), KEY).select("query_id", F.try_element_at("live", F.col("at")).alias("vector_id"), "bm25")
+                .where("vector_id IS NOT NULL"))
+
+    # The k-th best score among some blocks is a floor for all: what is below it need not be sorted. Sums may differ in their last digit.
+    some = F.pmod(F.xxhash64(*KEY), F.lit(FLOOR_BLOCKS)) == 0
+    floors = stage_table(top_k(scored(postings.where(some)), "bm25", k).where(F.col("rank") == k).select("query_id", (F.col("bm25") - 2e-6).alias("floor")), "bm25_floors")
+    reach = scored(postings).join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bm25") >= F.col("floor")))
+    return top_k(reach.drop("floor"), "bm25", k)
 
 
 def reciprocal_rank_fusion(left: DataFrame, right: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -288,6 +288,15 @@ def test_bm25_brute_force(spark, stored):
         assert [(v, pytest.approx(s, abs=2e-6)) for _, v, s in sorted(got.get(i, []))] == want
 
 
+def test_bm25_floors_change_nothing(spark, stored, monkeypatch):
+    """Floors from all of the blocks, from half of them or from none change nothing."""
+    p, index = stored
+    want = sorted(map(tuple, ranking.bm25(asked(spark), index, 2).collect()))
+    for some in (1, 2, 10 ** 9):
+        monkeypatch.setattr(ranking, "FLOOR_BLOCKS", some)
+        assert sorted(map(tuple, ranking.bm25(asked(spark), index, 2).collect())) == want
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 5 as query_id", "cast(id as string) as vector_id", "id * 1.0d as s")
     assert "WindowGroupLimit" in KW.top_k(df, "s", 3)._jdf.queryExecution().toString()
