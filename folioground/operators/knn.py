@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 8192
+#: Values of a block of vectors, 16 MB in doubles; long vectors make blocks of fewer rows.
+VALUES_PER_BLOCK = 1 << 21
 NAMESPACE_BUCKETS = 64
 _STRIPE = 128
 
@@ -51,7 +53,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | Column,
     q_sizes = queries.groupBy("namespace").agg(
         F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("q_blocks"))
     v_sizes = vectors.groupBy("namespace").agg(
-        F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("v_blocks"))
+        F.ceil(F.greatest(F.count("*") / VECTORS_PER_BLOCK, F.sum(F.size("values")) / VALUES_PER_BLOCK)).cast("int").alias("v_blocks"))
     grid = q_sizes.join(v_sizes, "namespace")
 
     def place(df: DataFrame, key: str, own: str, other: str, names: list[str], *more: Column) -> DataFrame:

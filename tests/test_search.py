@@ -98,6 +98,16 @@ def test_nearest_blocks_brute_force(spark, monkeypatch, block):
     assert {tuple(r) for r in got} == want
 
 
+def test_long_vectors_make_small_blocks(spark, monkeypatch):
+    """A block holds a number of values, so its memory does not follow the length of a vector."""
+    v = spark.createDataFrame([(f"v{i:03d}", "n", [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "vector_id string, namespace string, values array<float>")
+    q = spark.createDataFrame([(1, "n", [1.0, 1.0, 0.0])], "query_id long, namespace string, values array<float>")
+    want = sorted(map(tuple, knn.nearest(q, v, 5).collect()))
+    monkeypatch.setattr(knn, "VALUES_PER_BLOCK", 12)
+    got = knn.nearest(q, v, 5)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_namespaces_prune_partitions(spark):
     """Only buckets of the namespaces that are asked for are opened, found out at run time."""
     v = spark.createDataFrame([(f"v{i:03d}", f"n{i % 12}", [float(i % 5), 1.0]) for i in range(120)], "vector_id string, namespace string, values array<float>")
