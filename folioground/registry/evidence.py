@@ -9,7 +9,7 @@ from folioground.functions import access as A
 from folioground.operators import citations as CI, fusion, grounding as G, keyword as KW, reports as R
 from folioground.plans import answer_log as L
 from folioground.registry.base import query
-from folioground.registry.retrieval import keyword_hits, passage_payload, staged
+from folioground.registry.retrieval import keyword_hits, passage_payload, payload_of, staged
 from folioground.registry.sql_views import WS, strip, with_views
 from folioground.sources import views as V
 from folioground.staging import stage_path, stage_table
@@ -18,8 +18,9 @@ from folioground.staging import stage_path, stage_table
 def shown_passages(spark, sf_dir):
     """Five best keyword passages per question, fused without vectors."""
     def build():
-        p = passage_payload(spark, sf_dir)
-        kw = KW.normalized_scores(keyword_hits(spark, sf_dir, 15)).join(p.select("vector_id", "version_id", "page_number"), "vector_id")
+        hits = keyword_hits(spark, sf_dir, 15)
+        p = payload_of(passage_payload(spark, sf_dir), hits)
+        kw = KW.normalized_scores(hits).join(p.select("vector_id", "version_id", "page_number"), "vector_id")
         none = kw.limit(0).select("query_id", "vector_id", "version_id", "page_number", F.lit(0.0).alias("vec_score"), F.lit(1).alias("vec_rank"))
         merged = fusion.merge_candidates(kw, none).join(p.drop("version_id", "page_number"), "vector_id")
         return stage_table(fusion.citations(fusion.final_rank(fusion.fused_scores(merged))), "shown")

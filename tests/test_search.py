@@ -237,6 +237,19 @@ def test_search_reads_no_postings_and_small_slices(spark, stored, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_only_the_best_leave_a_slice(spark, stored):
+    """A search with a limit takes no more than that from a slice; a query without one keeps all."""
+    p, index = stored
+    own = F.when(F.col("query_id") % 3 > 0, F.col("query_id") % 3)
+    parsed = KW._with_mode(KW.parse_queries(asked(spark).withColumn("most", own)))
+    got = {}
+    for r in KW._exact(parsed, index, p).collect():
+        got.setdefault(r.query_id, []).append((r.vector_id, r.match_score))
+    for i, scores in brute_all(p).items():
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        assert sorted(got.get(i, [])) == sorted(best[: i % 3 or None]), QUERIES[i]
+
+
 def test_block_bounds_hold(spark, stored):
     """No candidate scores more than its block is said to reach, and no block with a candidate is left out."""
     p, index = stored
