@@ -13,7 +13,7 @@ def register_all(spark: SparkSession) -> None:
     spark.udf.register("normalize_nfkc", X._nfkc)
     spark.sql(f"""
 create or replace temporary function normalize_text(t string) returns string return
- coalesce(regexp_replace(regexp_replace(regexp_replace(lower(normalize_nfkc(t)), r'{X.NOT_SEARCHED}', ' '), r'{X.WS}+', ' '), r'^{X.WS}+|{X.WS}+$', ''), '')""")
+ coalesce(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(normalize_nfkc(case when octet_length(t) <> length(t) then t end), t)), r'{X.NOT_SEARCHED}', ' '), r'{X.WS}+', ' '), r'^{X.WS}+|{X.WS}+$', ''), '')""")
     spark.sql("""
 create or replace temporary function vector_norm(a array<double>) returns double return sqrt(aggregate(a, 0d, (s, x) -> s + x * x))""")
     # Each norm is taken once: the lambda's argument holds both.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Callable
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,17 +48,23 @@ def _hash_stripe(texts: list[str], dim: int) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
+def _stripes(texts: pd.Series, dim: int) -> Iterator[np.ndarray]:
     """Feature-hash a batch in stripes of whole texts, so memory follows a stripe, not the batch."""
     texts = [t or "" for t in texts]
-    out = np.zeros((len(texts), dim), np.float32)
     start = chars = 0
     for end, t in enumerate(texts, 1):
         chars += len(t)
         # Rows of a stripe take ``dim`` doubles each however short they are.
         if chars >= STRIPE_CHARS or end - start == 256 or end == len(texts):
-            out[start:end] = _hash_stripe(texts[start:end], dim)
+            yield _hash_stripe(texts[start:end], dim)
             start, chars = end, 0
+
+
+def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
+    out, at = np.zeros((len(texts), dim), np.float32), 0
+    for made in _stripes(texts, dim):
+        out[at: at + len(made)] = made
+        at += len(made)
     return out
 
 
@@ -65,8 +72,10 @@ def hashing_embedder(dim: int = C.EMBEDDING_DIM) -> Callable[[Column], Column]:
     """Default embedder: text column to unit vector column, no shuffle."""
 
     @F.pandas_udf(VECTOR)
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_hash_batch(texts, dim)))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for made in _stripes(texts, dim):  # a stripe is given back before the next is made
+                yield pd.Series(list(made))
 
     return embed
 

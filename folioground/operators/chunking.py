@@ -200,16 +200,17 @@ def chunk_pages(pages: DataFrame, max_words: int = C.CHUNK_MAX_WORDS,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for version, page, text in zip(batch.version_id, batch.page_number, batch.raw_text):
-                try:
-                    rows = pack(text, max_words, overlap)
-                except Exception as failure:  # one bad page must not fail the job
-                    rows = [{"idx_in_page": -1, "error": f"Page extraction error: {failure}",
-                             "chunk_text": f"Extraction failed for page {page}."}]
-                out += [{"version_id": version, "page_number": page, **r} for r in rows]
-            frame = pd.DataFrame(out, columns=columns).astype(object)
-            yield frame.where(frame.notna(), None)
+            for at in range(0, len(batch), X.ROWS_AT_ONCE):
+                part, out = batch.iloc[at: at + X.ROWS_AT_ONCE], []
+                for version, page, text in zip(part.version_id, part.page_number, part.raw_text):
+                    try:
+                        rows = pack(text, max_words, overlap)
+                    except Exception as failure:  # one bad page must not fail the job
+                        rows = [{"idx_in_page": -1, "error": f"Page extraction error: {failure}",
+                                 "chunk_text": f"Extraction failed for page {page}."}]
+                    out += [{"version_id": version, "page_number": page, **r} for r in rows]
+                frame = pd.DataFrame(out, columns=columns).astype(object)
+                yield frame.where(frame.notna(), None)
 
     return pages.select("version_id", "page_number", "raw_text").mapInPandas(run, _LOCAL)
 
