@@ -12,11 +12,11 @@ from folioground.sources import views as V
 
 
 def asked(spark, sf_dir):
-    """Questions from customers, then every conversation turn as a question."""
+    """Questions from customers, then every conversation turn as a question; ``t`` is the text that is searched, ``w`` its runs."""
     q = V.questions(spark, sf_dir).select(F.col("query_id").alias("qid"), "query")
     c = V.read_texts(spark, sf_dir, "conversations", "conv_id").select(
         (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("qid"), F.col("text").alias("query"))
-    return q.unionByName(c)
+    return q.unionByName(c).withColumn("t", F.lower(F.trim("query"))).withColumn("w", U.runs(F.col("t")))
 
 
 # Word boundaries of the SQL side know ASCII only, so accented letters stand in as plain ones.
@@ -69,37 +69,37 @@ _FIELDS = {"f": "select qid, t, " + ", ".join(f"{sql} as {name}" for name, sql i
 def _single(name: str, expr):
     @query(f"question_{name}", with_views("v_questions", extra=_Q, body=f"select qid, {SQL[name]} as {name} from q"))
     def run(spark, sf_dir):
-        return asked(spark, sf_dir).select("qid", expr(F.lower(F.trim("query"))).alias(name))
+        return asked(spark, sf_dir).select("qid", expr(F.col("t"), F.col("w")).alias(name))
     return run
 
 
 _single("information_type", U.information_type)
-_single("age", U.age)
-_single("gender", U.gender)
-_single("scheme_category", lambda q: U.first_label(q, C.SCHEME_CATEGORIES))
-_single("beneficiary_type", lambda q: U.first_label(q, C.BENEFICIARY_TYPES))
-_single("occupation", lambda q: U.first_label(q, C.OCCUPATIONS))
-_single("disability_status", U.disability)
+_single("age", lambda q, w: U.age(q))
+_single("gender", lambda q, w: U.gender(q))
+_single("scheme_category", lambda q, w: U.first_label(q, C.SCHEME_CATEGORIES, w))
+_single("beneficiary_type", lambda q, w: U.first_label(q, C.BENEFICIARY_TYPES, w))
+_single("occupation", lambda q, w: U.first_label(q, C.OCCUPATIONS, w))
+_single("disability_status", lambda q, w: U.disability(q))
 
 
 @query("question_income", with_views("v_questions", extra=_Q, body=f"select qid, {SQL['income_range']} as income_range, {SQL['max_income']} as max_income from q"))
 def question_income(spark, sf_dir):
-    return asked(spark, sf_dir).select("qid", U.income(F.lower(F.trim("query"))).alias("i")).select("qid", "i.*")
+    return asked(spark, sf_dir).select("qid", U.income(F.col("t")).alias("i")).select("qid", "i.*")
 
 
 @query("question_location", with_views("v_questions", extra=_Q, body=f"""
 select qid, {SQL['understood_location']} as place, {SQL['locality']} as locality, case when qid % 9 = 0 then 'Goa' else {SQL['understood_location']} end as filter_place from q"""))
 def question_location(spark, sf_dir):
-    q = F.lower(F.trim("query"))
+    q, w = F.col("t"), F.col("w")
     return asked(spark, sf_dir).select(
-        "qid", U.location(q).alias("place"), U.locality(q).alias("locality"),
-        U.fill_location(F.when(F.col("qid") % 9 == 0, "Goa"), U.location(q)).alias("filter_place"))
+        "qid", U.location(q, w).alias("place"), U.locality(q).alias("locality"),
+        U.fill_location(F.when(F.col("qid") % 9 == 0, "Goa"), U.location(q, w)).alias("filter_place"))
 
 
 @query("question_profile_terms", with_views("v_questions", extra={**_Q, **_FIELDS}, body="select qid, array_to_string(profile, ',') as profile_terms from f"))
 def question_profile_terms(spark, sf_dir):
-    q = F.lower(F.trim("query"))
-    return asked(spark, sf_dir).select("qid", F.array_join(U.profile_terms(q, U.age(q)), ",").alias("profile_terms"))
+    q, w = F.col("t"), F.col("w")
+    return asked(spark, sf_dir).select("qid", F.array_join(U.profile_terms(q, U.age(q), w), ",").alias("profile_terms"))
 
 
 _SAFE = """case when information_type <> 'eligibility' then null

@@ -51,6 +51,19 @@ def test_question_facts(spark):
     assert [(f, q, r[f]) for (f, q, _), r in zip(FACTS, got)] == FACTS
 
 
+def test_hints_hide_nothing(spark, monkeypatch):
+    """Parts that a pattern needs are looked for first: the fields are those of the patterns alone, and plain texts meet few patterns."""
+    words = ["trans  man", "third gender", "gram  panchayat", "tehsil", "municipality", "slums", "economically weaker section", "aay", "aays", "locomotor", "hearing impaired", "best", "sc", "toll-free",
+             "pm-kisan", "salary of rs. 4,500.5", "earnings 3 crore", "income ,", "up to .5 lac", "less than inr 2 lakhs", "lakh", "age: 300", "i am 44", "over ٣٣", "aged 9yo", "goa", "goat", "jammu and kashmir", "Chandigarh", "40% disability"]
+    df = spark.createDataFrame([(i, f"{a} x {b}") for i, (a, b) in enumerate((a, b) for a in words for b in words)], "i int, query string").coalesce(1)
+    want = {r.i: r for r in U.understand(df).collect()}
+    monkeypatch.setattr(U, "holds", lambda q, parts: q.isNotNull())
+    monkeypatch.setattr(U, "may_hold", lambda w, keywords: w.isNotNull())
+    monkeypatch.setattr(U, "has_digit", lambda q: q.isNotNull())
+    got = {r.i: r for r in U.understand(df).collect()}
+    assert got == want and len({r.age for r in want.values()}) > 2 and len({r.max_income for r in want.values()}) > 5
+
+
 PASSAGE = "query_id int, rank int, document_id int, document_title string, version_id string, page_number int, section_heading string, excerpt string, score double"
 TITLE = "Canal Water Rules (v2)"
 TEXT = "Each registered plot gets nine hours of canal water on every second Tuesday of the dry months."
