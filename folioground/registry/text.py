@@ -209,51 +209,9 @@ def oversize_pieces(spark, sf_dir):
     return K.chunk_documents(V.pages(spark, sf_dir), max_words=60, overlap=10)
 
 
-# The packing rules once more, as a recursive query: every line is a paragraph of its page unless it
-# is a heading or a table row, and a page is packed piece by piece.
-_PACK = {
-    "k0": f"select version_id, page_number, line_no, line, {strip('line')} as s from v_lines",
-    "kinds": f"select *, case when {HEADING_SQL} then 'HEADING' when {TABLE_SQL} then 'TABLE' else 'PARAGRAPH' end as kind from k0 where s <> ''",
-    "b1": "select *, lag(kind) over w as pk, line_no - lag(line_no) over w > 1 as gap from kinds window w as (partition by version_id, page_number order by line_no)",
-    "b2": """select *, sum(case when pk is null or kind = 'HEADING' or pk = 'HEADING' or pk <> kind or (kind = 'PARAGRAPH' and gap) then 1 else 0 end)
-      over (partition by version_id, page_number order by line_no rows unbounded preceding) as block_no from b1""",
-    "blocks": f"""select version_id, page_number, block_no, min(kind) as kind,
-      {strip("string_agg(case when kind = 'HEADING' then s else regexp_replace(line, '" + WS + "+$', '') end, chr(10) order by line_no)")} as t
-      from b2 group by version_id, page_number, block_no""",
-    "sentences": f"""select version_id, page_number, block_no, kind, unnest(ss) as t, unnest(generate_series(1, len(ss))) as sent_no, big from (
-      select *, {n_words('t')} > 350 as big, case when kind <> 'HEADING' and {n_words('t')} > 350
-        then list_filter(string_split(regexp_replace(t, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') else [t] end as ss from blocks)""",
-    "windows": f"""select version_id, page_number, block_no, sent_no, kind, big, ws, unnest(generate_series(0, (len(ws) - 1) // 350)) as win_no, t from (
-      select *, {words('t')} as ws from sentences)""",
-    "pieces": f"""select version_id, page_number, kind, big, case when big and len(ws) > 350 then array_to_string(ws[win_no * 350 + 1 : win_no * 350 + 350], ' ') else t end as t,
-      case when big and len(ws) > 350 then ws[win_no * 350 + 1 : win_no * 350 + 350] else ws end as ws,
-      row_number() over (partition by version_id, page_number order by block_no, sent_no, win_no) as n from windows""",
-    "ends": "select version_id, page_number, max(n) as last_n from pieces group by version_id, page_number",
-}
-_OK = meaningful("array_to_string(parts, chr(10) || chr(10))")
-
-
-@query("chunk_packing_rules", with_views("v_lines", extra=_PACK, body=f""",
-pack(version_id, page_number, n, held, parts, out_text, phase) as (
- select version_id, page_number, 0::bigint, []::varchar[], []::varchar[], null::varchar, 'take' from ends
- union all
- select version_id, page_number,
-  case when act = 'take' then n + 1 else n end,
-  case when act = 'take' then held || ws when carry then held[-40:] else []::varchar[] end,
-  case when act = 'take' then parts || [t] when carry then [array_to_string(held[-40:], ' ')] else []::varchar[] end,
-  case when act <> 'take' and ok then body end,
-  case when act = 'take' and kind <> 'HEADING' and big and len(held) + len(ws) >= 350 then 'flush' when act = 'end' then 'done' else 'take' end
- from (
-  select k.version_id, k.page_number, k.n, k.held, k.parts, p.ws, p.t, p.kind, p.big,
-   array_to_string(k.parts, chr(10) || chr(10)) as body, {_OK.replace('parts', 'k.parts')} as ok,
-   {_OK.replace('parts', 'k.parts')} and len(k.held) > 40 as carry,
-   case when k.phase = 'flush' then 'flush' when k.n = e.last_n then 'end'
-    when p.kind = 'HEADING' or len(k.held) = 0 or len(k.held) + len(p.ws) <= 350 then 'take'
-    else 'flush' end as act
-  from pack k join ends e using (version_id, page_number) left join pieces p on p.version_id = k.version_id and p.page_number = k.page_number and p.n = k.n + 1
-  where k.phase <> 'done' and not (k.phase = 'take' and k.n = e.last_n and len(k.held) = 0)))
-select version_id, page_number, count(*) as n_chunks, cast(sum(length(out_text)) as bigint) as n_chars, min(sha256(out_text)) as min_hash, max(sha256(out_text)) as max_hash
-from pack where out_text is not null group by version_id, page_number""").replace("with v_pages", "with recursive v_pages", 1).replace(")\n,\npack", "),\npack", 1))
+@query("chunk_packing_rules", chunk_sql("""
+select version_id, page_number, count(*) as n_chunks, cast(sum(length(t)) as bigint) as n_chars, min(sha256(t)) as min_hash, max(sha256(t)) as max_hash
+from chunk group by version_id, page_number"""))
 def chunk_packing_rules(spark, sf_dir):
     h = F.sha2("chunk_text", 256)
     return chunks(spark, sf_dir).groupBy("version_id", "page_number").agg(

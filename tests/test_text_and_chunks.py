@@ -205,3 +205,16 @@ def test_python_functions_give_rows_back_in_parts():
     parts = list(K.chunk_pages(Pages())(iter([pages])))
     assert max(p.page_number.nunique() for p in parts) <= 256
     assert [n for p in parts for n in p.page_number] == list(range(1000))
+
+
+def test_sql_of_packing_closes_a_chunk_once():
+    """A block that has no room beside the tail of the chunk before it is taken all the same: no chunk of the tail alone."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    text = "\n\n".join(" ".join(f"{name}{i}" for i in range(340)) for name in ("first", "second", "third"))
+    con = duckdb.connect()
+    con.execute("create table documents as select 3::bigint as doc_id, ? as text, 'en' as lang, 'src1' as source, 1::bigint as n_chars", [text])
+    got = con.execute(entry.oracle_sql()["chunk_packing_rules"]).fetchall()
+    rows = K.pack_page(text)
+    assert [(r[2], r[3]) for r in got] == [(len(rows), sum(len(r["chunk_text"]) for r in rows))] and len(rows) == 3
