@@ -370,3 +370,11 @@ def test_reciprocal_rank_fusion(spark):
     r = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id int, vector_id string, rank int")
     got = [(x.vector_id, x.rrf) for x in ranking.reciprocal_rank_fusion(l, r, 3).orderBy("rank").collect()]
     assert got == [("b", round(1 / 62 + 1 / 61, 8)), ("a", round(1 / 61, 8)), ("c", round(1 / 62, 8))]
+
+
+def test_payload_does_not_sort_its_texts(spark, sf_dir):
+    from folioground.operators import index as I
+    from folioground.sources import views as V
+    p = I.chunk_payload(V.page_passages(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir))
+    top = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in top
