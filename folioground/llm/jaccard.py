@@ -46,6 +46,10 @@ INDEX, INDEX_LESS, PROBE, PROBE_ONE, PROBE_LESS = 1, 2, 4, 8, 16
 PAIRS_A_SET, ROUNDS = 50, 3
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
+#: Elements of a block, within which sets are compared before anything moves, and about how many meet in a bucket.
+BLOCK = BUCKET = 1 << 20
+#: Bits for each wanted row in the filter of the texts, and those of the filter at most (16 MB); with fewer it lets more texts through.
+FILTER, FILTER_MOST = 16, 1 << 27
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
@@ -84,62 +88,155 @@ def document_classes(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str
     return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, f"key {kind}, n_shingles bigint, set_id bigint, text_hash bigint")
 
 
-def _lonely(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """(set_id, alone): elements of the first segment that no other set has."""
-    def run(batches):
+# -- elements that sets share -------------------------------------------------------------------------------------
+
+def _blocks(sets):
+    """(elements in order, their owners, where each distinct element begins) of about ``BLOCK`` elements of (set_id, elements)."""
+    held, owners, size = [], [], 0
+
+    def block():
+        h, o = np.concatenate(held), np.repeat(np.array(owners, np.int64), [len(s) for s in held])
+        order = np.argsort(h)
+        h = h[order]
+        return h, o[order], np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+
+    for set_id, s in sets:
+        if len(s):
+            held.append(s)
+            owners.append(set_id)
+            size += len(s)
+        if size >= BLOCK:
+            yield block()
+            held, owners, size = [], [], 0
+    if size:
+        yield block()
+
+
+def _by_bucket(h: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[bytes]]:
+    """For each column the bytes of the values of each bucket; the low half of an element decides."""
+    at = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    cuts = np.cumsum(np.bincount(at, minlength=buckets))[:-1]
+    return [[x.tobytes() for x in np.split(c[order], cuts)] for c in columns]
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _buckets(elements: int | None) -> int:
+    return 1 + (elements or 0) // BUCKET
+
+
+def _lonely(docs: DataFrame, k: int, text: str, buckets: int) -> DataFrame:
+    """(set_id, alone): elements of the first segment that no other set has.
+
+    A block says of each element which sets have it, the least and the greatest that it knows. In a bucket elements go by
+    their high halves; if two are taken for one, fewer are alone, which only lets more sets go on.
+    """
+    def shown(batches):
         for batch in batches:
-            hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in _sets(batch.column(0), k):
                 # A set counts what its own size allows; it shows partners of up to 4/3 of its size all they may count.
-                shown = s[_in_first(s, SHARE_SMALL if len(s) < SMALL * 4 / 3 else SHARE)]
-                hashes.append(shown)
-                owners.append(np.full(len(shown), _class_of(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners))], ["h", "set_id"])
-
-    shown = docs.select(F.col(text)).mapInArrow(run, "h bigint, set_id bigint")
-    owners = shown.groupBy("h").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_other"))
-    small = F.shiftrightunsigned("h", 40) < int(SHARE * (1 << 24))
-    return owners.where("set_id = _other").groupBy("set_id").agg(F.count("*").alias("alone_small"), F.sum(F.when(small, 1).otherwise(0)).alias("alone"))
+                yield _class_of(s), s[_in_first(s, SHARE_SMALL if len(s) < SMALL * 4 / 3 else SHARE)]
+
+    def dealt(batches):
+        for h, o, first in _blocks(shown(batches)):
+            low, high, h = np.minimum.reduceat(o, first), np.maximum.reduceat(o, first), h[first]
+            several = low != high
+            h, o = np.concatenate([h, h[several]]), np.concatenate([low, high[several]])
+            hashes, owners = _by_bucket(h, buckets, (h >> np.uint64(32)).astype(np.uint32), o)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(hashes, pa.binary()), pa.array(owners, pa.binary())], ["bucket", "hashes", "owners"])
+
+    def alone(rows):
+        h, o = _joined(rows["hashes"], np.uint32), _joined(rows["owners"], np.int64)
+        order = np.argsort(h)
+        h, o = h[order], o[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(o, first) if len(h) else o
+        own = low == (np.maximum.reduceat(o, first) if len(h) else o)
+        ids, at = np.unique(low[own], return_inverse=True)
+        small = (h[first][own] >> np.uint32(8)) < np.uint32(int(SHARE * (1 << 24)))
+        return pa.table({"set_id": ids, "alone_small": np.bincount(at, minlength=len(ids)), "alone": np.bincount(at, small, len(ids)).astype(np.int64)})
+
+    met = docs.select(F.col(text)).mapInArrow(dealt, "bucket bigint, hashes binary, owners binary").where(F.length("hashes") > 0)
+    counts = met.groupBy("bucket").applyInArrow(alone, "set_id bigint, alone_small bigint, alone bigint")
+    return counts.groupBy("set_id").agg(F.sum("alone_small").alias("alone_small"), F.sum("alone").alias("alone"))
+
+
+def _filter_of(codes: DataFrame) -> np.ndarray:
+    """A Bloom filter, two bits for each of the 64-bit ``code``; its size follows their number, up to ``FILTER_MOST`` bits."""
+    size = min(FILTER_MOST, max(1 << 16, 1 << int(FILTER * codes.count()).bit_length()))
+    place = lambda c: F.pmod(c, F.lit(size))
+    bits = codes.select(F.explode(F.array(place(F.col("code")), place(F.shiftrightunsigned("code", 32)))).alias("_bit"))
+    words = bits.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["_word"].to_numpy()] = words["_bits"].to_numpy()
+    return out.view(np.uint64)
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(text, set_id) of the rows that stand for a wanted set; by text too, as a key may stand on many texts."""
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
-    return texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep.key")) & (F.col("_hash") == F.col("_rep.text_hash"))).select("_text", "_wanted")
+    """The texts of the rows that stand for a wanted set, and of a few others that the filter lets through; by text too, as
+    a key may stand on many texts. No text moves."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("_rep.key", "_rep.text_hash").alias("code"))))  # at most FILTER_MOST bits
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            codes = np.asarray(batch.column(0)).view(np.uint64)
+            keep = np.ones(len(codes), bool)
+            for at in (codes, codes >> np.uint64(32)):
+                at = at % np.uint64(64 * len(bits))
+                keep &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep))], ["_text"])
+
+    return docs.select(F.xxhash64(key, F.xxhash64(text)), F.col(text)).mapInArrow(run, "_text string")
 
 
 def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(set_id, elements as little-endian 64-bit words) of the sets that may have a partner, once each."""
+    """(set_id, n, elements as little-endian 64-bit words) of the sets that may have a partner, once each."""
     sizes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min(F.struct("key", "text_hash")).alias("_rep"))
-    counted = sizes.join(_lonely(docs, k, text), "set_id", "left")
+    elements = rows.agg(F.sum("n_shingles")).first()[0]
+    counted = sizes.join(_lonely(docs, k, text, _buckets(int(SHARE * (elements or 0)))), "set_id", "left")
     alone = F.coalesce(F.when(F.col("n") < SMALL, F.col("alone_small")).otherwise(F.col("alone")), F.lit(0))
-    wanted = staged(counted.where(4 * alone <= F.col("n")).select("_rep", F.col("set_id").alias("_wanted")), "wanted")
+    wanted = staged(counted.where(4 * alone <= F.col("n")).select("_rep"), "wanted")
 
     def run(batches):
         for batch in batches:
-            found = [(c, s.tobytes()) for w, s in zip(batch.column(1).to_pylist(), _sets(batch.column(0), k)) if (c := _class_of(s)) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["set_id", "elements"])
+            found = [(_class_of(s), len(s), s.tobytes()) for s in _sets(batch.column(0), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["set_id", "n", "elements"])
 
-    return _wanted_texts(docs, wanted, key, text).mapInArrow(run, "set_id bigint, elements binary").groupBy("set_id").agg(F.first("elements").alias("elements"))
+    return _wanted_texts(docs, wanted, key, text).mapInArrow(run, "set_id bigint, n int, elements binary").groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
 def _shared_elements(sets: DataFrame) -> DataFrame:
     """(set_id, n, elements): the elements that some other set has too, of the sets that may still have a partner.
 
-    An element of one set alone is a difference from every other set, so it only has to be counted (n - elements).
+    An element of one set alone is a difference from every other set, so it only has to be counted (n - elements). Elements
+    that sets of one block share are known to be shared: their bucket is told once, and their owners are spread evenly.
     """
-    def run(batches):
-        for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.slice(low, 500)
-                own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                sizes = [len(x) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(np.array(part.column(0)), sizes)), pa.array(np.repeat(np.array(sizes, np.int32), sizes))], ["h", "set_id", "n"])
-
-    each = sets.select("set_id", "elements").mapInArrow(run, "h bigint, set_id bigint, n int")
-    shared = each.groupBy("h").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("h")
-    kept = each.join(shared, "h").groupBy("set_id", "n").agg(F.collect_list("h").alias("elements"))  # at most the set
-    return kept.where(4 * (F.col("n") - F.size("elements")) <= F.col("n"))
+    buckets = _buckets(sets.agg(F.sum("n")).first()[0])
+    columns = ("hashes", "owners", "told", "known", "known_owners")
+
+    def dealt(batches):
+        stored = ((c, np.frombuffer(x, np.uint64)) for batch in batches for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for h, o, first in _blocks(stored):
+            times = np.diff(np.append(first, len(h)))
+            several = np.repeat(times > 1, times)
+            one, told = h[~several], h[first][times > 1]
+            parts = [*_by_bucket(one, buckets, one, o[~several]), *_by_bucket(told, buckets, told), *([x.tobytes() for x in np.array_split(c[several], buckets)] for c in (h, o))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", *columns])
+
+    def shared(rows):
+        h, o, told = (_joined(rows[c], kind) for c, kind in zip(columns, (np.uint64, np.int64, np.uint64)))
+        every, times = np.unique(np.concatenate([h, told]), return_counts=True)
+        keep = np.isin(h, every[times > 1])
+        return pa.table({"h": np.concatenate([h[keep].view(np.int64), _joined(rows["known"], np.int64)]), "set_id": np.concatenate([o[keep], _joined(rows["known_owners"], np.int64)])})
+
+    met = sets.select("set_id", "elements").mapInArrow(dealt, "bucket bigint, hashes binary, owners binary, told binary, known binary, known_owners binary")
+    kept = met.groupBy("bucket").applyInArrow(shared, "h bigint, set_id bigint").groupBy("set_id").agg(F.collect_list("h").alias("elements"))  # at most the set
+    return kept.join(sets.select("set_id", "n"), "set_id").where(4 * (F.col("n") - F.size("elements")) <= F.col("n"))
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:

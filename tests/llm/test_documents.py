@@ -137,6 +137,27 @@ def test_a_hot_id_meets_each_text_once(spark, monkeypatch):
     assert met == [60]
 
 
+def test_texts_stay_and_shared_elements_meet_in_buckets(spark, docs, rows, monkeypatch):
+    """No exchange lies above the texts, and many buckets over several blocks give the sets of one comparison."""
+    classes_ = jaccard.document_classes(docs)
+    wanted = classes_.select(F.struct("key", "text_hash").alias("_rep"))
+    monkeypatch.setattr(jaccard, "BUCKET", 40)
+    with_join = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    texts = jaccard._wanted_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), wanted, "doc_id", "text")
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_join)
+    assert "Exchange" not in plan and "Join" not in plan
+    sets = {c: set(s.tolist()) for s in jaccard._sets(pa.array([t for _, t, *_ in rows], pa.string()), 5) for c in [jaccard._class_of(s)]}
+    times = Counter(h for s in sets.values() for h in s)
+    alone = {c: sum(times[h] == 1 for h in s if h >> 40 < int(jaccard.SHARE * (1 << 24))) for c, s in sets.items()}
+    assert {r["set_id"]: r["alone"] for r in jaccard._lonely(docs, 5, "text", 23).collect() if r["alone"]} == {c: n for c, n in alone.items() if n}
+    stored = spark.createDataFrame([(c, len(s), np.array(sorted(s), np.uint64).tobytes()) for c, s in sets.items() if s], "set_id bigint, n int, elements binary").repartition(4)
+    want = {c: sorted(h for h in s if times[h] > 1) for c, s in sets.items()}
+    got = {r["set_id"]: sorted(np.array(r["elements"], np.int64).view(np.uint64).tolist()) for r in jaccard._shared_elements(stored).collect()}
+    assert got == {c: kept for c, kept in want.items() if kept and 4 * (len(sets[c]) - len(kept)) <= len(sets[c])}
+
+
 def test_one_row_of_each_component(spark):
     body = [" ".join(f"t{t}w{j}" for j in range(60)) for t in range(5)]
     rows = [(None, body[0] + " a"), (None, body[0] + " b"), (None, body[1] + " a"), (4, body[1] + " b"), (None, body[2]), (None, body[2].upper()), (5, body[3] + " a"), (5, body[3] + " b"),
