@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioground.staging import shuffles_dropped
+
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 8192
 #: Values of a block of vectors, 16 MB in doubles; long vectors make blocks of fewer rows.
@@ -108,7 +110,8 @@ def write_vectors(vectors: DataFrame, path: str, buckets: int = NAMESPACE_BUCKET
     """Vectors in partitions by a bucket of their namespace, so a search opens those of its namespaces alone."""
     bucket = F.pmod(F.xxhash64("namespace"), F.lit(buckets)).cast("int")
     # Files of a bucket follow its rows: a large namespace is written by many tasks.
-    vectors.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    with shuffles_dropped(vectors.sparkSession):
+        vectors.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def nearest_stored(queries: DataFrame, path: str, k: int | Column, filters: Mapping[str, str] | None = None, buckets: int = NAMESPACE_BUCKETS) -> DataFrame:

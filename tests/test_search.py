@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from folioground.functions import text as X, vectors as VX
 from folioground.operators import fusion, keyword as KW, knn, matching as M, ranking, search_index as SI
-from folioground.staging import stage_path
+from folioground.registry import retrieval as R
+from folioground.staging import stage_path, stage_table
 
 
 def test_substring_pairs_brute_force(spark):
@@ -378,3 +379,16 @@ def test_payload_does_not_sort_its_texts(spark, sf_dir):
     p = I.chunk_payload(V.page_passages(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir))
     top = p._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in top
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = stage_table(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.collect_list("id").alias("ids")), "kept")
+    assert not files() - before
+    assert kept.selectExpr("sum(size(ids))").first()[0] == 5000
+
+
+def test_vectors_are_written_once(spark, sf_dir):
+    path = R.passage_vector_store(spark, sf_dir)
+    assert all(path in f for f in R.passage_vectors(spark, sf_dir).inputFiles())
