@@ -47,7 +47,7 @@ PAIRS_A_SET, ROUNDS = 50, 3
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 #: Elements of a block, within which sets are compared before anything moves, and about how many meet in a bucket.
-BLOCK = BUCKET = 1 << 20
+BLOCK = BUCKET = 1 << 19
 #: Bits for each wanted row in the filter of the texts, and those of the filter at most (16 MB); with fewer it lets more texts through.
 FILTER, FILTER_MOST = 16, 1 << 27
 
@@ -155,13 +155,11 @@ def _lonely(docs: DataFrame, k: int, text: str, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         low = np.minimum.reduceat(o, first) if len(h) else o
         own = low == (np.maximum.reduceat(o, first) if len(h) else o)
-        ids, at = np.unique(low[own], return_inverse=True)
-        small = (h[first][own] >> np.uint32(8)) < np.uint32(int(SHARE * (1 << 24)))
-        return pa.table({"set_id": ids, "alone_small": np.bincount(at, minlength=len(ids)), "alone": np.bincount(at, small, len(ids)).astype(np.int64)})
+        return pa.table({"set_id": low[own], "small": (h[first][own] >> np.uint32(8)) < np.uint32(int(SHARE * (1 << 24)))})
 
     met = docs.select(F.col(text)).mapInArrow(dealt, "bucket bigint, hashes binary, owners binary").where(F.length("hashes") > 0)
-    counts = met.groupBy("bucket").applyInArrow(alone, "set_id bigint, alone_small bigint, alone bigint")
-    return counts.groupBy("set_id").agg(F.sum("alone_small").alias("alone_small"), F.sum("alone").alias("alone"))
+    each = met.groupBy("bucket").applyInArrow(alone, "set_id bigint, small boolean")  # a row an element, as many as the input has
+    return each.groupBy("set_id").agg(F.count("*").alias("alone_small"), F.count_if("small").alias("alone"))
 
 
 def _filter_of(codes: DataFrame) -> np.ndarray:
@@ -175,9 +173,9 @@ def _filter_of(codes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """The texts of the rows that stand for a wanted set, and of a few others that the filter lets through; by text too, as
-    a key may stand on many texts. No text moves."""
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(set_id, n, elements) of the rows that stand for a wanted set, and of a few others that the filter lets through; by
+    text too, as a key may stand on many texts. No text moves."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("_rep.key", "_rep.text_hash").alias("code"))))  # at most FILTER_MOST bits
 
@@ -189,9 +187,10 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Da
             for at in (codes, codes >> np.uint64(32)):
                 at = at % np.uint64(64 * len(bits))
                 keep &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep))], ["_text"])
+            found = [(_class_of(s), len(s), s.tobytes()) for s in _sets(batch.column(1).filter(pa.array(keep)), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["set_id", "n", "elements"])
 
-    return docs.select(F.xxhash64(key, F.xxhash64(text)), F.col(text)).mapInArrow(run, "_text string")
+    return docs.select(F.xxhash64(key, F.xxhash64(text)), F.col(text)).mapInArrow(run, "set_id bigint, n int, elements binary")
 
 
 def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -202,12 +201,7 @@ def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: st
     alone = F.coalesce(F.when(F.col("n") < SMALL, F.col("alone_small")).otherwise(F.col("alone")), F.lit(0))
     wanted = staged(counted.where(4 * alone <= F.col("n")).select("_rep"), "wanted")
 
-    def run(batches):
-        for batch in batches:
-            found = [(_class_of(s), len(s), s.tobytes()) for s in _sets(batch.column(0), k) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["set_id", "n", "elements"])
-
-    return _wanted_texts(docs, wanted, key, text).mapInArrow(run, "set_id bigint, n int, elements binary").groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
+    return _wanted_texts(docs, wanted, k, key, text).groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
 def _shared_elements(sets: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def test_texts_stay_and_shared_elements_meet_in_buckets(spark, docs, rows, monke
     monkeypatch.setattr(jaccard, "BUCKET", 40)
     with_join = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    texts = jaccard._wanted_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), wanted, "doc_id", "text")
+    texts = jaccard._wanted_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), wanted, 5, "doc_id", "text")
     plan = texts._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_join)
     assert "Exchange" not in plan and "Join" not in plan
