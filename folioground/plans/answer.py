@@ -73,7 +73,7 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
     kw, near = stage_table(kw, "keyword_hits"), stage_table(near, "vector_hits")
     # A few rows per query from here on: only they meet the payload again.
     wanted = kw.select("vector_id").union(near.select("vector_id")).distinct()
-    place = stage_table(payload.join(wanted, "vector_id", "left_semi"), "candidate_payload")
+    place = stage_table(payload.drop("normalized_text").join(wanted, "vector_id", "left_semi"), "candidate_payload")
     spot = place.select("vector_id", "version_id", "page_number")
     merged = fusion.merge_candidates(kw.join(spot, "vector_id"), near.join(spot, "vector_id"), page_merge)
     facts = queries.select(

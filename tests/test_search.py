@@ -392,3 +392,27 @@ def test_written_tables_leave_no_shuffle_files(spark):
 def test_vectors_are_written_once(spark, sf_dir):
     path = R.passage_vector_store(spark, sf_dir)
     assert all(path in f for f in R.passage_vectors(spark, sf_dir).inputFiles())
+
+def test_payload_holds_each_text_once(spark, sf_dir):
+    """Snippet and search text are not written but derived; they are what a payload of passages with search text has."""
+    from folioground.operators import index as I
+    from folioground.sources import views as V
+    p = R.passage_payload(spark, sf_dir)
+    written = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in p.inputFiles()}).columns
+    assert "chunk_text" in written and not {"snippet", "normalized_text"} & set(written)
+    texts = ["vector_id", "snippet", "chunk_text", "normalized_text"]
+    whole = I.chunk_payload(V.page_passages(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir))
+    assert sorted(map(tuple, p.select(texts).collect())) == sorted(map(tuple, whole.select(texts).collect()))
+
+
+def test_search_text_is_derived_where_texts_arrive(spark, stored):
+    """The search text of a payload that derives it does not move, and the scores are those of one that holds it."""
+    from folioground.operators import index as I
+    p, index = stored
+    odd = p.withColumn("chunk_text", F.concat(F.col("chunk_text"), F.lit(" ﬁnal Ⅳ kisan’s ")))
+    held = odd.withColumn("normalized_text", X.normalize_for_search(F.col("chunk_text")))
+    derived = I.with_derived_texts(odd.drop("normalized_text").withColumn("compat_text", X.compat_text(F.col("chunk_text"))))
+    found = KW.keyword_scores(asked(spark), index, derived)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, KW.keyword_scores(asked(spark), index, held).collect()))
+    below = found._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")[2]
+    assert "compat_text" in below and "regexp_replace(lower(coalesce(compat_text" not in below
