@@ -60,7 +60,7 @@ def _stripes(texts: pd.Series, dim: int) -> Iterator[np.ndarray]:
             start, chars = end, 0
 
 
-def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
+def _hash_batch(texts: pd.Series | list[str], dim: int) -> np.ndarray:
     out, at = np.zeros((len(texts), dim), np.float32), 0
     for made in _stripes(texts, dim):
         out[at: at + len(made)] = made
@@ -68,6 +68,11 @@ def _hash_batch(texts: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
+def hash_texts(texts: list[str]) -> np.ndarray:
+    """What the default embedder makes of some texts, a row each."""
+    return _hash_batch(texts, C.EMBEDDING_DIM)
+
+
 def hashing_embedder(dim: int = C.EMBEDDING_DIM) -> Callable[[Column], Column]:
     """Default embedder: text column to unit vector column, no shuffle."""
 

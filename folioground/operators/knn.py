@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioground import constants as C
 from folioground.staging import shuffles_dropped
 
 VECTORS_PER_BLOCK = 8192
@@ -41,11 +42,13 @@ def _passing(queries: pa.Table, vectors: pa.Table, filters: Mapping[str, str]) -
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | Column,
-            filters: Mapping[str, str] | None = None) -> DataFrame:
+            filters: Mapping[str, str] | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, dim: int = C.EMBEDDING_DIM) -> DataFrame:
     """(query_id, vector_id, vec_score, vec_rank): the ``k`` most similar vectors of each query (a number, or a column of
     ``queries``).
 
     ``queries`` has query_id, namespace, values; ``vectors`` has vector_id, namespace, values.
+    With ``embed`` they have a text instead of values, which it turns into rows of ``dim`` numbers in the task that compares them,
+    again for each block of queries: a vector takes several times the room of its text, so vectors are neither stored nor moved.
     ``filters`` maps a query column to a vector column compared as lower-case text.
     A namespace is cut into blocks of bounded size by id hash, so a namespace with a third of all
     vectors spreads over as many tasks as it needs; each block pair is one matrix product that
@@ -54,28 +57,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | Column,
     filters = dict(filters or {})
     q_sizes = queries.groupBy("namespace").agg(
         F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("q_blocks"))
+    values = F.sum(F.size("values")) if embed is None else F.count("*") * dim
     v_sizes = vectors.groupBy("namespace").agg(
-        F.ceil(F.greatest(F.count("*") / VECTORS_PER_BLOCK, F.sum(F.size("values")) / VALUES_PER_BLOCK)).cast("int").alias("v_blocks"))
+        F.ceil(F.greatest(F.count("*") / VECTORS_PER_BLOCK, values / VALUES_PER_BLOCK)).cast("int").alias("v_blocks"))
     grid = q_sizes.join(v_sizes, "namespace")
+    grid = grid if embed is None else F.broadcast(grid)  # a row a namespace that is asked for; the texts wait where they lie
 
-    def place(df: DataFrame, key: str, own: str, other: str, names: list[str], *more: Column) -> DataFrame:
+    def place(df: DataFrame, key: str, own: str, other: str, names: list[str], *more: Column, given: str = "values") -> DataFrame:
         hashed = F.pmod(F.xxhash64(key), F.col(own + "_blocks")).cast("int")
         spread = F.explode(F.sequence(F.lit(0), F.col(other + "_blocks") - 1))
         texts = [F.lower(F.col(n).cast("string")).alias(n) for n in names]
-        return (df.filter(F.size("values") > 0).join(grid, "namespace")
-                .select(F.col("namespace").alias("namespace"), F.size("values").alias("dim"),
+        rows, size = (df.filter(F.size("values") > 0), F.size("values")) if given == "values" else (df, F.lit(dim))
+        return (rows.join(grid, "namespace")
+                .select(F.col("namespace").alias("namespace"), size.alias("dim"),
                         hashed.alias(own + "_block"), spread.alias(other + "_block"),
-                        F.col(key).alias(key), F.col("values").alias("values"), *texts, *more))
+                        F.col(key).alias(key), F.col(given).alias(given), *texts, *more))
 
     most = (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("most")
     q = place(queries, "query_id", "q", "v", list(filters), most)
-    v = place(vectors, "vector_id", "v", "q", list(filters.values()))
+    v = place(vectors, "vector_id", "v", "q", list(filters.values()), given="values" if embed is None else "text")
     id_type = queries.schema["query_id"].dataType.simpleString()
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             right = right.sort_by("vector_id")
-            lq, rv = _unit(_matrix(left["values"])), _unit(_matrix(right["values"]))
+            held = _matrix(right["values"]) if embed is None else embed(right["text"].to_pylist()).astype(np.float64)
+            lq, rv = _unit(_matrix(left["values"])), _unit(held)
             ok = _passing(left, right, filters) if filters else None
             wanted = left["most"].to_numpy()
         picked_q, picked_v, scores = [], [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioground import constants as C
@@ -52,11 +53,11 @@ def request_options(queries: DataFrame, limit: int = C.DEFAULT_LIMIT) -> DataFra
 
 def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
                   vectors: DataFrame, embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT,
-                  page_merge: str = "last") -> DataFrame:
+                  page_merge: str = "last", embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """Citations per query: keyword and vector retrieval, merge, fuse, gate, rank.
 
     ``queries`` may have the options of ``request_options``, each of its own row; ``active_only`` false lets inactive
-    text of the vector side in without history.
+    text of the vector side in without history. With ``embed``, the rows of ``vectors`` have texts (``knn.nearest``).
     """
     own = "limit" in queries.columns
     queries = request_options(queries, limit)
@@ -69,7 +70,7 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
         F.nullif("scheme", F.lit("")).alias("f_scheme"), F.nullif("department", F.lit("")).alias("f_department"),
         F.nullif("language", F.lit("")).alias("f_language"), active.alias("f_active"), "limit")
     near = knn.nearest(asked, vectors, pool, {
-        "f_scheme": "scheme_name", "f_department": "department", "f_language": "language", "f_active": "active"})
+        "f_scheme": "scheme_name", "f_department": "department", "f_language": "language", "f_active": "active"}, embed)
     kw, near = stage_table(kw, "keyword_hits"), stage_table(near, "vector_hits")
     # A few rows per query from here on: only they meet the payload again.
     wanted = kw.select("vector_id").union(near.select("vector_id")).distinct()

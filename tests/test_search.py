@@ -416,3 +416,16 @@ def test_search_text_is_derived_where_texts_arrive(spark, stored):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, KW.keyword_scores(asked(spark), index, held).collect()))
     below = found._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")[2]
     assert "compat_text" in below and "regexp_replace(lower(coalesce(compat_text" not in below
+
+def test_texts_are_embedded_where_they_are_compared(spark, monkeypatch):
+    """Vectors given as texts have the neighbours that stored vectors have, in several blocks and with null and empty texts."""
+    rows = [(f"v{i}", f"ns{i % 2}", None if i == 7 else " " * (i == 8) or f"word{i % 5} and{i} kisan{i % 3}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "vector_id string, namespace string, text string")
+    embed = VX.hashing_embedder()
+    vectors = texts.withColumn("values", embed(F.col("text"))).drop("text")
+    q = vectors.where("vector_id in ('v1', 'v2', 'v9', 'v20')").withColumnRenamed("vector_id", "query_id")
+    monkeypatch.setattr(knn, "VALUES_PER_BLOCK", 6 * 1536)
+    monkeypatch.setattr(knn, "QUERIES_PER_BLOCK", 1)
+    want = sorted(map(tuple, knn.nearest(q, vectors, 5).collect()))
+    found = knn.nearest(q, texts, 5, embed=VX.hash_texts)
+    assert len(want) == 20 and sorted(map(tuple, found.collect())) == want
