@@ -48,68 +48,101 @@ PAIRS_A_SET, ROUNDS = 50, 3
 SKETCH = 8
 #: Elements of a block, within which sets are compared before anything moves, and about how many meet in a bucket.
 BLOCK = BUCKET = 1 << 19
+#: Elements that make a task worth while: what a table with fewer to a partition holds is worked on by fewer tasks.
+TASK = 1 << 17
+#: About how many bytes of text there are for each shingle; only the number of buckets follows from it.
+BYTES = 6
 #: Bits for each wanted row in the filter of the texts, and those of the filter at most (16 MB); with fewer it lets more texts through.
 FILTER, FILTER_MOST = 16, 1 << 27
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
 
-def _sets(column: pa.Array, k: int):
-    """Sorted distinct shingle hashes of each whole text of a batch, in row order."""
+def _sets_by_chunk(column: pa.Array, k: int):
+    """Sorted distinct shingle hashes of each whole text of a batch, in row order, those of some MB of text at a time."""
     data, offsets = texts_of(column)
     for low, high in chunks(offsets):
         words = Words(data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], NOT_BLANK)
-        windows = window_hashes(words.hash, k)
-        for a, b in zip(words.first[:-1], words.first[1:]):
+        windows, found = window_hashes(words.hash, k), []
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             if b - a >= k:
-                yield np.unique(windows[a: b - k + 1])
+                s = windows[a: b - k + 1]
+                s.sort()  # windows that cross texts lie between
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                found.append(s[new])
             elif b > a:
-                yield window_hashes(words.hash[a:b], b - a)
+                found.append(window_hashes(words.hash[a:b], b - a))
             else:
-                yield np.zeros(0, np.uint64)
+                found.append(np.zeros(0, np.uint64))
+        yield found
+
+
+def _sets(column: pa.Array, k: int):
+    for found in _sets_by_chunk(column, k):
+        yield from found
 
 
 def _class_of(s: np.ndarray) -> int:
     return int((mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
 
 
+def _classes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """``_class_of`` each of several sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), np.uint64)
+    if sizes.any():
+        out[sizes > 0] = np.add.reduceat(mixed(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(sizes) - sizes)[sizes > 0])
+    return (out + sizes.view(np.uint64)).view(np.int64)
+
+
 def _in_first(s: np.ndarray, share: float) -> np.ndarray:
-    return (s >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))
+    """Those of sorted elements that lie in the first segment."""
+    return s[: np.searchsorted(s, np.uint64(int(share * (1 << 24)) << 40))]
 
 
 def document_classes(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, set_id, text_hash) of every row; ``set_id`` is equal for equal sets."""
-    def run(batches):
-        for batch in batches:
-            sets = list(_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), batch.column(2)], ["key", "n_shingles", "set_id", "text_hash"])
+    return _classes(_told(docs, k, key, text, 0))
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, f"key {kind}, n_shingles bigint, set_id bigint, text_hash bigint")
+
+def _classes(told: DataFrame) -> DataFrame:
+    return told.where("bucket is null").select("key", "n_shingles", "set_id", "text_hash")
 
 
 # -- elements that sets share -------------------------------------------------------------------------------------
 
-def _blocks(sets):
-    """(elements in order, their owners, where each distinct element begins) of about ``BLOCK`` elements of (set_id, elements)."""
-    held, owners, size = [], [], 0
+class _Block:
+    """Sets that wait until they have about ``BLOCK`` elements."""
+
+    def __init__(self):
+        self.held, self.owners, self.size = [], [], 0
 
-    def block():
-        h, o = np.concatenate(held), np.repeat(np.array(owners, np.int64), [len(s) for s in held])
+    def add(self, set_id: int, s: np.ndarray) -> None:
+        if len(s):
+            self.held.append(s)
+            self.owners.append(set_id)
+            self.size += len(s)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Elements in order, their owners, where each distinct element begins."""
+        h, o = np.concatenate(self.held), np.repeat(np.array(self.owners, np.int64), [len(s) for s in self.held])
+        self.__init__()
         order = np.argsort(h)
         h = h[order]
         return h, o[order], np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
+
+def _blocks(sets):
+    """Blocks of (set_id, elements)."""
+    block = _Block()
     for set_id, s in sets:
-        if len(s):
-            held.append(s)
-            owners.append(set_id)
-            size += len(s)
-        if size >= BLOCK:
-            yield block()
-            held, owners, size = [], [], 0
-    if size:
-        yield block()
+        block.add(set_id, s)
+        if block.size >= BLOCK:
+            yield block.take()
+    if block.size:
+        yield block.take()
 
 
 def _by_bucket(h: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[bytes]]:
@@ -128,26 +161,62 @@ def _buckets(elements: int | None) -> int:
     return 1 + (elements or 0) // BUCKET
 
 
-def _lonely(docs: DataFrame, k: int, text: str, buckets: int) -> DataFrame:
-    """(set_id, alone): elements of the first segment that no other set has.
+def _few(df: DataFrame, elements: int | None) -> DataFrame:
+    """``df`` in as many tasks as its sets' ``elements`` have use for, where a setting makes more of them; every row stays."""
+    return df.coalesce(1 + (elements or 0) // TASK)
 
-    A block says of each element which sets have it, the least and the greatest that it knows. In a bucket elements go by
-    their high halves; if two are taken for one, fewer are alone, which only lets more sets go on.
+
+def _told(docs: DataFrame, k: int, key: str, text: str, buckets: int) -> DataFrame:
+    """In one pass over the texts, (key, n_shingles, set_id, text_hash) of every row, with a null ``bucket``; and rows of
+    (bucket, hashes, owners), what each block of texts says of the elements of the first segment, if there are ``buckets``.
+
+    A block says of each element which sets have it, the least and the greatest that it knows.
     """
-    def shown(batches):
-        for batch in batches:
-            for s in _sets(batch.column(0), k):
-                # A set counts what its own size allows; it shows partners of up to 4/3 of its size all they may count.
-                yield _class_of(s), s[_in_first(s, SHARE_SMALL if len(s) < SMALL * 4 / 3 else SHARE)]
+    kind = dict(docs.dtypes)[key]
+    schema = f"key {kind}, n_shingles bigint, set_id bigint, text_hash bigint, bucket bigint, hashes binary, owners binary"
+    names = ["key", "n_shingles", "set_id", "text_hash", "bucket", "hashes", "owners"]
 
-    def dealt(batches):
-        for h, o, first in _blocks(shown(batches)):
+    def run(batches):
+        block, types = _Block(), None
+
+        def made(columns, n):
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, types)], names)
+
+        def said():
+            h, o, first = block.take()
             low, high, h = np.minimum.reduceat(o, first), np.maximum.reduceat(o, first), h[first]
             several = low != high
             h, o = np.concatenate([h, h[several]]), np.concatenate([low, high[several]])
             hashes, owners = _by_bucket(h, buckets, (h >> np.uint64(32)).astype(np.uint32), o)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(hashes, pa.binary()), pa.array(owners, pa.binary())], ["bucket", "hashes", "owners"])
+            at = [i for i, x in enumerate(hashes) if x]
+            return made([None, None, None, None, pa.array(at, pa.int64()), pa.array([hashes[i] for i in at], pa.binary()), pa.array([owners[i] for i in at], pa.binary())], len(at))
+
+        for batch in batches:
+            types = [batch.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            sizes, classes = [], []
+            for sets in _sets_by_chunk(batch.column(1), k):
+                of = _classes_of(sets)
+                sizes += map(len, sets)
+                classes.append(of)
+                if not buckets:
+                    continue
+                for set_id, s in zip(of.tolist(), sets):
+                    # A set counts what its own size allows; it shows partners of up to 4/3 of its size all they may count.
+                    block.add(set_id, _in_first(s, SHARE_SMALL if len(s) < SMALL * 4 / 3 else SHARE))
+                    if block.size >= BLOCK:
+                        yield said()
+            yield made([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *classes])), batch.column(2), None, None, None], len(batch))
+        if block.size:
+            yield said()
+
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, schema)
+
+
+def _alone(told: DataFrame) -> DataFrame:
+    """(set_id, alone): elements of the first segment that no other set has.
 
+    In a bucket elements go by their high halves; if two are taken for one, fewer are alone, which only lets more sets go on.
+    """
     def alone(rows):
         h, o = _joined(rows["hashes"], np.uint32), _joined(rows["owners"], np.int64)
         order = np.argsort(h)
@@ -157,11 +226,16 @@ def _lonely(docs: DataFrame, k: int, text: str, buckets: int) -> DataFrame:
         own = low == (np.maximum.reduceat(o, first) if len(h) else o)
         return pa.table({"set_id": low[own], "small": (h[first][own] >> np.uint32(8)) < np.uint32(int(SHARE * (1 << 24)))})
 
-    met = docs.select(F.col(text)).mapInArrow(dealt, "bucket bigint, hashes binary, owners binary").where(F.length("hashes") > 0)
+    met = told.where("bucket is not null").select("bucket", "hashes", "owners")
     each = met.groupBy("bucket").applyInArrow(alone, "set_id bigint, small boolean")  # a row an element, as many as the input has
     return each.groupBy("set_id").agg(F.count("*").alias("alone_small"), F.count_if("small").alias("alone"))
 
 
+def _lonely(docs: DataFrame, k: int, text: str, buckets: int) -> DataFrame:
+    """(set_id, alone) of the sets of ``docs``, by ``buckets``."""
+    return _alone(_told(docs.select(F.lit(0).alias("_"), text), k, "_", text, buckets))
+
+
 def _filter_of(codes: DataFrame) -> np.ndarray:
     """A Bloom filter, two bits for each of the 64-bit ``code``; its size follows their number, up to ``FILTER_MOST`` bits."""
     size = min(FILTER_MOST, max(1 << 16, 1 << int(FILTER * codes.count()).bit_length()))
@@ -193,15 +267,13 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: st
     return docs.select(F.xxhash64(key, F.xxhash64(text)), F.col(text)).mapInArrow(run, "set_id bigint, n int, elements binary")
 
 
-def _surviving_sets(docs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
+def _surviving_sets(docs: DataFrame, told: DataFrame, rows: DataFrame, elements: int | None, k: int, key: str, text: str) -> DataFrame:
     """(set_id, n, elements as little-endian 64-bit words) of the sets that may have a partner, once each."""
     sizes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min(F.struct("key", "text_hash")).alias("_rep"))
-    elements = rows.agg(F.sum("n_shingles")).first()[0]
-    counted = sizes.join(_lonely(docs, k, text, _buckets(int(SHARE * (elements or 0)))), "set_id", "left")
+    counted = sizes.join(_alone(told), "set_id", "left")
     alone = F.coalesce(F.when(F.col("n") < SMALL, F.col("alone_small")).otherwise(F.col("alone")), F.lit(0))
-    wanted = staged(counted.where(4 * alone <= F.col("n")).select("_rep"), "wanted")
-
-    return _wanted_texts(docs, wanted, k, key, text).groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
+    wanted = staged(_few(counted.where(4 * alone <= F.col("n")).select("_rep"), elements), "wanted")
+    return _few(_wanted_texts(docs, wanted, k, key, text).groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements")), elements)
 
 
 def _shared_elements(sets: DataFrame) -> DataFrame:
@@ -210,7 +282,8 @@ def _shared_elements(sets: DataFrame) -> DataFrame:
     An element of one set alone is a difference from every other set, so it only has to be counted (n - elements). Elements
     that sets of one block share are known to be shared: their bucket is told once, and their owners are spread evenly.
     """
-    buckets = _buckets(sets.agg(F.sum("n")).first()[0])
+    elements = sets.agg(F.sum("n")).first()[0]
+    buckets = _buckets(elements)
     columns = ("hashes", "owners", "told", "known", "known_owners")
 
     def dealt(batches):
@@ -229,8 +302,9 @@ def _shared_elements(sets: DataFrame) -> DataFrame:
         return pa.table({"h": np.concatenate([h[keep].view(np.int64), _joined(rows["known"], np.int64)]), "set_id": np.concatenate([o[keep], _joined(rows["known_owners"], np.int64)])})
 
     met = sets.select("set_id", "elements").mapInArrow(dealt, "bucket bigint, hashes binary, owners binary, told binary, known binary, known_owners binary")
-    kept = met.groupBy("bucket").applyInArrow(shared, "h bigint, set_id bigint").groupBy("set_id").agg(F.collect_list("h").alias("elements"))  # at most the set
-    return kept.join(sets.select("set_id", "n"), "set_id").where(4 * (F.col("n") - F.size("elements")) <= F.col("n"))
+    each = _few(met.groupBy("bucket").applyInArrow(shared, "h bigint, set_id bigint"), elements)
+    kept = each.groupBy("set_id").agg(F.collect_list("h").alias("elements"))  # at most the set
+    return _few(kept.join(sets.select("set_id", "n"), "set_id").where(4 * (F.col("n") - F.size("elements")) <= F.col("n")), elements)
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -343,7 +417,7 @@ def _allocated(s: np.ndarray, n: int, known: np.ndarray, counts: np.ndarray) ->
     return keys[useful], flags[useful]
 
 
-def signatures(sets: DataFrame) -> DataFrame:
+def signatures(sets: DataFrame, elements: int | None) -> DataFrame:
     """(sig, set_id, flags, n, alone) of all sets, after each has put its tolerances where they are cheap.
 
     First all subsets are counted that sets index or may probe with; each set then learns how many others share its own.
@@ -374,16 +448,16 @@ def signatures(sets: DataFrame) -> DataFrame:
     every = sets.select("set_id", "elements", "n").mapInArrow(possible, "sig bigint, set_id bigint, flags tinyint")
     both = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
     groups = every.groupBy("sig").agg(F.count("*").alias("c"), F.min("set_id").alias("low"), F.max("set_id").alias("high"), both(INDEX | INDEX_LESS).alias("i"), both(PROBE | PROBE_LESS).alias("p"))
-    groups = staged(groups.where("low < high and i and p").select("sig", "c"), "shared_signatures")
-    of_set = every.select("sig", "set_id").join(groups, "sig").groupBy("set_id").agg(F.collect_list("sig").alias("sigs"), F.collect_list("c").alias("counts"))  # at most two for each element
-    joined = sets.join(of_set, "set_id").select("set_id", "elements", "n", "sigs", "counts")
+    groups = staged(_few(groups.where("low < high and i and p").select("sig", "c"), elements), "shared_signatures")
+    of_set = _few(every.select("sig", "set_id").join(groups, "sig"), elements).groupBy("set_id").agg(F.collect_list("sig").alias("sigs"), F.collect_list("c").alias("counts"))  # at most two for each element
+    joined = _few(sets.join(of_set, "set_id").select("set_id", "elements", "n", "sigs", "counts"), elements)
     return joined.mapInArrow(allocated, "sig bigint, set_id bigint, flags tinyint, n int, alone int")
 
 
 # -- tests ------------------------------------------------------------------------------------------------------
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (u, v), those with 100 * intersection >= 75 * union, by the whole sets: elements that one
+def _confirmed(pairs: DataFrame, sets: DataFrame, elements: int | None) -> DataFrame:
+    """Of pairs (u, v), each once, those with 100 * intersection >= 75 * union, by the whole sets: elements that one
     set has alone count by their number."""
     def run(batches):
         for batch in batches:
@@ -397,9 +471,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= 75 * (sizes[i] - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
-    with_u = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("elements").alias("a"), F.col("n").alias("na")), "u")
+    each = _few(pairs.distinct(), elements)
+    with_u = _few(each.join(sets.select(F.col("set_id").alias("u"), F.col("elements").alias("a"), F.col("n").alias("na")), "u"), elements)
     with_v = with_u.join(sets.select(F.col("set_id").alias("v"), F.col("elements").alias("b"), F.col("n").alias("nb")), "v")
-    return with_v.select("u", "v", "a", "b", F.col("na") + F.col("nb")).mapInArrow(run, "u bigint, v bigint")
+    return _few(with_v.select("u", "v", "a", "b", F.col("na") + F.col("nb")), elements).mapInArrow(run, "u bigint, v bigint")
 
 
 def _pair(a: str, b: str) -> list:
@@ -425,33 +500,34 @@ def _has(flags: str, bits: int):
 
 def links(sets: DataFrame) -> DataFrame:
     """(u, v): links between sets whose components are those of all links."""
-    open_ = staged(signatures(sets).withColumn("component", F.col("set_id")), "candidates")
+    n_sets, elements = sets.agg(F.count("*"), F.sum("n")).first()
+    open_ = staged(signatures(sets, elements).withColumn("component", F.col("set_id")), "candidates")
     # Only subsets that some set probes for and another has indexed bring sets together.
     has = lambda bits: F.bit_or("flags").bitwiseAND(F.lit(bits)) != 0
     useful = open_.groupBy("sig").agg(has(INDEX | INDEX_LESS).alias("i"), has(PROBE | PROBE_LESS).alias("p"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high and i and p").select("sig")
-    candidates, open_ = open_, staged(open_.join(useful, "sig"), "open")
+    candidates, open_ = open_, staged(_few(open_.join(useful, "sig"), elements), "open")
     drop_staged(candidates)
-    n_sets, found, turn = sets.count(), None, 0
+    found, turn = None, 0
     while True:
-        by = open_.groupBy("sig", "component").agg(F.count("*").alias("c"))
-        of_group = staged(by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all"), "groups")
+        by = _few(open_.groupBy("sig", "component").agg(F.count("*").alias("c")), elements)
+        of_group = staged(_few(by.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all"), elements), "groups")
         left = of_group.agg(F.sum(((F.col("all") - F.col("most")) * F.col("all")).cast("double"))).first()[0]
         if not left:
             break
         leading = turn < ROUNDS and left > PAIRS_A_SET * n_sets
-        pairs = _led(open_, of_group, turn) if leading else _all_left(open_, of_group, sets)
-        new = staged(_confirmed(pairs.distinct(), sets), "confirmed")
+        pairs = _few(_led(open_, of_group, turn), elements) if leading else _all_left(open_, of_group, sets)
+        new = staged(_confirmed(pairs, sets, elements), "confirmed")
         found = new if found is None else found.union(new)
         if not leading:
             break
         if new.isEmpty():
             # No leader links to anything across components: what is left is for the exact tests.
-            found = found.union(staged(_confirmed(_all_left(open_, of_group, sets).distinct(), sets), "confirmed_rest"))
+            found = found.union(staged(_confirmed(_all_left(open_, of_group, sets), sets, elements), "confirmed_rest"))
             break
         turn += 1
         of = components(found).withColumnRenamed("node", "set_id")
-        named = open_.join(of_group.select("sig"), "sig").drop("component").join(of, "set_id", "left")
-        before, open_ = open_, staged(named.withColumn("component", F.coalesce("component", "set_id")), "open")
+        named = _few(open_.join(of_group.select("sig"), "sig").drop("component"), elements).join(of, "set_id", "left")
+        before, open_ = open_, staged(_few(named.withColumn("component", F.coalesce("component", "set_id")), elements), "open")
         drop_staged(before, of_group)
     return sets.select(F.col("set_id").alias("u"), F.col("set_id").alias("v")).where("false") if found is None else found
 
@@ -477,16 +553,20 @@ def _all_left(open_: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame
 
 def _judged(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(key, n_shingles, set_id, _group, _least) of every row: its component, null for empty sets, and the smallest key there."""
-    rows = staged(document_classes(docs, k, key, text), "classes")
-    sets = staged(_surviving_sets(docs, rows, k, key, text), "sets")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0]
+    told = staged(_told(docs, k, key, text, _buckets(int(SHARE * (size or 0) / BYTES))), "told")
+    rows = staged(_classes(told), "classes")
+    elements = rows.agg(F.sum("n_shingles")).first()[0]
+    sets = staged(_surviving_sets(docs, told, rows, elements, k, key, text), "sets")
+    drop_staged(told)
     shared = staged(_stored(_shared_elements(sets)), "shared_elements")
     drop_staged(sets)
-    of = staged(components(links(shared)), "components")
-    joined = rows.join(of.withColumnRenamed("node", "set_id"), "set_id", "left")
+    of = staged(_few(components(links(shared)), elements), "components")
+    joined = _few(rows.join(of.withColumnRenamed("node", "set_id"), "set_id", "left"), elements)
     # The smallest key of a component, pre-aggregated by class; empty sets stay alone.
     least = joined.where("n_shingles > 0").groupBy(F.coalesce("component", "set_id").alias("_group")).agg(F.min("key").alias("_least"))
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
-    return joined.withColumn("_group", group).join(least, "_group", "left").select("key", "n_shingles", "set_id", "_group", "_least")
+    return _few(joined.withColumn("_group", group).join(least, "_group", "left").select("key", "n_shingles", "set_id", "_group", "_least"), elements)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -469,3 +469,23 @@ def test_nodes_of_any_type(spark, monkeypatch, links, kind):
     assert dict(got.dtypes)["node"] == kind
     want = [(node(i), min(map(node, part))) for part in (range(1, 121), range(200, 290), range(300, 302)) for i in part]
     assert sorted((bytes(n) if kind == "binary" else n, bytes(c) if kind == "binary" else c) for n, c in got.collect()) == sorted(want)
+
+
+def test_texts_are_split_once_for_classes_and_small_tables_take_few_tasks(spark, docs, monkeypatch):
+    """With many shuffle partitions, what the sets of a few texts leave is written by few tasks, and no row is lost by it."""
+    want = sorted(tuple(-1 if x is None else x for x in r) for r in jaccard.near_duplicates(docs).collect())
+    parts, write = {}, jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: parts.setdefault(name, df.rdd.getNumPartitions()) and write(df, name))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(before, ("60", "false")):
+            spark.conf.set(c, v)
+        out = jaccard.near_duplicates(docs)
+        got = sorted(tuple(-1 if x is None else x for x in r) for r in out.collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == want and len(got) == docs.count()
+    assert parts["told"] == docs.rdd.getNumPartitions() and max(n for name, n in parts.items() if name not in ("told", "classes")) < 10
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, i, dtype=np.uint64)) for i in (3, 0, 40, 1, 0)]
+    assert jaccard._classes_of(sets).tolist() == [jaccard._class_of(s) for s in sets] and jaccard._classes_of([]).tolist() == []
