@@ -429,3 +429,25 @@ def test_texts_are_embedded_where_they_are_compared(spark, monkeypatch):
     want = sorted(map(tuple, knn.nearest(q, vectors, 5).collect()))
     found = knn.nearest(q, texts, 5, embed=VX.hash_texts)
     assert len(want) == 20 and sorted(map(tuple, found.collect())) == want
+
+
+def test_search_words_are_counted_without_the_search_text(spark):
+    """Counted on the text, as many as its search text has, of every kind of character that the rules know."""
+    rnd = random.Random(5)
+    odd = "aZ09_.,-%/:;!?()\t\n\x0b\x1c\x1f\x20\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000éßİΣσﬁⅣ²٣\u0301हिन्दी漢😀𝐀\ufeff’"
+    texts = [None, "", " ", "Σ Σ", *("".join(rnd.choice(odd) for _ in range(rnd.randint(1, 40))) for _ in range(600))]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = t.select("t", X.search_word_count(F.col("t")).alias("n"), X.word_count(X.fold_for_search(F.col("t"))).alias("want")).collect()
+    assert len({r.want for r in got}) > 5 and all(r.n == r.want for r in got)
+
+
+def test_totals_need_no_postings(spark, sf_dir, monkeypatch):
+    """Totals of two batches come from their chunks; words stay unwritten until a query reads them."""
+    monkeypatch.setattr(R, "_STAGED", {})
+    written, write = [], SI.SearchIndex._write
+    monkeypatch.setattr(SI.SearchIndex, "_write", lambda self, df, name: written.append(name) or write(self, df, name))
+    got = {r.collection_id: (r.live, r.n_words) for r in R.index_totals(spark, sf_dir).collect()}
+    p = R.passage_payload(spark, sf_dir).withColumn("w", F.size(X.words(F.col("normalized_text"))))
+    want = p.groupBy("collection_id").agg(F.count_if(F.col("document_status") != "DELETED").alias("live"), F.sum("w").alias("n"))
+    assert got == {r.collection_id: (r.live, r.n) for r in want.collect()}
+    assert written.count("totals") == 3 and written.count("postings") == written.count("words") == 1  # the empty tables and two batches
