@@ -215,9 +215,10 @@ def chunk_pages(pages: DataFrame, max_words: int = C.CHUNK_MAX_WORDS,
     return pages.select("version_id", "page_number", "raw_text").mapInPandas(run, _LOCAL)
 
 
-def number_chunks(local: DataFrame, carry_headings: bool = False) -> DataFrame:
+def number_chunks(local: DataFrame, carry_headings: bool = False, of_version: DataFrame | None = None) -> DataFrame:
     """Give page-local chunks their document-wide index and, if asked, carry headings over pages.
 
+    Columns of ``of_version``, by version_id, come along with the page totals, so the text moves once for both.
     ``local`` must be cheap to read twice (a staged table). Running totals go over page
     summaries in two levels, buckets of pages and pages of a bucket, so no task ever holds all
     rows of a large version; the chunk text itself moves once, on the unique page key.
@@ -247,6 +248,8 @@ def number_chunks(local: DataFrame, carry_headings: bool = False) -> DataFrame:
         .select("version_id", "page_number",
                 (F.col("bucket_start") + F.col("in_bucket")).alias("page_start"),
                 F.coalesce("page_heading", "bucket_heading").alias("carried")))
+    if of_version is not None:
+        starts = starts.join(of_version, "version_id").hint("shuffle_hash")  # rows of pages are held, the texts are not sorted
     heading = (F.coalesce("section_heading", "carried") if carry_headings
                else F.col("section_heading"))
     return (
@@ -256,13 +259,23 @@ def number_chunks(local: DataFrame, carry_headings: bool = False) -> DataFrame:
         .drop("page_start", "carried"))
 
 
-def describe_chunks(numbered: DataFrame) -> DataFrame:
-    """Search text, counts, page range and vector id of numbered chunks."""
-    n = X.word_count(F.col("chunk_text"))
+def _identified(numbered: DataFrame, *more: Column | str) -> DataFrame:
     return numbered.select(
         X.vector_id(F.col("version_id"), F.col("page_number"), F.col("chunk_index")).alias("vector_id"),
         "version_id", "page_number", F.col("page_number").cast("string").alias("page_range"),
-        "chunk_index", "section_heading", "chunk_text",
+        "chunk_index", "section_heading", "chunk_text", *more)
+
+
+def chunk_texts(numbered: DataFrame, *more: str) -> DataFrame:
+    """Numbered chunks with what their search text is derived from, each text once, and some columns of their version."""
+    return _identified(numbered, "compat_text", *more)
+
+
+def describe_chunks(numbered: DataFrame) -> DataFrame:
+    """Search text, counts, page range and vector id of numbered chunks."""
+    n = X.word_count(F.col("chunk_text"))
+    return _identified(
+        numbered,
         X.fold_for_search(F.coalesce("compat_text", "chunk_text")).alias("normalized_text"),
         n.alias("word_count"), X.token_estimate(n).alias("token_count"),
         "start_char_offset", "end_char_offset")

@@ -92,16 +92,18 @@ def hybrid_search(queries: DataFrame, payload: DataFrame, index: SearchIndex,
 
 def answer(requests: DataFrame, collections: DataFrame, users: DataFrame, documents: DataFrame, versions: DataFrame,
            pages: DataFrame, payload: DataFrame, index: SearchIndex, vectors: DataFrame,
-           embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT) -> dict[str, DataFrame]:
+           embedder: Callable[[Column], Column], limit: int = C.DEFAULT_LIMIT,
+           embed: Callable[[list[str]], np.ndarray] | None = None) -> dict[str, DataFrame]:
     """Answers, citations and checks for a table of requests, in one job.
 
+    With ``embed``, the rows of ``vectors`` have texts, as in ``hybrid_search``.
     ``requests`` given, cited and final are what ``answer_log.run_facts`` takes for the log of the run.
     """
     understood = U.understand(requests).withColumn(
         "state_or_district", U.fill_location(F.col("state_or_district"), F.col("understood_location")))
     judged = stage_table(judge_requests(understood, collections, users), "judged_requests")
     run = judged.filter(F.col("reject_reason").isNull())
-    cited = stage_table(hybrid_search(run, payload, index, vectors, embedder, limit), "citations")
+    cited = stage_table(hybrid_search(run, payload, index, vectors, embedder, limit, embed=embed), "citations")
     given = stage_table(G.grounded_answers(run, cited), "answers")
     to_check = cited.join(given.filter("not is_refusal").select("query_id"), "query_id", "left_semi")
     checked = stage_table(CI.validate_citations(

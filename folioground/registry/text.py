@@ -23,8 +23,14 @@ def clean_sql(x: str) -> str:
             .replace("chr(10) || chr(10) || chr(10) || chr(10) || '*'", "'\\n{3,}'"))
 
 
+def numbered_chunks(spark, sf_dir, of_version=None):
+    """Chunks with their numbers; the packed text is written once for all that read it."""
+    local = staged(spark, sf_dir, "page_chunks", lambda: stage_table(K.chunk_pages(V.pages(spark, sf_dir)), "page_chunks"))
+    return K.number_chunks(local.filter(F.col("error").isNull()), of_version=of_version)
+
+
 def chunks(spark, sf_dir):
-    return staged(spark, sf_dir, "chunks", lambda: stage_table(K.chunk_documents(V.pages(spark, sf_dir)), "chunks"))
+    return staged(spark, sf_dir, "chunks", lambda: stage_table(K.describe_chunks(numbered_chunks(spark, sf_dir)), "chunks"))
 
 
 @query("search_normalisation", f"select doc_id, sha256({fold('text')}) as folded_hash, length({fold('text')}) as folded_length from documents")

@@ -451,3 +451,23 @@ def test_totals_need_no_postings(spark, sf_dir, monkeypatch):
     want = p.groupBy("collection_id").agg(F.count_if(F.col("document_status") != "DELETED").alias("live"), F.sum("w").alias("n"))
     assert got == {r.collection_id: (r.live, r.n) for r in want.collect()}
     assert written.count("totals") == 3 and written.count("postings") == written.count("words") == 1  # the empty tables and two batches
+
+
+def test_packed_chunks_are_written_once_and_no_vector_is(spark, sf_dir, monkeypatch):
+    """The payload made with one move of the text is that of two, and search by texts finds what stored vectors find."""
+    from folioground.operators import index as I
+    from folioground.plans.answer import hybrid_search
+    from folioground.registry import flows, text as RT
+    from folioground.sources import views as V
+    monkeypatch.setattr(R, "_STAGED", {})
+    payload, index, texts = flows.index_tables(spark, sf_dir)
+    written = set(spark.read.parquet(*{f.rsplit("/", 1)[0] for f in payload.inputFiles()}).columns)
+    assert "chunk_text" in written and not {"snippet", "normalized_text", "values"} & written
+    assert "values" not in texts.columns and set(texts.inputFiles()) == set(payload.inputFiles())
+    whole = stage_table(I.chunk_payload(RT.chunks(spark, sf_dir), V.documents(spark, sf_dir), V.versions(spark, sf_dir)), "whole")
+    assert sorted(map(str, payload.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    vectors = stage_table(I.vector_records(whole, VX.hashing_embedder()), "vectors")
+    asked_ = V.bench_queries(spark, sf_dir)
+    want = hybrid_search(asked_, whole, SI.build(whole, stage_path(spark, "whole_index"), words=False), vectors, VX.hashing_embedder())
+    got = flows.hybrid_search_chunks(spark, sf_dir).select(want.columns)
+    assert want.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
