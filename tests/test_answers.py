@@ -261,3 +261,13 @@ def test_registry_covers_inventory():
     from folioground.registry import load
     queries, oracles = load()
     assert set(oracles) <= set(queries) and len(queries) > 110 and len(oracles) > 100
+
+
+def test_answers_embed_where_they_compare(spark, sf_dir, monkeypatch):
+    """No stored vector reaches the search of an answer run; its texts are those of the payload."""
+    from folioground.plans import answer as PA
+    from folioground.registry import flows
+    seen, nearest = [], PA.knn.nearest
+    monkeypatch.setattr(PA.knn, "nearest", lambda queries, vectors, *a: seen.append((vectors.columns, a[-1])) or nearest(queries, vectors, *a))
+    assert flows.answer_tables(spark, sf_dir)["answers"].count() == V.bench_queries(spark, sf_dir).count()
+    assert len(seen) == 1 and "text" in seen[0][0] and "values" not in seen[0][0] and seen[0][1] is not None
